@@ -17,6 +17,7 @@ never read.
 
 from __future__ import annotations
 
+from bisect import insort
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -79,7 +80,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
         held_sources[found] |= source
         held_clusters[found] |= cluster
         left = capacity - filled[found]
-        by_residual[left].append(found)
+        insort(by_residual[left], found)  # a tie goes to the oldest bin
         open_at |= 1 << left
     return bins, places
 
