@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_crf, langid, minhash, packing, repetition, weak_quality
+from . import bpe, crosspoly, html_crf, langid, minhash, packing, repetition, weak_quality
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crosspoly.linked(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
