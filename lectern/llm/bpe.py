@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
@@ -52,15 +53,22 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
+class Places(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Block:
     def __init__(self, number: int, kind: pa.DataType):
-        self.number, self.kind, self.places, self.ids, self.lengths, self.seqs, self.size = number, kind, {}, [], [], [], 0
+        self.number, self.kind, self.places, self.ids, self.lengths, self.seqs, self.size = number, kind, Places(), [], [], [], 0
 
     def add(self, ident, words: list[str], size: int) -> None:
-        places = self.places
         self.ids.append(ident)
         self.lengths.append(len(words))
-        self.seqs.append(np.array([places.setdefault(w, len(places)) for w in words], np.uint32))
+        self.seqs.append(np.fromiter(map(self.places.__getitem__, words), np.uint32, len(words)))
         self.size += size + 64
 
 
@@ -168,7 +176,7 @@ def encoder(vocabulary) -> tiktoken.Encoding:
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: str = "bytes") -> DataFrame:
     """The rows with the bytes of their ids joined from the token-byte table; null ids give no bytes, an unknown id is an error."""
-    by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+    by_id = np.full(max(ranks.values(), default=-1) + 1, b"", object)
     for token, rank in ranks.items():
         by_id[rank] = token
     spread = encoded.sparkSession.sparkContext.broadcast(by_id)
@@ -178,7 +186,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", ou
         for part in batches:
             for i in range(0, part.num_rows, 256):
                 some = part.slice(i, 256)
-                joined = [b"".join([table[x] for x in ids or ()]) for ids in some.column(ids_col).to_pylist()]
+                lists = some.column(ids_col)
+                tokens = table[lists.flatten().to_numpy()].tolist()
+                cuts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).tolist()
+                joined = [b"".join(tokens[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(joined, pa.binary())], [*some.schema.names, out])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
