@@ -1,4 +1,4 @@
-"""Registered queries by name, each with the SQL that must give the same rows."""
+"""Registered queries by name, and the SQL that must give the same rows where there is one."""
 
 from __future__ import annotations
 
@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+from . import queries as q
+
+#: Queries without SQL: sequential or iterative ones, which the tests hold against plain Python.
+PLAIN = ("chunk_recursive", "layout_chunks", "pack_segments", "packed_documents", "json_recover")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: getattr(q, name) for name in (*oracles.SQL, *PLAIN)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
