@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
@@ -17,6 +18,23 @@ TURN = "ts_utc string, user string, assistant string, metadata map<string,string
 DATASET = "question string, ground_truth string, contexts array<string>, answer string"
 
 
+def _is_json(c: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; the engine's own parser stops after the first."""
+
+    @F.pandas_udf("boolean")
+    def check(texts: pd.Series) -> pd.Series:
+        def fine(text: str) -> bool:
+            try:
+                json.loads(text)
+            except ValueError:
+                return False
+            return True
+
+        return texts.map(fine)
+
+    return check(c)
+
+
 def list_sources(spark: SparkSession, pdf_dir: str | None, text_dir: str | None) -> DataFrame:
     """(source_type, path, type_order): PDF files, then markdown and plain text, each by path; order by the last two."""
     parts = []
@@ -69,12 +87,12 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """
     whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("v"))
     head = (whole.select(F.left(F.ltrim("v"), F.lit(1)).alias("c")).first() or [""])[0]
-    if head == "[" or (head == "{" and whole.select(F.try_parse_json("v").isNotNull()).first()[0]):
+    if head == "[" or (head == "{" and whole.select(_is_json(F.col("v"))).first()[0]):
         items = F.when(F.ltrim("v").startswith("["), F.from_json("v", "array<string>")).otherwise(F.array("v"))
         rows = whole.select(F.posexplode(items).alias("line", "v"))
     else:
         rows = whole.select(F.posexplode(F.split("v", "\r?\n")).alias("line", "v")).where(~is_blank("v"))
-        rows = rows.withColumn("v", F.when(F.try_parse_json("v").isNull(), F.raise_error(F.concat(F.lit("no JSON in line "), F.col("line") + 1))).otherwise(F.col("v")))
+        rows = rows.withColumn("v", F.when(~_is_json(F.col("v")), F.raise_error(F.concat(F.lit("no JSON in line "), F.col("line") + 1))).otherwise(F.col("v")))
     parsed = rows.where(F.ltrim("v").startswith("{")).select((F.col("line") + 1).cast("long").alias("line"), F.from_json("v", DATASET).alias("r")).select("line", "r.*")
     bad = [r.line for r in parsed.where(is_blank("question") | is_blank("ground_truth")).orderBy("line").limit(20).collect()]
     if bad:
