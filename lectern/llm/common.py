@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Odd multipliers and seeds of the rolling hashes.
@@ -163,8 +163,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node, so a hub is summed before its shuffle and its join can be split; links
     stay distributed and each round is written to the shared folder.
     """
-    pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges, last = stored(pairs), None
+    edges, last = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), None
     while True:
         # large star: all larger neighbours of a node to its smallest one
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -173,8 +172,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: the smaller neighbours and the node itself to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("k"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (state.n == state.k and state == last) or not state.n:
+        seen = Observation()
+        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+        state = seen.get
+        if state == last or not state["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = state

@@ -8,7 +8,9 @@ does. Of the strings of such an anchor, equal ones are one string with a count
 (all its windows repeat if it is counted twice), and the different ones are a shard:
 its suffix array is built by induced sorting, and a window repeats if the common
 prefix of its suffix with a neighbour is as long as a window. A shard of more than
-``shard_strings`` strings is not gathered; its windows are counted by hash instead.
+``shard_strings`` strings is not gathered: its strings are cut into pieces of fewer
+windows, which are strings of smaller shards, those of the bytes that all windows of
+a piece share; the same rules hold for them, down to pieces of one window.
 
 Texts are UTF-8 bytes; null is empty. Documents are told apart by id and text, so
 rows that share an id but not the text stay apart; rows that are equal repeat each
@@ -24,13 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, sais
 
 #: Window starts that are handled at once, and bits for a place among them.
 CHUNK, PLACE_BITS = 1 << 23, 24
+STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,9 @@ class Settings:
     length: int = 400
     anchor: int = 100
     shard_strings: int = 256
-    batch_bytes: int = 1_000_000
+    pieces: tuple[int, ...] = (16, 1)
+    batch_bytes: int = 600_000
+    slice_bytes: int = 1_000_000
 
 
 def strings(data: np.ndarray, bounds: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
@@ -108,6 +113,117 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[head], end[np.append(np.flatnonzero(head)[1:], len(start)) - 1]
 
 
+class Sieve:
+    """A Bloom filter of a fixed size over text keys: tells which documents surely have none of them."""
+
+    BITS = 25
+
+    def __init__(self, keys: DataFrame):
+        mask = (1 << self.BITS) - 1
+        places = keys.select(F.explode(F.array(F.col("k").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("k", self.BITS).bitwiseAND(F.lit(mask)))).alias("p"))
+        words = places.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("bits")).toArrow()  # at most 2**19 rows
+        held = np.zeros((1 << self.BITS) // 64, np.uint64)
+        held[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+        self.spread = keys.sparkSession.sparkContext.broadcast(held)
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        held, mask, k = self.spread.value, np.uint64((1 << self.BITS) - 1), keys.view(np.uint64)
+        test = lambda p: (held[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+        return test(k & mask) & test((k >> np.uint64(self.BITS)) & mask)
+
+
+SPANS = "starts array<long>, ends array<long>"
+
+
+def found_spans(start: str, n: str, s: Settings) -> Column:
+    """Spans of a string at a place: the whole string if ``all``, else those that were found in it."""
+    whole = F.array(F.struct(F.col(start).cast("long").alias("f"), (F.col(start) + F.col(n) + (s.length - 1)).cast("long").alias("t")))
+    some = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct((x["starts"] + F.col(start)).alias("f"), (x["ends"] + F.col(start)).alias("t")))
+    return F.when(F.col("all"), whole).otherwise(some)
+
+
+def united(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of each key, in order and without overlaps."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            out = []
+            for lists in part.column("found").to_pylist():
+                both = np.array([(x["f"], x["t"]) for y in lists for x in y], np.int64)
+                out.append(merged(both[:, 0], both[:, 1]))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array([x[i].tolist() for x in out], pa.list_(pa.int64())) for i in (0, 1))], [*keys, "starts", "ends"])
+
+    kinds = "".join(f"{k} {hits.schema[k].dataType.simpleString()}, " for k in keys)
+    return hits.groupBy(*keys).agg(F.collect_list("found").alias("found")).mapInArrow(unite, kinds + SPANS)
+
+
+def judged(strings_of: DataFrame, s: Settings, pieces: tuple[int, ...]) -> DataFrame:
+    """(a, h, starts, ends) of the strings (a, h, kinds, data) with windows that come in another string of their anchor; the strings are stored."""
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            again = repeated_windows(table.column("data").to_pylist(), s)
+            found = [(a, h, *runs(x, s.length)) for a, h, x in zip(table.column("a").to_pylist(), table.column("h").to_pylist(), again, strict=True) if x.any()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["a", "h", "starts", "ends"])
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            begin = 0
+            anchors = batch.column("a").to_numpy()
+            sizes = pc.binary_length(batch.column("data")).to_numpy()
+            for i in range(batch.num_rows):
+                last = anchors[i - 1] if i else held[-1].column("a")[-1].as_py() if held else None
+                if size >= s.batch_bytes and anchors[i] != last:
+                    yield from judge(pa.Table.from_batches([*held, batch.slice(begin, i - begin)]))
+                    held, begin, size = [], i, 0
+                size += int(sizes[i])
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+        if held:
+            yield from judge(pa.Table.from_batches(held))
+
+    small = strings_of.where(F.col("kinds") <= s.shard_strings).select("a", "h", "data")
+    out = small.repartition("a").sortWithinPartitions("a").mapInArrow(shard, "a long, h long, " + SPANS)
+    large = strings_of.where(F.col("kinds") > s.shard_strings).select("a", "h", "data")
+    if not pieces or large.isEmpty():
+        return out
+
+    def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows are dealt by their distance to the anchor, so that equal ones are dealt alike."""
+        size, width = pieces[0], s.length - s.anchor + 1
+        for part in batches:
+            found = []
+            for a, h, text in zip(part.column("a").to_pylist(), part.column("h").to_pylist(), part.column("data"), strict=True):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                hashes = common.Rolling(common.byte_values()[data])
+                grams = common.mix(hashes.windows(s.anchor))[:width]
+                anchor = int((grams >> np.uint64(PLACE_BITS)).argmin())
+                n = len(data) - s.length + 1
+                far = (anchor - np.arange(n)) // size
+                cut = np.flatnonzero(np.diff(far, prepend=far[0] + 1))
+                end = np.append(cut[1:], n)
+                # all windows of whole distance classes have these bytes; a class's first window may not be in the string
+                core = np.stack([np.maximum(anchor - far[cut] * size, 0), np.minimum(anchor - (far[cut] + 1) * size + 1 + s.length, len(data))])
+                key = common.mix(hashes.segment(core[0], np.maximum(core[1], core[0])) * STEP + np.uint64(a % (1 << 64)) + common.mix(far[cut].astype(np.uint64)))
+                whole = common.mix(hashes.segment(cut, end + s.length - 1) + (end - cut).astype(np.uint64) + common.mix(core[0].astype(np.uint64) - cut.astype(np.uint64)))
+                found.append((key.view(np.int64), whole.view(np.int64), np.full(len(cut), a), np.full(len(cut), h), cut, end - cut))
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["a2", "h2", "a", "h", "o", "m"])
+
+    cut = common.stored(large.mapInArrow(cut_pieces, "a2 long, h2 long, a long, h long, o long, m long"))
+    kinds = common.stored(cut.groupBy("a2", "h2").agg(F.count("*").alias("c"), F.min(F.struct("a", "h", "o", "m")).alias("at")))
+    counts = kinds.groupBy("a2").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    unlike = kinds.join(counts, "a2").select("a2", "h2", "kinds", "at.*")
+    data = F.expr(f"substring(data, int(o + 1), int(m + {s.length - 1}))").alias("data")
+    smaller = common.stored(unlike.join(large, ["a", "h"]).select(F.col("a2").alias("a"), F.col("h2").alias("h"), "kinds", data))
+    partly = judged(smaller, s, pieces[1:]).withColumnsRenamed({"a": "a2", "h": "h2"})
+    verdicts = kinds.join(partly, ["a2", "h2"], "left").where("c > 1 OR starts IS NOT NULL").select("a2", "h2", (F.col("c") > 1).alias("all"), "starts", "ends")
+    hits = cut.join(verdicts, ["a2", "h2"]).select("a", "h", found_spans("o", "m", s).alias("found"))
+    return out.unionByName(united(hits, ["a", "h"]))
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """(id, text_key, starts, ends) of the repeated bytes of each document that has any."""
     spark = docs.sparkSession
@@ -115,7 +231,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "text"):
+        for part in common.slices(batches, "text", s.slice_bytes):
             data, bounds = common.text_bytes(part.column("text"))
             anchor, whole, doc, start, n = strings(data, bounds, s)
             key = text_keys(data, bounds)
@@ -129,7 +245,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
     common.released(spark)
     counts = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
     unlike = kinds.join(counts, "a").select("a", "h", "kinds", "at.*")
-    wanted = unlike.groupBy("id", "k").agg(F.collect_list(F.struct("a", "h", "kinds", "start", "n")).alias("wanted"))
+    wanted = common.stored(unlike.groupBy("id", "k").agg(F.collect_list(F.struct("a", "h", "kinds", "start", "n")).alias("wanted")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -140,83 +256,28 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["a", "h", "kinds", "data"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "text"):
+        for part in common.slices(batches, "text", s.slice_bytes):
             data, bounds = common.text_bytes(part.column("text"))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_keys(data, bounds))], ["id", "text", "k"])
+            key = text_keys(data, bounds)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key)], ["id", "text", "k"]).filter(pa.array(sieve.may_have(key)))
 
+    sieve = Sieve(wanted.select("k"))
     with_key = texts.where(F.octet_length("text") >= s.length).mapInArrow(keyed, f"id {kind}, text string, k long")
     same = lambda left, right: left["id"].eqNullSafe(right["id"]) & (left["k"] == right["k"])
     bytes_of = common.stored(with_key.join(wanted, same(with_key, wanted)).select("text", "wanted").mapInArrow(fetch, "a long, h long, kinds long, data binary"))
     common.released(spark)
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            again = repeated_windows(table.column("data").to_pylist(), s)
-            found = [(a, h, *runs(x, s.length)) for a, h, x in zip(table.column("a").to_pylist(), table.column("h").to_pylist(), again, strict=True) if x.any()]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["a", "h", "starts", "ends"])
-
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            begin = 0
-            anchors = batch.column("a").to_numpy()
-            sizes = pc.binary_length(batch.column("data")).to_numpy()
-            for i in range(batch.num_rows):
-                last = anchors[i - 1] if i else held[-1].column("a")[-1].as_py() if held else None
-                if size >= s.batch_bytes and anchors[i] != last:
-                    yield from judge(pa.Table.from_batches([*held, batch.slice(begin, i - begin)]))
-                    held, begin, size = [], i, 0
-                size += int(sizes[i])
-            if begin < batch.num_rows:
-                held.append(batch.slice(begin))
-        if held:
-            yield from judge(pa.Table.from_batches(held))
-
-    small = bytes_of.where(F.col("kinds") <= s.shard_strings).select("a", "h", "data")
-    judged = small.repartition("a").sortWithinPartitions("a").mapInArrow(shard, "a long, h long, starts array<long>, ends array<long>")
-
-    def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            for i in range(part.num_rows):
-                data = np.frombuffer(part.column("data")[i].as_buffer(), np.uint8)
-                hashes = common.Rolling(common.byte_values(3)[data])
-                first, second = hashes.windows(s.length), common.mix(common.Rolling(common.byte_values(4)[data]).windows(s.length))
-                n = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part.column(c)[i].as_py(), np.int64)) for c in ("a", "h")] + [pa.array(common.mix(first).view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.arange(n, dtype=np.int32))], ["a", "h", "w1", "w2", "o"])
-
-    listed = bytes_of.where(F.col("kinds") > s.shard_strings).select("a", "h", "data").mapInArrow(list_windows, "a long, h long, w1 long, w2 long, o int")
-    twice = listed.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    flagged = listed.join(twice, ["w1", "w2"], "left_semi").groupBy("a", "h").agg(F.collect_list("o").alias("o"))
-
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            found = [runs(np.bincount(np.array(o)) > 0, s.length) for o in part.column("o").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("h"), *(pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1))], ["a", "h", "starts", "ends"])
-
-    counted = flagged.mapInArrow(cover, "a long, h long, starts array<long>, ends array<long>")
-    partly = common.stored(judged.unionByName(counted))
+    partly = common.stored(judged(bytes_of, s, s.pieces))
     common.released(spark)
     # a string that comes twice is covered as a whole
     verdicts = kinds.join(partly, ["a", "h"], "left").where("c > 1 OR starts IS NOT NULL").select("a", "h", (F.col("c") > 1).alias("all"), "starts", "ends")
     hits = rows.join(verdicts, ["a", "h"]).select(
         "id",
         "k",
-        F.when(F.col("all"), F.array(F.struct(F.col("start").alias("f"), (F.col("start") + F.col("n") + (s.length - 1)).alias("t"))))
-        .otherwise(F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct((x["starts"] + F.col("start")).alias("f"), (x["ends"] + F.col("start")).alias("t"))))
-        .alias("found"),
+        found_spans("start", "n", s).alias("found"),
     )
 
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            out = []
-            for lists in part.column("found").to_pylist():
-                both = np.array([(x["f"], x["t"]) for y in lists for x in y], np.int64)
-                out.append(merged(both[:, 0], both[:, 1]))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("k"), *(pa.array([x[i].tolist() for x in out], pa.list_(pa.int64())) for i in (0, 1))], ["id", "k", "starts", "ends"])
-
-    united = hits.groupBy("id", "k").agg(F.collect_list("found").alias("found"))
-    return common.stored(united.mapInArrow(unite, f"id {kind}, k long, starts array<long>, ends array<long>"))
+    return common.stored(united(hits, ["id", "k"]))
 
 
 def _cut_text(data: bytes, starts: list[int] | None, ends: list[int] | None) -> bytes:
@@ -226,20 +287,28 @@ def _cut_text(data: bytes, starts: list[int] | None, ends: list[int] | None) ->
 
 
 def with_spans(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """All rows and columns of the documents as a struct ``row``, with their spans or nulls."""
+    """All rows and columns of the documents as a struct ``row``, with their spans or nulls; only documents that may have spans are shuffled."""
     found = spans(docs, id_col, text_col, s)
+    sieve = Sieve(found.select("k"))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column("row")
-            flat = pa.RecordBatch.from_arrays([rows.field(id_col), rows.field(text_col), rows], ["id", "text", "row"])
-            for part in common.slices(iter([flat]), "text"):
-                data, bounds = common.text_bytes(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(text_keys(data, bounds)), part.column("row")], ["id", "k", "row"])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).mapInArrow(keyed, f"id {kind}, k long, row {docs.schema.simpleString()}")
-    return rows.join(found, rows["id"].eqNullSafe(found["id"]) & (rows["k"] == found["k"]), "left").select("row", "starts", "ends")
+    def keyed(some: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = batch.column("row")
+                flat = pa.RecordBatch.from_arrays([rows.field(id_col), rows.field(text_col), rows], ["id", "text", "row"])
+                for part in common.slices(iter([flat]), "text", s.slice_bytes):
+                    key = text_keys(*common.text_bytes(part.column("text")))
+                    part = pa.RecordBatch.from_arrays([part.column("id"), pa.array(key), part.column("row")], ["id", "k", "row"])
+                    yield part.filter(pa.array(sieve.may_have(key) == some))
+
+        return run
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows, rest = (whole.mapInArrow(keyed(some), f"id {kind}, k long, row {docs.schema.simpleString()}") for some in (True, False))
+    joined = rows.join(found, rows["id"].eqNullSafe(found["id"]) & (rows["k"] == found["k"]), "left").select("row", "starts", "ends")
+    none = F.lit(None).cast("array<long>")
+    return joined.unionByName(rest.select("row", none.alias("starts"), none.alias("ends")))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
