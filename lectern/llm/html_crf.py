@@ -123,7 +123,7 @@ def above_features(above: tuple[str, ...]) -> set[str]:
 # --- training ---------------------------------------------------------------------------------
 
 
-def training_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[bool]]]:
+def training_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[bool]]]:
     """Pages with the labels of their leaf blocks."""
     rng = random.Random(seed)
     syllables = [a + v for a in "bdfgklmnprstvz" for v in "aeiou"]

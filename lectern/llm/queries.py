@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crosspoly, hpylm, html_crf, langid, minhash, packing, repetition, substring, weak_quality
+from . import bpe, crosspoly, hpylm, html_crf, langid, minhash, oracles, packing, repetition, substring, weak_quality
 from .common import table
 
 
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -47,8 +47,8 @@ HEURISTICS = {
     "triples": (-1.0, 0.4, 0.8, 2.0),
 }
 
-#: How a heuristic is expected to vote on bad and on good texts before any is seen: bad, good, none. It keeps the classes from changing places.
-EXPECTED = ((0.35, 0.35, 0.3), (0.01, 0.84, 0.15))
+#: How a heuristic that votes is expected to vote on bad and on good texts before any is seen: bad, good. It keeps the classes from changing places.
+EXPECTED = ((0.5, 0.5), (0.01, 0.99))
 
 
 @dataclass(frozen=True)
@@ -127,21 +127,25 @@ def codes_of(vote: np.ndarray) -> np.ndarray:
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good for each pattern, P(vote | class) for each heuristic, and the share of good texts."""
+    """Posterior of good for each pattern, P(vote | class, it votes) for each heuristic, and the share of good texts.
+
+    That a heuristic has no vote says nothing about a text.
+    """
     bad = (patterns == 0).sum(1)
     p = np.where(bad >= 2, 0.05, np.where(bad == 1, 0.6, 0.98))
-    table, prior, total = np.zeros((patterns.shape[1], 2, 3)), 0.5, counts.sum()
+    table, prior, total = np.zeros((patterns.shape[1], 2, 2)), 0.5, counts.sum()
     for _ in range(rounds):
-        prior = float((p * counts).sum() / counts.sum())
+        prior = float((p * counts).sum() / total)
         for j in range(patterns.shape[1]):
-            for v in range(3):
+            for v in (0, 1):
                 at = patterns[:, j] == v
                 table[j, 1, v] = (p * counts)[at].sum() + EXPECTED[1][v] * 0.2 * total
                 table[j, 0, v] = ((1 - p) * counts)[at].sum() + EXPECTED[0][v] * 0.05 * total
         table /= table.sum(2, keepdims=True)
         log = np.log(np.array([max(1 - prior, 1e-9), max(prior, 1e-9)]))[None, :].repeat(len(patterns), 0)
         for j in range(patterns.shape[1]):
-            log += np.log(table[j][:, patterns[:, j]]).T
+            cast = np.flatnonzero(patterns[:, j] < 2)
+            log[cast] += np.log(table[j][:, patterns[cast, j]]).T
         p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
     return p, table, prior
 
