@@ -183,3 +183,11 @@ def stuffed_prompt(hits: DataFrame, questions: DataFrame, system: str, joiner: s
     context = hits.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), joiner).alias("context"))
     asked = questions.join(context, "q", "left")
     return asked.select("q", F.concat(F.replace(F.lit(system), F.lit("{context}"), F.coalesce("context", F.lit(""))), F.lit("\n\nHuman: "), "question").alias("prompt"))
+
+
+def source_text(result: Column, is_json: bool = False) -> Column:
+    """The text of a retrieved item that is a plain string, or JSON of an object with ``page_content`` or ``text``; other JSON gives null."""
+    if not is_json:
+        return result
+    item = F.from_json(result, "page_content string, text string")
+    return F.when(F.ltrim(result).startswith("{"), F.coalesce(item["page_content"], item["text"])).when(F.ltrim(result).rlike(r'^[\[0-9tfn-]'), F.lit(None).cast("string")).otherwise(F.regexp_replace(result, r'^\s*"|"\s*$', ""))
