@@ -85,7 +85,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The batches cut where their texts exceed a number of bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -155,6 +155,25 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Sieve:
+    """A Bloom filter of a fixed size over 64-bit keys, column ``k``: tells which rows surely have none of them."""
+
+    BITS = 25
+
+    def __init__(self, keys: DataFrame):
+        mask = (1 << self.BITS) - 1
+        places = keys.select(F.explode(F.array(F.col("k").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("k", self.BITS).bitwiseAND(F.lit(mask)))).alias("p"))
+        words = places.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("bits")).toArrow()  # at most 2**19 rows
+        held = np.zeros((1 << self.BITS) // 64, np.uint64)
+        held[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+        self.spread = keys.sparkSession.sparkContext.broadcast(held)
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        held, mask, k = self.spread.value, np.uint64((1 << self.BITS) - 1), keys.view(np.uint64)
+        test = lambda p: (held[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+        return test(k & mask) & test((k >> np.uint64(self.BITS)) & mask)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest id that each linked node reaches.
 

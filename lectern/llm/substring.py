@@ -43,7 +43,7 @@ class Settings:
     shard_strings: int = 256
     pieces: tuple[int, ...] = (16, 1)
     batch_bytes: int = 600_000
-    slice_bytes: int = 1_000_000
+    slice_bytes: int = 500_000
 
 
 def strings(data: np.ndarray, bounds: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
@@ -113,25 +113,6 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[head], end[np.append(np.flatnonzero(head)[1:], len(start)) - 1]
 
 
-class Sieve:
-    """A Bloom filter of a fixed size over text keys: tells which documents surely have none of them."""
-
-    BITS = 25
-
-    def __init__(self, keys: DataFrame):
-        mask = (1 << self.BITS) - 1
-        places = keys.select(F.explode(F.array(F.col("k").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("k", self.BITS).bitwiseAND(F.lit(mask)))).alias("p"))
-        words = places.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("bits")).toArrow()  # at most 2**19 rows
-        held = np.zeros((1 << self.BITS) // 64, np.uint64)
-        held[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-        self.spread = keys.sparkSession.sparkContext.broadcast(held)
-
-    def may_have(self, keys: np.ndarray) -> np.ndarray:
-        held, mask, k = self.spread.value, np.uint64((1 << self.BITS) - 1), keys.view(np.uint64)
-        test = lambda p: (held[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0
-        return test(k & mask) & test((k >> np.uint64(self.BITS)) & mask)
-
-
 SPANS = "starts array<long>, ends array<long>"
 
 
@@ -261,7 +242,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
             key = text_keys(data, bounds)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key)], ["id", "text", "k"]).filter(pa.array(sieve.may_have(key)))
 
-    sieve = Sieve(wanted.select("k"))
+    sieve = common.Sieve(wanted.select("k"))
     with_key = texts.where(F.octet_length("text") >= s.length).mapInArrow(keyed, f"id {kind}, text string, k long")
     same = lambda left, right: left["id"].eqNullSafe(right["id"]) & (left["k"] == right["k"])
     bytes_of = common.stored(with_key.join(wanted, same(with_key, wanted)).select("text", "wanted").mapInArrow(fetch, "a long, h long, kinds long, data binary"))
@@ -289,7 +270,7 @@ def _cut_text(data: bytes, starts: list[int] | None, ends: list[int] | None) ->
 def with_spans(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
     """All rows and columns of the documents as a struct ``row``, with their spans or nulls; only documents that may have spans are shuffled."""
     found = spans(docs, id_col, text_col, s)
-    sieve = Sieve(found.select("k"))
+    sieve = common.Sieve(found.select("k"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def keyed(some: bool):
