@@ -95,6 +95,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[Block
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of each document's text, without special tokens."""
+    common.bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -126,6 +126,7 @@ def matrix(column: pa.Array, rows: int) -> np.ndarray:
 
 def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", s: Settings = Settings()) -> DataFrame:
     """(id, n_links, component_id) of every vector."""
+    common.bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).cast("long").alias("label"))
     kind = rows.schema["id"].dataType.simpleString()
     # a null component makes forall null, which is not true

@@ -383,6 +383,7 @@ def train(pages: list[tuple[str, list[bool]]], rounds: int = 150, decay: float =
 
 def main_text(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", model: Field_ | None = None) -> DataFrame:
     """The id columns, the article's text and its number of code points, for every page."""
+    common.bounded_batches(pages.sparkSession)
     spread = pages.sparkSession.sparkContext.broadcast(model or train(training_pages()))  # of the size of the training pages' features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,6 +127,7 @@ def fit(rows: list[tuple], s: Settings = Settings()) -> Model:
 
 def identify(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", s: Settings = Settings()) -> DataFrame:
     """(id, lang_pred, score, rejected) of every text; learned from the rows where ``usable`` holds."""
+    common.bounded_batches(docs.sparkSession)
     model = fit(sample(docs, usable, id_col, text_col, lang_col, s), s)
     spread = docs.sparkSession.sparkContext.broadcast(model)  # of a size that the settings fix
 

@@ -155,6 +155,7 @@ FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """One row per document: the id, the figures and the verdict."""
+    common.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, text_col):
@@ -166,6 +167,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
+    common.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, text_col):

@@ -207,6 +207,7 @@ def judged(strings_of: DataFrame, s: Settings, pieces: tuple[int, ...]) -> DataF
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """(id, text_key, starts, ends) of the repeated bytes of each document that has any."""
+    common.bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -192,6 +192,7 @@ def train(rows: list[tuple], s: Settings) -> Scorer:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> Scorer | None:
     """The trained scorer; None for an empty table."""
+    common.bounded_batches(docs.sparkSession)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
