@@ -86,7 +86,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 250_000) -> Iterator[pa.RecordBatch]:
     """The batches cut where their texts exceed a number of bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -99,6 +99,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 500_000) -
                 begin, held = i, 0
             held += size
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task with little held
 
 
 def per_doc(sums: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, sais
 
@@ -43,7 +44,7 @@ class Settings:
     shard_strings: int = 256
     pieces: tuple[int, ...] = (16, 1)
     batch_bytes: int = 600_000
-    slice_bytes: int = 500_000
+    slice_bytes: int = 250_000
 
 
 def strings(data: np.ndarray, bounds: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
@@ -272,7 +273,6 @@ def with_spans(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> Data
     """All rows and columns of the documents as a struct ``row``, with their spans or nulls; only documents that may have spans are shuffled."""
     found = spans(docs, id_col, text_col, s)
     sieve = common.Sieve(found.select("k"))
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def keyed(some: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +287,8 @@ def with_spans(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> Data
         return run
 
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows, rest = (whole.mapInArrow(keyed(some), f"id {kind}, k long, row {docs.schema.simpleString()}") for some in (True, False))
+    shape = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("k", T.LongType()), T.StructField("row", docs.schema)])
+    rows, rest = (whole.mapInArrow(keyed(some), shape) for some in (True, False))
     joined = rows.join(found, rows["id"].eqNullSafe(found["id"]) & (rows["k"] == found["k"]), "left").select("row", "starts", "ends")
     none = F.lit(None).cast("array<long>")
     return joined.unionByName(rest.select("row", none.alias("starts"), none.alias("ends")))
