@@ -7,6 +7,7 @@ caller bounds. Ties always end in the smaller document id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,24 +49,71 @@ def idf_table(df: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFra
 def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", q_col: str = "item_id", q_text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(question, id, score, rank): k documents for each question, those without a hit last with score 0.
 
-    Only the questions' tokens are counted in the documents; document frequencies
-    are of all tokens, as their mean stands in for negative values.
+    Document frequencies are of all tokens, as their mean stands in for negative
+    values. The weights of at most ``MANY_CELLS`` pairs of a question and a token are
+    spread to the tasks, where a block of documents is scored by one matrix product
+    and keeps its best k for each question; larger question sets are joined with the
+    documents' token counts.
     """
     k = max(1, k)
     asked = questions.select(F.col(q_col).alias("q"), F.explode(tokens(q_text)).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times"))
     stats = corpus_stats(docs, text_col)
     idf = idf_table(document_frequency(docs, text_col), stats).select("token", "idf")
-    weights = asked.join(idf, "token")
-    toks = docs.select(F.col(id_col).alias("d"), tokens(text_col).alias("t"))
-    counts = toks.select("d", F.size("t").alias("len"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("d", "len", "token").agg(F.count("*").alias("tf"))
-    per = counts.join(weights, "token").crossJoin(F.broadcast(stats))
+    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text"))
+    size = asked.agg(F.count_distinct("token").alias("tokens"), F.count_distinct("q").alias("questions")).first()
+    score = _scored_by_matrix if size.tokens * max(size.questions, questions.count()) <= MANY_CELLS else _scored_by_join
+    best = score(rows, questions.select(F.col(q_col).alias("q")), asked.join(idf, "token"), stats, k, k1, b)
+    return _ranked(best, k).select(F.col("q").alias(q_col), F.col("d").alias(id_col), "score", "rank")
+
+
+#: Pairs of a question and a token whose weights are spread: 32 MB.
+MANY_CELLS = 4_000_000
+#: Runs of what is no white space to the engine's expressions.
+WORD = re.compile("[^ \t\n\x0b\f\r]+")
+
+
+def _scored_by_matrix(rows: DataFrame, questions: DataFrame, weights: DataFrame, stats: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    held = weights.collect()
+    names = [r.q for r in questions.distinct().orderBy("q").collect()]
+    vocabulary = {t: i for i, t in enumerate(sorted({r.token for r in held}))}
+    matrix, place = np.zeros((len(vocabulary), len(names))), {q: i for i, q in enumerate(names)}
+    for r in held:
+        matrix[vocabulary[r.token], place[r.q]] += r.times * r.idf
+    q_type, average = questions.schema["q"].dataType.simpleString(), stats.first().avg_len
+    spread = rows.sparkSession.sparkContext.broadcast((names, vocabulary, matrix, average))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vocabulary, matrix, average = spread.value
+        for batch in batches:
+            rows = max(1, min(512, MANY_CELLS // max(1, len(vocabulary))))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                tf, length = np.zeros((part.num_rows, len(vocabulary))), np.zeros((part.num_rows, 1))
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    words = WORD.findall(text or "")
+                    length[i] = len(words)
+                    np.add.at(tf[i], np.array([vocabulary[w] for w in words if w in vocabulary], np.int64), 1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    found = np.round(np.nan_to_num(tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))) @ matrix, 6).T
+                by_id = np.argsort(part.column("d").to_numpy(zero_copy_only=False), kind="stable")
+                order = by_id[np.argsort(-found[:, by_id], axis=1, kind="stable")[:, :k]]
+                take = order.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(names)), order.shape[1])).cast(pa.int64()), part.column("d").take(pa.array(take)), pa.array(np.take_along_axis(found, order, 1).ravel())], ["i", "d", "score"])
+
+    best = rows.mapInArrow(run, f"i long, d {rows.schema['d'].dataType.simpleString()}, score double")
+    return best.select(F.get(F.lit(names) if names else F.array().cast(f"array<{q_type}>"), F.col("i").cast("int")).cast(q_type).alias("q"), "d", "score")
+
+
+def _scored_by_join(rows: DataFrame, questions: DataFrame, weights: DataFrame, stats: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    toks = rows.select("d", tokens("text").alias("t")).select("d", F.size("t").alias("len"), F.explode("t").alias("token"))
+    counts = toks.join(weights.select("token").distinct(), "token", "left_semi").groupBy("d", "len", "token").agg(F.count("*").alias("tf"))
+    per = counts.join(weights, "token").crossJoin(F.broadcast(stats))  # stats is one row
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = per.groupBy("q", "d").agg(F.round(F.sum(part), 6).alias("score"))
     # the first k ids stand by with score 0 for questions that too few documents hit
-    spare = docs.select(F.col(id_col).alias("d")).orderBy("d").limit(k)
-    zero = questions.select(F.col(q_col).alias("q")).crossJoin(F.broadcast(spare)).withColumn("score", F.lit(0.0))
-    every = scored.unionByName(zero).groupBy("q", "d").agg(F.max(F.abs("score")).alias("m"), F.sum("score").alias("score")).drop("m")
-    return _ranked(every, k).select(F.col("q").alias(q_col), F.col("d").alias(id_col), "score", "rank")
+    spare = rows.select("d").orderBy("d").limit(k)
+    zero = questions.crossJoin(F.broadcast(spare)).withColumn("score", F.lit(0.0))
+    return scored.unionByName(zero).groupBy("q", "d").agg(F.sum("score").alias("score"))
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:

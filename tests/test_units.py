@@ -134,6 +134,17 @@ def test_bm25_counts_question_tokens_twice(spark):
     assert len(ask("zzz")) == 3 and [r.doc_id for r in ask("zzz")] == [0, 1, 2]
 
 
+def test_bm25_is_the_same_by_matrix_and_by_join(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(900, None), (901, ""), (902, "the the of")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    asked = spark.createDataFrame([(1, "the of and"), (2, ""), (3, "nowhere"), (4, "the the re")], "item_id long, text string")
+    rows = lambda: sorted(map(tuple, R.bm25_topk(docs, asked, 6).collect()))
+    one = rows()
+    monkeypatch.setattr(R, "MANY_CELLS", 0)
+    assert one == rows() and len(one) == 24
+
+
 def test_sticky_headers(spark):
     rows = [(0, i, "text", t, level) for i, (t, level) in enumerate([("One", 1), ("x", None), ("Deep", 3), ("Two", 2), ("y two", None)])]
     df = spark.createDataFrame([(*r, None, None, None, None, None, None, None, None, None) for r in rows], B.BLOCK_SCHEMA)
