@@ -88,13 +88,12 @@ def _scored_by_matrix(rows: DataFrame, questions: DataFrame, weights: DataFrame,
             rows = max(1, min(512, MANY_CELLS // max(1, len(vocabulary))))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                tf, length = np.zeros((part.num_rows, len(vocabulary))), np.zeros((part.num_rows, 1))
+                weight = np.zeros((part.num_rows, len(vocabulary)))
                 for i, text in enumerate(part.column("text").to_pylist()):
                     words = WORD.findall(text or "")
-                    length[i] = len(words)
-                    np.add.at(tf[i], np.array([vocabulary[w] for w in words if w in vocabulary], np.int64), 1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    found = np.round(np.nan_to_num(tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))) @ matrix, 6).T
+                    hit, tf = np.unique(np.array([vocabulary[w] for w in words if w in vocabulary], np.int64), return_counts=True)
+                    weight[i, hit] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / average)) if len(hit) else 0
+                found = np.round(weight @ matrix, 6).T
                 by_id = np.argsort(part.column("d").to_numpy(zero_copy_only=False), kind="stable")
                 order = by_id[np.argsort(-found[:, by_id], axis=1, kind="stable")[:, :k]]
                 take = order.ravel()
