@@ -14,7 +14,11 @@ the smallest id; and the bucket is split by the bands that follow, each in turn,
 finer buckets under the same rule, ``depth`` bands deep at most, the next band among
 the ``further`` that follow. (Two texts that are 0.8 alike share 8.5 of the 26 bands on
 average, and 11, 5.5 and 1.2 finer buckets of two, three and four bands.) So the
-candidates grow with the members and not with their pairs. Candidates are verified exactly: they
+candidates grow with the members and not with their pairs. What these links leave apart
+in a large bucket is then compared pair by pair: the bucket is dealt into blocks, and each
+two blocks are a cell, in which products of matrices give the similarities of all pairs or
+bounds of them; blocks of one component are not compared with each other. So all texts that
+share a bucket are compared or linked already. Candidates are verified exactly: they
 link if the probability Jaccard similarity, or the plain one of the shingles without
 weights, is high enough, as repeats within a text should not hide a copy. The links'
 connected components are the classes.
@@ -49,6 +53,8 @@ class Settings:
     few: int = 16
     further: int = 4
     depth: int = 4
+    block: int = 250_000
+    least: int = 200
 
     @property
     def slots(self) -> int:
@@ -190,6 +196,96 @@ def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "va", "ca", "b", "vb", "cb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def meetings(va: list[np.ndarray], ca: list[np.ndarray], vb: list[np.ndarray], cb: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Plain Jaccard similarity of each set of a with each of b, and a bound of the weighted one: no set has more of its weight in common."""
+    size_a, size_b = (np.array([len(x) for x in v]) for v in (va, vb))
+    doc_a, doc_b = (np.repeat(np.arange(len(x)), x) for x in (size_a, size_b))
+    value_a, value_b = np.concatenate(va), np.concatenate(vb)
+    if va is vb:
+        both, often = np.unique(value_a, return_counts=True)
+        both = both[often > 1]
+    else:
+        both = np.intersect1d(value_a, value_b)
+    repeats = any(x.max() > 1 for x in (*ca, *cb))
+    width = min(2048, max(len(both), 1))
+    sides = []
+    for value, doc, count, n in ((value_a, doc_a, ca, len(va)), (value_b, doc_b, cb, len(vb))):
+        share = weight(np.concatenate(count))
+        share /= np.bincount(doc, share, n)[doc]
+        at = np.minimum(np.searchsorted(both, value), max(len(both) - 1, 0))
+        keep = np.flatnonzero(both[at] == value) if len(both) else np.zeros(0, np.int64)
+        keep = keep[np.argsort(at[keep], kind="stable")]
+        sides.append((at[keep], doc[keep], share[keep], n))
+    shared, of_a, of_b = (np.zeros((len(va), len(vb)), np.float32) for _ in range(3))
+    for begin in range(0, len(both), width):
+        known, parts = [], []
+        for column, doc, share, n in sides:
+            i, j = np.searchsorted(column, (begin, begin + width))
+            known.append(np.zeros((n, width), np.float32))
+            parts.append(np.zeros((n, width), np.float32))
+            known[-1][doc[i:j], column[i:j] - begin] = 1
+            parts[-1][doc[i:j], column[i:j] - begin] = share[i:j]
+        shared += known[0] @ known[1].T
+        if repeats:
+            of_a += parts[0] @ known[1].T
+            of_b += known[0] @ parts[1].T
+    met = shared.astype(float)
+    return met / (size_a[:, None] + size_b[None, :] - met), np.minimum(of_a, of_b)
+
+
+def across(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that join the components of each bucket, of its rows (key, id, root): all pairs of different components are compared."""
+    sized = members.join(sets.select("id", F.greatest(F.octet_length("counts") / 4, F.lit(s.least)).alias("w")), "id")
+    groups = sized.groupBy("key", "root").agg(F.sum("w").alias("own"))
+    buckets = groups.groupBy("key").agg(F.sum("own").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    # a component larger than a block has blocks of its own
+    solo = F.col("own") > s.block
+    number = F.when(solo, F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / s.block))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("all") / s.block)))
+    dealt = common.stored(members.join(groups, ["key", "root"]).join(buckets, "key").withColumn("solo", F.when(solo, F.col("root"))).select("key", "id", "root", "solo", F.xxhash64("solo", number).alias("block")))
+    blocks = dealt.groupBy("key").agg(F.collect_set(F.struct("block", F.col("solo").alias("of"))).alias("blocks"))
+    others = F.filter("blocks", lambda x: F.col("solo").isNull() | x["of"].isNull() | (x["of"] != F.col("solo")))
+    cells = dealt.join(blocks, "key").select("key", "id", "root", "block", F.explode(others).alias("other"))
+    cells = cells.select("key", F.least("block", "other.block").alias("ci"), F.greatest("block", "other.block").alias("cj"), "block", "id", "root").join(sets, "id")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        block, ci, cj = cell.column("block").to_numpy(), cell.column("ci")[0].as_py(), cell.column("cj")[0].as_py()
+        values, counts = ([np.frombuffer(x.as_buffer(), t) for x in cell.column(c)] for c, t in (("elements", np.uint64), ("counts", np.uint32)))
+        root = cell.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        left, right = np.flatnonzero(block == ci), np.flatnonzero(block == cj)
+        up = list(range(int(root.max()) + 1))
+        found = []
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        if len(left) and len(right):
+            va, ca = ([x[i] for i in left.tolist()] for x in (values, counts))
+            vb, cb = (va, ca) if ci == cj else ([x[i] for i in right.tolist()] for x in (values, counts))
+            plain, most = meetings(va, ca, vb, cb)
+            apart = root[left][:, None] != root[right][None, :]
+            if ci == cj:
+                apart = np.triu(apart)
+            sure = apart & (plain >= s.similarity)
+            maybe = apart & ~sure & (most >= s.similarity - 1e-3)
+            for flags in (sure, maybe):
+                for i, j in zip(*(side[x].tolist() for side, x in zip((left, right), np.nonzero(flags), strict=True)), strict=True):
+                    a, b = top(root[i]), top(root[j])
+                    if a != b and (flags is sure or similarity(values[i], counts[i], values[j], counts[j]) >= s.similarity):
+                        up[max(a, b)] = min(a, b)
+                        found.append((i, j))
+        at = np.array(found, np.int64).reshape(-1, 2)
+        ids = cell.column("id").combine_chunks()
+        return pa.table([ids.take(pa.array(at[:, 0])), ids.take(pa.array(at[:, 1]))], ["a", "b"])
+
+    kind = members.schema["id"].dataType.simpleString()
+    # so many partitions even if they are small: a cell is little data and much work
+    parts = 2 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, "key", "ci", "cj").groupBy("key", "ci", "cj").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """(id, class_id): the smallest id of the document's group."""
     common.bounded_batches(docs.sparkSession)
@@ -236,6 +332,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = common.stored(met.where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
     common.released(docs.sparkSession)
     roots = common.components(common.stored(verified(pairs, sets, s)))
+    large = shared.where(F.col("n") > s.few).select("key", "id")
+    if not large.isEmpty():
+        members = common.stored(large.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+        common.released(docs.sparkSession)
+        links = common.stored(across(members, sets, s))
+        if not links.isEmpty():
+            roots = common.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
     out = firsts.join(roots.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("first"))
     return out.select(F.col("id").alias(id_col), F.col("first").alias("class_id"))
 

@@ -88,3 +88,28 @@ def test_edges(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.class_id or 0) for r in minhash.near_duplicates(rows).collect()) == [(0, 0), (2, 2), (2, 2), (3, 3)]
     assert minhash.keep_first(rows).count() == 4
+
+
+def test_pairs_in_a_large_family(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+
+    def changed(words, k):
+        out = list(words)
+        for p in rng.choice(len(out), k, replace=False):
+            out[p] = word()
+        return out
+
+    base = [word() for _ in range(304)]
+    family = [changed(base, 9) for _ in range(600)]  # about 0.57 alike
+    texts = [" ".join(x) for x in family + [changed(x, 6) for x in family[:60]]]
+    found = [sets(t) for t in texts]
+    data, bounds = minhash.common.text_bytes(minhash.pa.array(texts))
+    doc, value, count, _, _ = minhash.shingles(data, bounds, 5)
+    s = minhash.Settings(bands=4, rows=1, depth=1)  # few bands, so most pairs share only buckets that are large after the last level
+    keys = minhash.band_keys(minhash.signatures(doc, value, count, len(texts), s.slots), s)
+    planted = [(i, 600 + i) for i in range(60) if alike(found[i], found[600 + i]) >= 0.8 and (keys[i] == keys[600 + i]).any()]
+    assert len(planted) > 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, s=s).collect()}
+    assert len(set(got.values())) >= 600 and [p for p in planted if got[p[0]] != got[p[1]]] == []
