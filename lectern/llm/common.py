@@ -146,21 +146,54 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; it sets one only where none is set."""
+    """A new folder below the one that the cluster shares; without one, a folder of this machine if all of Spark runs in this process, else an error."""
     context = spark.sparkContext
     place = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not context._jsc.sc().getCheckpointDir().isEmpty():
+        place = context._jsc.sc().getCheckpointDir().get()
     if not place:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir("/tmp/checkpoints")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        context.setCheckpointDir("/tmp/checkpoints")
         place = context._jsc.sc().getCheckpointDir().get()
     return f"{place.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
+class Shelf:
+    """Tables of one run in the shared folder: lineage ends with each, and a lost executor costs nothing that is done.
+
+    A table goes when it is dropped, at the latest when the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def _path(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """The rows, written and read again."""
+        path = shared_dir(self.spark)
+        df.write.option("compression", "zstd").parquet(path)
+        fs, where = self._path(path)
+        fs.deleteOnExit(where)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            fs, where = self._path(self.held.pop(id(t))[1])
+            fs.delete(where, True)
+
+    def clear(self, *but: DataFrame) -> None:
+        """Drops all tables but those."""
+        self.drop(*(t for t, _ in list(self.held.values()) if all(t is not x for x in but)))
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written as a table to the shared folder and read again: lineage ends here, and a lost executor costs nothing that is done."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Shelf(df.sparkSession).put(df)
 
 
 def released(spark: SparkSession) -> None:
@@ -196,7 +229,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node, so a hub is summed before its shuffle and its join can be split; links
     stay distributed and each round is written to the shared folder.
     """
-    edges, last = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), None
+    shelf, edges, last = Shelf(links.sparkSession), links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), None
     while True:
         # large star: all larger neighbours of a node to its smallest one
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -206,7 +239,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         seen = Observation()
-        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+        edges = shelf.put(small.union(least.select("u", F.col("m").alias("v"))).distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+        shelf.clear(edges)
         state = seen.get
         if state == last or not state["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from .crosspoly import Settings as Vectors
 from .repetition import Rules
+from .substring import PASSAGES
 from .substring import Settings as Strings
 
-_R, _L, _C = Rules(), Strings().length, Vectors().cosine
+_R, _L, _P, _C = Rules(), Strings().length, PASSAGES.length, Vectors().cosine
 
 QUALITY_RULES = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -42,10 +43,14 @@ spans AS (
 cuts AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t, b FROM spans),
 parts AS (
   SELECT doc_id, string_agg(substring(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS head, max(b) AS last, sum(b - t) AS n_removed, count(*) AS n_spans
-  FROM cuts JOIN sized USING (doc_id) GROUP BY doc_id)
+  FROM cuts JOIN sized USING (doc_id) GROUP BY doc_id),
+said AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+runs AS (SELECT doc_id, i, hash(array_to_string(w[i + 1 : i + {_P}], ' ')) AS k FROM (SELECT *, unnest(range(len(w) - {_P - 1})) AS i FROM said WHERE len(w) >= {_P})),
+met AS (SELECT doc_id, i, least({_P}, lead(i, 1, i + {_P}) OVER (PARTITION BY doc_id ORDER BY i) - i) AS own FROM runs WHERE k IN (SELECT k FROM runs GROUP BY k HAVING count(*) > 1)),
+shared AS (SELECT doc_id, sum(own)::BIGINT AS n_passage FROM met GROUP BY doc_id)
 SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-       sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
-FROM sized LEFT JOIN parts USING (doc_id)"""
+       sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256, coalesce(n_passage, 0)::BIGINT AS n_passage_words
+FROM sized LEFT JOIN parts USING (doc_id) LEFT JOIN shared USING (doc_id)"""
 
 EMBEDDING_NEAR_DEDUP = f"""
 WITH RECURSIVE good AS (

@@ -6,8 +6,8 @@ import numpy as np
 
 from . import common
 
-#: Names beyond this make buckets of a few suffixes each, where a step for each bucket costs more than sorting ranks.
-MANY_NAMES = 2000
+#: Characters beyond this are written as digits where that makes a shorter text than the one that names them, as a step for each bucket would cost more.
+LARGE = 2000
 
 
 def types(text: np.ndarray) -> np.ndarray:
@@ -79,47 +79,42 @@ def induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarr
     return out
 
 
-def by_ranks(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes by rank doubling; only suffixes that are not yet alone are sorted again."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(n, np.int64)
-
-    def heads(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        return at[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-
-    rank[order] = heads(names[order], np.arange(n))
-    step, open_at = 1, np.arange(n)
-    while True:
-        ranks = rank[order[open_at]]
-        same = ranks[1:] == ranks[:-1]
-        alone = np.ones(len(open_at), bool)
-        alone[1:] &= ~same
-        alone[:-1] &= ~same
-        open_at = open_at[~alone]
-        if not len(open_at):
-            return order
-        place = order[open_at]
-        keys = rank[place] * (n + 1) + np.where(place + step < n, rank[np.minimum(place + step, n - 1)] + 1, 0)
-        inner = np.argsort(keys, kind="stable")
-        order[open_at] = place[inner]
-        rank[place[inner]] = heads(keys[inner], open_at)
-        step *= 2
-
-
-def suffix_array(text: np.ndarray) -> np.ndarray:
+def digits_of(most: int) -> tuple[int, int]:
+    """How many digits write the characters from 1 to ``most``, and their base: no more digits than needed, all of one size."""
+    width = 2
+    while LARGE**width < most:
+        width += 1
+    base = max(2, round(most ** (1 / width)))
+    return width, base + (base**width < most)
+
+
+def by_digits(text: np.ndarray) -> np.ndarray:
+    """The suffix array of a text with a large alphabet, from that of its characters' digits.
+
+    All characters but the last have as many digits, so suffixes that begin at a
+    character are in the order of the characters.
+    """
+    width, base = digits_of(int(text.max()))
+    rest, digits = text[:-1] - 1, np.empty((len(text) - 1, width), np.int64)
+    for i in range(width)[::-1]:
+        rest, digits[:, i] = np.divmod(rest, base)
+    order = suffix_array(np.append(digits.ravel() + 1, 0))
+    return order[order % width == 0] // width
+
+
+def suffix_array(text: np.ndarray, most: float = np.inf) -> np.ndarray:
     """Of characters from 0 on; the last one, 0, comes nowhere else.
 
     Suffixes are classified; the leftmost-smaller substrings are sorted by inducing,
-    named, and the string of their names is sorted recursively (by ranks once its
-    alphabet is large); the whole order is then induced from theirs. Substrings are
-    told apart by length and a 64-bit hash.
+    named, and the string of their names is sorted recursively; the whole order is
+    then induced from theirs. Substrings are told apart by length and a 64-bit hash.
+    A large alphabet is written in digits if that takes fewer than ``most``.
     """
     n = len(text)
     if n < 2:
         return np.arange(n)
+    if text.max() > LARGE and digits_of(int(text.max()))[0] * n < most:
+        return by_digits(text)
     small = types(text)
     sizes = np.bincount(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
@@ -136,25 +131,26 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     new[1:] = (hashes[k[1:]] != hashes[k[:-1]]) | ((ends - lms)[k[1:]] != (ends - lms)[k[:-1]])
     names = np.empty(len(lms), np.int64)
     names[k] = np.cumsum(new) - 1
-    if not new.all():
-        inner = suffix_array(names) if new.sum() <= MANY_NAMES else by_ranks(names)
-        ordered = lms[inner]
-    return induce(text, small, ordered, sizes)
+    return induce(text, small, ordered if new.all() else lms[suffix_array(names, 0.9 * n)], sizes)
 
 
-def reaches(order: np.ndarray, windows: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Whether the longest common prefix of a suffix with any other reaches a length.
+def common_prefixes(order: np.ndarray, hashes: common.Rolling, left: np.ndarray) -> np.ndarray:
+    """The permuted common prefixes: in text order, each suffix's with the one before it in the array.
 
-    ``windows`` has the hash of that many characters from each place, ``whole`` says
-    whether they lie in one string. The common prefixes are taken in text order of
-    neighbours in the suffix array, where only whether they reach the length counts:
-    a place's longest is that with one of its two neighbours, and whatever stands
-    between two places that share a whole window shares it too.
+    ``left`` has the characters from each place to the end of its string, beyond which
+    no prefix goes. All prefixes are lengthened at once, by halving steps, while the
+    hashes agree.
     """
-    out = np.zeros(len(windows), bool)
-    near = order[order < len(windows)]
-    near = near[whole[near]]
-    equal = windows[near[1:]] == windows[near[:-1]]
-    out[near[1:][equal]] = True
-    out[near[:-1][equal]] = True
+    n = len(order)
+    before = np.empty(n, np.int64)
+    before[order[1:]], before[order[0]] = order[:-1], order[0]
+    at, most, out = np.arange(n), np.minimum(left, left[before]), np.zeros(n, np.int64)
+    most[order[0]] = 0
+    step = 1 << int(most.max()).bit_length()
+    while step := step // 2:
+        longer = out + step
+        try_ = np.flatnonzero(longer <= most)
+        size, i, j = longer[try_], at[try_], before[try_]
+        same = hashes.segment(i, i + size) == hashes.segment(j, j + size)
+        out[try_[same]] = size[same]
     return out

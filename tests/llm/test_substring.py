@@ -1,3 +1,4 @@
+import dataclasses
 import hashlib
 from collections import Counter
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import sais, substring
+from lectern.llm import common, sais, substring
 
 
 def brute(texts, length):
@@ -23,13 +24,29 @@ def brute(texts, length):
     return out
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("large", [3, 2000])
+def test_suffix_arrays(monkeypatch, large):
+    monkeypatch.setattr(sais, "LARGE", large)
     rng = np.random.default_rng(0)
-    for _ in range(300):
-        text = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(0, 70)), 0)
+    for i in range(300):
+        text = np.append(rng.integers(1, rng.choice([2, 5, 30, 9000]), rng.integers(0, 90)), 0)
+        text = np.concatenate([text[:-1], text]) if i % 3 == 0 else text
         assert sais.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
 
 
+def test_common_prefixes_go_no_further_than_a_string():
+    text = np.frombuffer(b"abcab\1abcabc\1ab\1", np.uint8).astype(np.int64)
+    left = np.array([5, 4, 3, 2, 1, 0, 6, 5, 4, 3, 2, 1, 0, 2, 1, 0])
+    order = sais.suffix_array(np.append(text, 0))[1:]
+    got = sais.common_prefixes(order, common.Rolling(common.mix(text.astype(np.uint64))), left)
+    for i, j in zip(order[1:].tolist(), order[:-1].tolist(), strict=True):
+        n = 0
+        while n < min(left[i], left[j]) and text[i + n] == text[j + n]:
+            n += 1
+        assert got[i] == n
+    assert got[order[0]] == 0
+
+
 def corpus():
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdé"), 4))
@@ -40,13 +57,61 @@ def corpus():
     return texts
 
 
+def passage_words(texts, length):
+    """Words of each text in word windows that also start elsewhere."""
+    words = [t.split() for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    return [len({i + j for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for j in range(length)}) for w in words]
+
+
 @pytest.mark.parametrize("most", [2, 256])
 def test_against_brute_force(spark, most):
     texts = corpus()
     s = substring.Settings(length=30, anchor=10, shard_strings=most, pieces=(5, 1), batch_bytes=500)
+    of_words = substring.Settings(length=6, anchor=2, words=True, shard_strings=most, pieces=(2, 1), batch_bytes=500)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_bytes", F.lit("clash"))
-    got = [tuple(r)[1:] for r in substring.digest(df, s=s).orderBy("doc_id").collect()]
-    assert got == brute([(t or "").encode() for t in texts], 30)
+    got = [tuple(r)[1:] for r in substring.digest(df, s=s, passages=of_words).orderBy("doc_id").collect()]
+    data = [(t or "").encode() for t in texts]
+    assert got == [(*x, n) for x, n in zip(brute(data, 30), passage_words(data, 6), strict=True)]
+
+
+def without_repeats(texts, length):
+    """Each text's words without windows that start in an earlier text, or earlier in the same one."""
+    seen, out = set(), []
+    for t in texts:
+        words, gone = (t or "").encode().split(), set()
+        for i in range(len(words) - length + 1):
+            key = tuple(words[i : i + length])
+            if key in seen:
+                gone |= set(range(i, i + length))
+            seen.add(key)
+        out.append([w for i, w in enumerate(words) if i not in gone])
+    return out
+
+
+@pytest.mark.parametrize("most", [2, 256])
+def test_the_first_place_stays(spark, most):
+    texts = corpus()
+    s = substring.Settings(length=6, anchor=2, words=True, first_stays=True, shard_strings=most, pieces=(2, 1), batch_bytes=500)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text or "").encode().split() for r in substring.cleaned(df, s=s).collect()}
+    want = without_repeats(texts, 6)
+    # a document of which nothing is left goes, one that was empty stays
+    assert set(got) == {i for i, t in enumerate(texts) if want[i] or not t}
+    assert all(got[i] == want[i] for i in got)
+
+
+def test_a_short_worded_passage_of_51_words(spark):
+    rng = np.random.default_rng(1)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 4)) for _ in range(n))
+    passage, short = say(51), say(50)
+    assert len(passage) < 400
+    texts = [f"{say(30)} {passage}\n{say(20)}", f"{say(9)}  {passage} {say(9)}", f"{passage}", f"{say(5)} {short} {say(5)}", f"{short} {say(5)}"]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    rows = {r.doc_id: r for r in substring.cleaned(df, s=dataclasses.replace(substring.PASSAGES, first_stays=True)).collect()}
+    assert sorted(rows) == [0, 1, 3, 4] and all(rows[i].text == texts[i] for i in (0, 3, 4))
+    assert passage not in rows[1].text and len(rows[1].text.split()) == 18 and rows[1].n_chars == len(rows[1].text)
+    assert [r.n_passage_words for r in substring.digest(df).orderBy("doc_id").collect()] == [51, 51, 51, 0, 0]
 
 
 def test_cleaned_and_edges(spark):
@@ -62,3 +127,8 @@ def test_cleaned_and_edges(spark):
     twice = spark.createDataFrame([(1, "q" * 3 + "abcdefghij" * 4), (1, "q" * 3 + "abcdefghij" * 4), (1, "other text that is alone here, long enough"), (None, "one more text without an id, long enough")], "doc_id long, text string")
     rows = sorted((r.n_bytes, r.n_removed) for r in substring.digest(twice, s=s).collect())
     assert rows == [(40, 0), (42, 0), (43, 43), (43, 43)]
+    # where the first place stays, they are one place
+    kept = sorted(len(r.text) for r in substring.cleaned(twice, size_col=None, s=dataclasses.replace(s, first_stays=True)).collect())
+    assert kept == [13, 13, 40, 42]  # the second half of what repeats within a text goes
+    named = spark.createDataFrame([("b", "the same words here " * 2), ("a", "the same words here " * 2)], "doc_id string, text string")
+    assert [r.doc_id for r in substring.cleaned(named, size_col=None, s=dataclasses.replace(s, first_stays=True)).collect()] == ["a"]
