@@ -7,6 +7,8 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import common, minhash, packing, repetition, substring, weak_quality
@@ -28,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the passages of 400 bytes or more that come anywhere else; their sizes follow."""
-    return substring.cleaned(docs)
+    """The documents without the passages of more than 50 words that come in an earlier place; their sizes follow, and documents of which nothing is left go."""
+    return substring.cleaned(docs, s=replace(substring.PASSAGES, first_stays=True))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
