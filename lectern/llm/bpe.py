@@ -44,7 +44,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def pack(values: np.ndarray) -> bytes:
     """Numbers by byte planes, so that the high planes compress away."""
     flat = np.ascontiguousarray(values)
-    return zstandard.ZstdCompressor(3).compress(flat.view(np.uint8).reshape(len(flat), -1).T.tobytes())
+    return zstandard.ZstdCompressor(3).compress(flat.view(np.uint8).reshape(len(flat), flat.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
