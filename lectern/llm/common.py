@@ -182,6 +182,20 @@ class Shelf:
         self.held[id(out)] = out, path
         return out
 
+    def put_by(self, df: DataFrame, column: str, n: int) -> list[DataFrame]:
+        """The rows of the values 0 to n - 1 of a column, which goes, as a table each."""
+        path = shared_dir(self.spark)
+        df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+        fs, where = self._path(path)
+        fs.deleteOnExit(where)
+        out, shape = [], df.drop(column).schema
+        for i in range(n):
+            part = f"{path}/{column}={i}"
+            found = fs.exists(self._path(part)[1])
+            out.append(self.spark.read.schema(shape).parquet(part) if found else self.spark.createDataFrame([], shape))
+            self.held[id(out[-1])] = out[-1], part
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             fs, where = self._path(self.held.pop(id(t))[1])

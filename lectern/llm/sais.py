@@ -8,6 +8,8 @@ from . import common
 
 #: Characters beyond this are written as digits where that makes a shorter text than the one that names them, as a step for each bucket would cost more.
 LARGE = 2000
+#: Texts up to this length end the recursion.
+SHORT = 1 << 17
 
 
 def types(text: np.ndarray) -> np.ndarray:
@@ -27,19 +29,28 @@ def induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarr
     ends = np.cumsum(sizes)
     starts = ends - sizes
     out = np.full(n, -1, np.int64)
+    text = text.astype(np.uint16) if len(sizes) <= 1 << 16 else text  # sorted by radix
+    count = np.arange(n)
 
     def deal(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Stable order by character; each run's character and size, and each one's place in its run."""
-        order = np.argsort(chars, kind="stable")
+        k = len(chars)
+        order = chars.argsort(kind="stable")
         chars = chars[order]
-        head = np.flatnonzero(np.concatenate([[True], chars[1:] != chars[:-1]]))
-        size = np.diff(np.append(head, len(chars)))
-        return order, chars[head], size, np.arange(len(chars)) - np.repeat(head, size)
+        new = np.empty(k, bool)
+        new[0] = True
+        np.not_equal(chars[1:], chars[:-1], out=new[1:])
+        head = new.nonzero()[0]
+        size = np.empty(len(head), np.int64)
+        np.subtract(head[1:], head[:-1], out=size[:-1])
+        size[-1] = k - head[-1]
+        return order, chars[head], size, count[:k] - head.repeat(size)
 
-    order, runs, size, within = deal(text[lms])
     seeds = np.zeros(len(sizes), np.int64)
-    seeds[runs] = size
-    out[np.repeat(ends[runs] - size, size) + within] = lms[order]
+    if len(lms):
+        order, runs, size, within = deal(text[lms])
+        seeds[runs] = size
+        out[np.repeat(ends[runs] - size, size) + within] = lms[order]
 
     heads = starts.copy()
 
@@ -48,7 +59,7 @@ def induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarr
         p = p[~small[p]]
         if len(p):
             order, runs, size, within = deal(text[p])
-            out[np.repeat(heads[runs], size) + within] = p[order]
+            out[heads[runs].repeat(size) + within] = p[order]
             heads[runs] += size
 
     for c in np.flatnonzero(sizes).tolist():
@@ -67,7 +78,7 @@ def induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarr
         p = p[small[p]]
         if len(p):
             order, runs, size, within = deal(text[p])
-            out[np.repeat(tails[runs], size) - 1 - within] = p[order]
+            out[tails[runs].repeat(size) - 1 - within] = p[order]
             tails[runs] -= size
 
     for c in np.flatnonzero(sizes)[::-1].tolist():
@@ -102,17 +113,50 @@ def by_digits(text: np.ndarray) -> np.ndarray:
     return order[order % width == 0] // width
 
 
+def by_ranks(text: np.ndarray) -> np.ndarray:
+    """Order of the suffixes by rank doubling; only suffixes that are not yet alone are sorted again."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    rank = np.empty(n, np.int64)
+
+    def heads(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        return at[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+
+    rank[order] = heads(text[order], np.arange(n))
+    step, open_at = 1, np.arange(n)
+    while True:
+        ranks = rank[order[open_at]]
+        same = ranks[1:] == ranks[:-1]
+        alone = np.ones(len(open_at), bool)
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        open_at = open_at[~alone]
+        if not len(open_at):
+            return order
+        place = order[open_at]
+        keys = rank[place] * (n + 1) + np.where(place + step < n, rank[np.minimum(place + step, n - 1)] + 1, 0)
+        inner = np.argsort(keys, kind="stable")
+        order[open_at] = place[inner]
+        rank[place[inner]] = heads(keys[inner], open_at)
+        step *= 2
+
+
 def suffix_array(text: np.ndarray, most: float = np.inf) -> np.ndarray:
     """Of characters from 0 on; the last one, 0, comes nowhere else.
 
     Suffixes are classified; the leftmost-smaller substrings are sorted by inducing,
     named, and the string of their names is sorted recursively; the whole order is
     then induced from theirs. Substrings are told apart by length and a 64-bit hash.
-    A large alphabet is written in digits if that takes fewer than ``most``.
+    A large alphabet is written in digits if that takes fewer than ``most``; short
+    texts of names end the recursion and are sorted by their ranks.
     """
     n = len(text)
     if n < 2:
         return np.arange(n)
+    if n <= SHORT and most < np.inf:
+        return by_ranks(text)
     if text.max() > LARGE and digits_of(int(text.max()))[0] * n < most:
         return by_digits(text)
     small = types(text)
@@ -134,23 +178,28 @@ def suffix_array(text: np.ndarray, most: float = np.inf) -> np.ndarray:
     return induce(text, small, ordered if new.all() else lms[suffix_array(names, 0.9 * n)], sizes)
 
 
-def common_prefixes(order: np.ndarray, hashes: common.Rolling, left: np.ndarray) -> np.ndarray:
-    """The permuted common prefixes: in text order, each suffix's with the one before it in the array.
+def common_prefixes(order: np.ndarray, hashes: common.Rolling, left: np.ndarray, most: int) -> np.ndarray:
+    """The permuted common prefixes: in text order, each suffix's with the one before it in the array, ``most`` at most.
 
     ``left`` has the characters from each place to the end of its string, beyond which
-    no prefix goes. All prefixes are lengthened at once, by halving steps, while the
-    hashes agree.
+    no prefix goes. Those that do not reach as far as they may are lengthened by halving
+    steps while the hashes agree.
     """
     n = len(order)
     before = np.empty(n, np.int64)
     before[order[1:]], before[order[0]] = order[:-1], order[0]
-    at, most, out = np.arange(n), np.minimum(left, left[before]), np.zeros(n, np.int64)
-    most[order[0]] = 0
-    step = 1 << int(most.max()).bit_length()
+    out = np.minimum(np.minimum(left, left[before]), most)
+    out[order[0]] = 0
+
+    def agree(i: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return hashes.segment(i, i + size) == hashes.segment(before[i], before[i] + size)
+
+    open_ = np.flatnonzero(~agree(np.arange(n), out))
+    limit, found = out[open_], np.zeros(len(open_), np.int64)
+    step = 1 << int(limit.max(initial=0)).bit_length()
     while step := step // 2:
-        longer = out + step
-        try_ = np.flatnonzero(longer <= most)
-        size, i, j = longer[try_], at[try_], before[try_]
-        same = hashes.segment(i, i + size) == hashes.segment(j, j + size)
-        out[try_[same]] = size[same]
+        at = np.flatnonzero(found + step < limit)
+        at = at[agree(open_[at], found[at] + step)]
+        found[at] += step
+    out[open_] = found
     return out

@@ -121,7 +121,7 @@ def repeated_windows(found: list[np.ndarray], s: Settings) -> list[np.ndarray]:
     joined[ends - 1] = 1  # no unit of a string
     order = sais.suffix_array(np.append(joined, 0))[1:]
     left = np.repeat(ends - 1, sizes) - np.arange(len(joined))
-    shared = sais.common_prefixes(order, common.Rolling(common.mix(joined.astype(np.uint64) * common.BASE)), left)
+    shared = sais.common_prefixes(order, common.Rolling(common.mix(joined.astype(np.uint64) * common.BASE)), left, s.length)
     # a class is a run of suffixes that share a window each with the one before
     head = np.flatnonzero(shared[order] < s.length)
     many = np.diff(np.append(head, len(order)))
