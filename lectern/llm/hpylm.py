@@ -290,13 +290,11 @@ def keys_of(seq: np.ndarray, sizes: np.ndarray, classes: np.ndarray, end_class:
     return (seq.astype(np.int64) << CONTEXT_BITS) | before
 
 
-def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def counted(keys: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different keys in order, and how often each comes in training."""
-    cells = np.unique(keys)
-    seen, n = np.unique(keys[train], return_counts=True)
-    count = np.zeros(len(cells), np.uint32)
-    count[np.searchsorted(cells, seen)] = n
-    return cells, count
+    both = np.sort((keys << 1) | held)
+    head = np.flatnonzero(np.diff(both >> 1, prepend=-1))
+    return both[head] >> 1, np.add.reduceat(1 - (both & 1), head).astype(np.uint32)
 
 
 def table_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
@@ -391,7 +389,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             rank[order] = np.arange(len(own))  # words of a bucket have numbers that follow each other
             sizes = np.array([len(q) for q in block.seqs], np.int64)
             seq, classes, bucket = rank[np.concatenate(block.seqs)], class_of(crc[order]), crc[order] % n_buckets
-            cells, count = counted(keys_of(seq, sizes, classes, end_class), np.repeat(~np.array(block.held, bool), sizes))
+            cells, count = counted(keys_of(seq, sizes, classes, end_class), np.repeat(np.array(block.held, bool), sizes))
             n_cells = np.bincount(cells >> CONTEXT_BITS, minlength=len(own))
             edge = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
             first = np.concatenate([[0], np.cumsum(n_cells)])
@@ -528,7 +526,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         classes, seq = unpack(own.column("classes")[0].as_py(), np.uint16).astype(np.int64), unpack(own.column("data")[0].as_py(), np.uint32)
         sizes, held = np.array(own.column("sizes")[0].as_py(), np.int64), np.array(own.column("held")[0].as_py(), bool)
         keys = keys_of(seq, sizes, classes, end_class)
-        cells, local = counted(keys, np.repeat(~held, sizes))
+        order = np.argsort(keys)
+        new = np.diff(keys[order], prepend=-1) != 0
+        head = np.flatnonzero(new)
+        cells, local = keys[order[head]], np.add.reduceat(np.repeat(~held, sizes)[order].astype(np.int64), head)
+        cell_of = np.empty(len(keys), np.int64)
+        cell_of[order] = np.cumsum(new) - 1
         # a cell that was not given back has no customers but its own block's: one or none
         value = np.where(local > 0, 1 - of_contexts, 0.0)
         value[hits] = join("values", np.float32)
@@ -541,7 +544,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         starts = np.cumsum(sizes) - sizes
         per = lambda x: np.add.reduceat(x, starts)  # noqa: E731  no document is without its end token
         kind = own.schema.field("idents").type.value_type
-        total = per(of_cell[np.searchsorted(cells, keys)])
+        total = per(of_cell[cell_of])
         base = np.log10((count + 1) / (n + v + 1))
         return pa.table([pa.array(own.column("idents")[0].as_py(), kind), pa.array(held), pa.array(sizes), pa.array(per((count > 0).astype(np.int64)[seq])), pa.array(np.full(len(sizes), n, np.int64)), pa.array(per(base[seq])), pa.array(total), pa.array(10.0 ** np.minimum(-total / sizes, 300.0))], [id_col, *SCORED])
 
