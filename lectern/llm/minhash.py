@@ -4,10 +4,13 @@ A text is its five-word shingles (all its words, if it has fewer), each weighted
 one plus the logarithm of how often it comes. Each element arrives in the
 signature's slots by a Poisson process of its weight's rate; a slot keeps the element that arrives first, and an element is
 followed no further than the latest first arrival so far. Two slots agree with the
-probability Jaccard similarity of the weighted sets (Ertl 2020, ProbMinHash3).
+probability Jaccard similarity of the weighted sets (the plain process of Ertl 2020).
+A text with repeated shingles has a second signature, in which each counts once, so that
+two texts meet if they are alike in either way.
 
 Texts of the same words are one class from the start, found by an aggregation, so
-copies are never paired. Signatures of the classes' first documents are banded. In
+copies are never paired. A class is known by its smallest id and a hash of its words, so
+rows that share an id but not the text stay apart. Signatures of the classes are banded. In
 a bucket of at most ``few`` all members are compared. In a larger one every member
 is compared with the hub, the member that shares most buckets with others, and with
 the smallest id; and the bucket is split by the bands that follow, each in turn, into
@@ -24,8 +27,9 @@ weights, is high enough, as repeats within a text should not hide a copy. The li
 connected components are the classes.
 
 Texts without a word (null, empty, blank) are never grouped. Rows with a null id
-are returned alone with a null class. Equal rows fall into one class. Other columns
-are never read.
+are returned alone with a null class. Equal rows fall into one class, of which
+``keep_first`` keeps one row: that with the smallest id, of those with the smallest text
+hash, of those with the smallest hash of the whole row. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +92,11 @@ def weight(count: np.ndarray) -> np.ndarray:
     return 1 + np.log(count)
 
 
+def text_keys(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    hashes = common.Rolling(common.byte_values(2)[data])
+    return common.mix(hashes.segment(bounds[:-1], bounds[1:]) + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
 def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, m: int) -> np.ndarray:
     """The element that arrives first in each slot, for each document; documents without elements have zeros."""
     first = np.full(n * m, np.inf)
@@ -143,39 +152,52 @@ def similarity(va: np.ndarray, ca: np.ndarray, vb: np.ndarray, cb: np.ndarray) -
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """(id, k1, k2, bands): a hash of the words and the bands' keys; k1 and k2 are null for texts without a word."""
+    """(id, t, k1, k2, bands): hashes of the text, of the words in their order (null for texts without a word) and of the shingles; the bands' keys, and again for shingles counted once where they are not the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
             data, bounds = common.text_bytes(part.column("text"))
             doc, value, count, n_words, whole = shingles(data, bounds, s.words)
-            keys = band_keys(signatures(doc, value, count, part.num_rows, s.slots), s)
+            n = part.num_rows
+            keys = [band_keys(signatures(doc, value, count, n, s.slots), s)]
+            more = np.zeros(n, bool)
+            more[doc[count > 1]] = True
+            often = more[doc]
+            number = np.cumsum(more) - 1
+            plain = band_keys(signatures(number[doc[often]], value[often], np.ones(int(often.sum()), np.int64), int(more.sum()), s.slots), s)
             none = n_words == 0
             # of the multiset of shingles, beside that of the words in their order
-            other = np.zeros(part.num_rows, np.uint64)
+            other = np.zeros(n, np.uint64)
             np.add.at(other, doc, common.mix(value + count.astype(np.uint64)))
             k1, k2 = (pa.array(x.view(np.int64), mask=none) for x in (whole, common.mix(other + n_words.astype(np.uint64))))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * s.bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), k1, k2, bands], ["id", "k1", "k2", "bands"])
+            ends = np.cumsum(s.bands * (1 + more))
+            flat = np.empty(int(ends[-1]), np.int64)
+            first = np.zeros(len(flat), bool)
+            first[(ends - s.bands * (1 + more))[:, None] + np.arange(s.bands)] = True
+            flat[first], flat[~first] = keys[0].ravel(), plain.ravel()
+            bands = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(text_keys(data, bounds)), k1, k2, bands], ["id", "t", "k1", "k2", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, k1 long, k2 long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, t long, k1 long, k2 long, bands array<long>")
 
 
 def multisets(texts: DataFrame, sieve: common.Sieve, s: Settings) -> DataFrame:
-    """(id, elements, counts) as packed numbers, of the rows whose key ``k`` the sieve lets through."""
+    """(id, elements, counts) as packed numbers, of the rows whose key ``k`` the sieve lets through; the id is that of the class, one row for each."""
+    kind = f"struct<id:{texts.schema['id'].dataType.simpleString()},k1:bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = (b.filter(pa.array(sieve.may_have(b.column("k").to_numpy()))) for b in batches)
         for part in common.slices(some, "text"):
             data, bounds = common.text_bytes(part.column("text"))
-            doc, value, count, _, _ = shingles(data, bounds, s.words)
+            doc, value, count, _, whole = shingles(data, bounds, s.words)
             cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
             pairs = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([value[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([count[i:j].astype(np.uint32).tobytes() for i, j in pairs], pa.binary())], ["id", "elements", "counts"])
+            node = pa.StructArray.from_arrays([part.column("id"), pa.array(whole.view(np.int64))], ["id", "k1"])
+            yield pa.RecordBatch.from_arrays([node, pa.array([value[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([count[i:j].astype(np.uint32).tobytes() for i, j in pairs], pa.binary())], ["id", "elements", "counts"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, elements binary, counts binary")
+    found = texts.mapInArrow(run, f"id {kind}, elements binary, counts binary")
+    return found.groupBy("id").agg(F.first("elements").alias("elements"), F.first("counts").alias("counts"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -250,7 +272,8 @@ def across(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     def compare(cell: pa.Table) -> pa.Table:
         block, ci, cj = cell.column("block").to_numpy(), cell.column("ci")[0].as_py(), cell.column("cj")[0].as_py()
         values, counts = ([np.frombuffer(x.as_buffer(), t) for x in cell.column(c)] for c, t in (("elements", np.uint64), ("counts", np.uint32)))
-        root = cell.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        fields = [x.dictionary_encode().indices.to_numpy().astype(np.int64) for x in cell.column("root").combine_chunks().flatten()]
+        root = np.unique(fields[0] * (cell.num_rows + 1) + fields[1], return_inverse=True)[1]
         left, right = np.flatnonzero(block == ci), np.flatnonzero(block == cj)
         up = list(range(int(root.max()) + 1))
         found = []
@@ -286,26 +309,29 @@ def across(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return cells.repartition(parts, "key", "ci", "cj").groupBy("key", "ci", "cj").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """(id, class_id): the smallest id of the document's group."""
-    common.bounded_batches(docs.sparkSession)
-    rows = common.stored(signed(docs, id_col, text_col, s))
-    classes = rows.where("k1 IS NOT NULL AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("first"))
-    firsts = common.stored(rows.select("id", "k1", "k2").join(classes, ["k1", "k2"], "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("first", "id")).alias("first")))
-    own = firsts.where("id = first").select("id").distinct()
-    singles = rows.where("k1 IS NOT NULL").join(own, "id", "left_semi").select("id", "bands")
-    buckets = singles.select("id", F.posexplode("bands").alias("band", "key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = common.stored(buckets.join(sizes, "key").select("key", "id", "band", "n"))
-    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+def placed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
+    """(id, t, k1, root): each row with its id, text hash, hash of words, and the class (smallest id, its hash of words) of its group; the last two are null for rows of no group."""
+    spark = docs.sparkSession
+    common.bounded_batches(spark)
+    shelf = common.Shelf(spark)
+    rows = shelf.put(signed(docs, id_col, text_col, s))
+    # a class of copies is one row from here on, summed where it is read
+    alike = rows.where("k1 IS NOT NULL AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    classes = shelf.put(alike.select("k1", "k2", F.struct("id", "k1").alias("id"), "bands"))
+    singles = classes.select("id", "bands")
+    twin = F.get("bands", F.col("band") - s.bands)
+    buckets = singles.select("id", "bands", F.posexplode("bands").alias("band", "key")).where((F.col("band") < s.bands) | (F.col("key") != twin)).select("id", "band", "key")
+    sizes = shelf.put(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = shelf.put(buckets.join(sizes, "key").select("key", "id", "band", "n"))
+    degree = shelf.put(shared.groupBy("id").agg(F.sum("n").alias("degree")))
     # texts that share no bucket are left out where they are read
-    sieve = common.Sieve(degree.select(F.xxhash64("id").alias("k")))
-    sets = common.stored(multisets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("k")), sieve, s))
+    sieve = common.Sieve(degree.select(F.xxhash64("id.id").alias("k")))
+    sets = shelf.put(multisets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("k")), sieve, s))
 
     def grouped(rows: DataFrame) -> DataFrame:
         """Rows (key, id, degree, …) of buckets of two or more, with the bucket's size n, hub and smallest id."""
         found = rows.groupBy("key").agg(F.count("*").alias("n"), F.max_by("id", F.struct("degree", "id")).alias("hub"), F.min("id").alias("low")).where("n > 1")
-        return rows.join(found, "key")
+        return rows.join(shelf.put(found), "key")
 
     def candidates(level: DataFrame) -> DataFrame:
         """Pairs (id, other): all in a small bucket; with the hub and the smallest id in a large one."""
@@ -316,45 +342,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return starred[0].unionByName(starred[1]).unionByName(paired)
 
     with_degree = shared.join(degree, "id")
-    level = common.stored(with_degree.where(F.col("n") <= s.few).select("key", "id", "n", "band", "degree", F.col("id").alias("hub"), F.col("id").alias("low")).unionByName(grouped(with_degree.where(F.col("n") > s.few).drop("n")).select("key", "id", "n", "band", "degree", "hub", "low")))
+    level = shelf.put(with_degree.where(F.col("n") <= s.few).select("key", "id", "n", "band", "degree", F.col("id").alias("hub"), F.col("id").alias("low")).unionByName(grouped(with_degree.where(F.col("n") > s.few).drop("n")).select("key", "id", "n", "band", "degree", "hub", "low")))
     met = candidates(level)
     # the keys of the bands that follow split a large bucket, one after the other
-    ahead = F.transform(F.sequence(F.lit(1), F.lit(s.further)), lambda j: F.element_at("bands", ((F.col("band") + j) % s.bands + 1).cast("int")))
+    half, within = F.floor(F.col("band") / s.bands).cast("int") * s.bands, F.col("band") % s.bands
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(s.further)), lambda j: F.element_at("bands", (half + (within + j) % s.bands + 1).cast("int")))
     level = level.where(F.col("n") > s.few).join(singles, "id").select("key", "id", "degree", ahead.alias("ahead"))
     for _ in range(s.depth - 1):
         split = level.repartition("id", "key").select("key", "id", "degree", "ahead", F.posexplode("ahead").alias("at", "next"))
-        split = split.select(F.xxhash64("key", "next").alias("key"), "id", "degree", F.slice("ahead", F.col("at") + 2, F.lit(s.further)).alias("ahead"))
-        level = common.stored(grouped(split))
+        split = split.select(F.xxhash64("key", "next").alias("key"), "id", "degree", F.slice("ahead", F.col("at") + 2, F.lit(s.further)).alias("ahead")).distinct()
+        level = shelf.put(grouped(split))
         met = met.unionByName(candidates(level))
         level = level.where(F.col("n") > s.few).select("key", "id", "degree", "ahead")
         if level.isEmpty():
             break
-    pairs = common.stored(met.where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
-    common.released(docs.sparkSession)
-    roots = common.components(common.stored(verified(pairs, sets, s)))
+    pairs = shelf.put(met.where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
+    common.released(spark)
+    roots = common.components(shelf.put(verified(pairs, sets, s)))
     large = shared.where(F.col("n") > s.few).select("key", "id")
     if not large.isEmpty():
-        members = common.stored(large.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-        common.released(docs.sparkSession)
-        links = common.stored(across(members, sets, s))
+        members = shelf.put(large.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+        common.released(spark)
+        links = shelf.put(across(members, sets, s))
         if not links.isEmpty():
             roots = common.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-    out = firsts.join(roots.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("first"))
-    return out.select(F.col("id").alias(id_col), F.col("first").alias("class_id"))
+    rooted = shelf.put(classes.select("k1", "k2", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("root")))
+    shelf.clear(rows, rooted)
+    known = rows.where("id IS NOT NULL").select("id", "t", "k1", "k2").join(rooted, ["k1", "k2"], "left").select("id", "t", "k1", "root")
+    return known.unionByName(rows.where("id IS NULL").select("id", "t", F.lit(None).cast("long").alias("k1"), F.lit(None).cast(known.schema["root"].dataType).alias("root")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
+    """(id, class_id): the smallest id of the document's group."""
+    return placed(docs, id_col, text_col, s).select(F.col("id").alias(id_col), F.coalesce("root.id", "id").alias("class_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """The documents without those that are not the first of their group; all columns. Only documents that may go are shuffled."""
-    gone = common.stored(near_duplicates(docs, id_col, text_col, s).where(f"`{id_col}` <> class_id").select(F.col(id_col).alias("gone")))
-    sieve = common.Sieve(gone.select(F.xxhash64("gone").alias("k")))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(id_col).alias("k"))
+    shelf = common.Shelf(docs.sparkSession)
+    grouped = shelf.put(placed(docs, id_col, text_col, s).where("root IS NOT NULL"))
+    first = (F.col("id") == F.col("root.id")) & (F.col("k1") == F.col("root.k1"))
+    chosen = grouped.where(first).groupBy("root").agg(F.min("t").alias("t"), F.count("*").alias("n"))
+    # one text a class; its other rows go, and of equal rows all but one
+    stays = chosen.select(F.col("root.id").alias("id"), "t").distinct()
+    gone = shelf.put(grouped.select("id", "t").distinct().join(stays, ["id", "t"], "left_anti"))
+    twice = shelf.put(grouped.where(first).join(chosen.where("n > 1").select("root", F.col("t").alias("best")), "root").where("t = best").groupBy("id", "t").agg(F.count("*").alias("n")).where("n > 1").select("id", "t"))
+    shelf.drop(grouped)
+    sieve = common.Sieve(gone.unionByName(twice).select(F.col("t").alias("k")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    shape = T.StructType([T.StructField("row", docs.schema), T.StructField("id", docs.schema[id_col].dataType), T.StructField("t", T.LongType())])
 
     def sifted(some: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.select(["row"]).filter(pa.array(sieve.may_have(batch.column("k").to_numpy()) == some))
+                rows = batch.column("row")
+                flat = pa.RecordBatch.from_arrays([rows.field(id_col), rows.field(text_col), rows], ["id", "text", "row"])
+                for part in common.slices(iter([flat]), "text"):
+                    key = text_keys(*common.text_bytes(part.column("text")))
+                    yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(key)], ["row", "id", "t"]).filter(pa.array(sieve.may_have(key) == some))
 
         return run
 
-    maybe, sure = (whole.mapInArrow(sifted(some), T.StructType([T.StructField("row", docs.schema)])) for some in (True, False))
-    return maybe.join(gone, maybe["row"][id_col] == gone["gone"], "left_anti").unionByName(sure).select("row.*")
+    maybe, sure = (whole.mapInArrow(sifted(some), shape) for some in (True, False))
+    left = maybe.join(gone, ["id", "t"], "left_anti")
+    if not twice.isEmpty():
+        equal = Window.partitionBy("id", "t").orderBy(F.xxhash64(F.to_json("row")))
+        again = left.join(twice, ["id", "t"], "left_semi").withColumn("n", F.row_number().over(equal)).where("n = 1").drop("n")
+        left = left.join(twice, ["id", "t"], "left_anti").unionByName(again)
+    return left.unionByName(sure).select("row.*")

@@ -87,7 +87,59 @@ def test_edges(spark):
     assert minhash.near_duplicates(empty).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.class_id or 0) for r in minhash.near_duplicates(rows).collect()) == [(0, 0), (2, 2), (2, 2), (3, 3)]
-    assert minhash.keep_first(rows).count() == 4
+    assert minhash.keep_first(rows).count() == 3  # of equal rows one stays; that without an id is in no group
+
+
+def test_rows_that_share_an_id(spark):
+    a, b = "one two three four five six seven", "quite another text that stands alone here"
+    df = spark.createDataFrame([(1, a, "x"), (5, a, "y"), (5, b, "z"), (5, b, "z"), (7, a + "  ", "w"), (1, "  " + a, "v")], "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (5, 1), (5, 5), (5, 5), (7, 1)]
+    kept = minhash.keep_first(df).collect()
+    assert sorted((r.doc_id, r.text.strip()) for r in kept) == [(1, a), (5, b)]
+    # two texts of the smallest id are two groups
+    two = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in minhash.keep_first(two).collect()) == [(1, a), (1, b)]
+    named = spark.createDataFrame([("b", a), ("a", a), ("a", a)], "doc_id string, text string")
+    assert [r.doc_id for r in minhash.keep_first(named).collect()] == ["a"]
+
+
+def test_many_equal_rows_and_a_very_long_text(spark):
+    long = " ".join(f"w{i % 7919}x{i}" for i in range(60_000))
+    df = spark.createDataFrame([(3, "the same five words and more")] * 400 + [(4, long), (9, long + " end"), (5, "x" * 200_000)], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in minhash.keep_first(df).collect()) == [3, 4, 5]
+
+
+def test_repeats_do_not_hide_a_copy(spark):
+    """Plain similarity is over 0.8 for all, the weighted one far below; only signatures that count a shingle once make such texts meet."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    texts = []
+    for _ in range(25):
+        a = [word() for _ in range(100)]
+        b = a[:50] + [word()] + a[50:] + a[:40] * 49
+        texts += [" ".join(a), " ".join(b)]
+    weights = [{x: 1 + np.log(c) for x, c in sets(t).items()} for t in texts[:2]]
+    shared = weights[0].keys() & weights[1].keys()
+    assert len(shared) / len(weights[0].keys() | weights[1].keys()) >= 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+    want = classes(texts)
+    assert sum(w != i for i, w in enumerate(want)) >= 20 and [got[i] for i in range(len(texts))] == want
+
+
+def test_every_pair_of_a_table_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {i: sets(t) for i, t in texts.items()}
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    ids, links = sorted(texts), 0
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if found[i].keys() & found[j].keys() and alike(found[i], found[j]) >= 0.8:
+                links += 1
+                assert got[i] == got[j]
+    assert links >= 10
 
 
 def test_pairs_in_a_large_family(spark):
