@@ -12,15 +12,20 @@ bounded blocks; a pair counts only in the first bucket in which it meets, so no
 list of pairs is ever built: a cell emits each member's number of links and a
 spanning forest of them.
 
+A label has as many hashes a table as keep its buckets small were its vectors spread
+evenly, ``hashes`` at least, and ``more_tables`` tables more for each beyond that.
+
 Vectors that are null, empty, zero or hold null or non-finite components, and those
-with a null label, link with nothing; vectors of different lengths do not link
-either. Equal rows are vectors of their own. Other columns are never read.
+with a null label or id, link with nothing; vectors of different lengths do not link
+either. Components are doubles, and a vector is scaled by a power of two first, so that
+squares neither vanish nor overflow. Labels of any type are compared as they are. Equal
+rows are vectors of their own. Other columns are never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,15 @@ class Settings:
     probes: int = 4
     block: int = 1000
     seed: int = 3
+    even: int = 4
+    more_tables: int = 4
+
+    def suited(self, members: int, width: int) -> Settings:
+        """For labels of so many vectors: ``even`` of them a bucket at most, were they spread evenly."""
+        hashes = self.hashes
+        while self.even * (2 * width) ** hashes < members:
+            hashes += 1
+        return replace(self, hashes=hashes, tables=self.tables + self.more_tables * (hashes - self.hashes))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -121,18 +135,27 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
 
 def matrix(column: pa.Array, rows: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
 def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", s: Settings = Settings()) -> DataFrame:
     """(id, n_links, component_id) of every vector."""
     common.bounded_batches(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).cast("long").alias("label"))
+    spark = vectors.sparkSession
+    shelf = common.Shelf(spark)
+    label = F.col(label_col)
+    if vectors.schema[label_col].dataType.typeName() in ("float", "double"):
+        label = F.when(label == 0, F.lit(0.0)).otherwise(label)  # one zero
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), label.alias("label"))
     kind = rows.schema["id"].dataType.simpleString()
     # a null component makes forall null, which is not true
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
-    good = rows.where(fine)
-    classes = common.stored(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    # one zero in vectors too, so that equal ones are alike
+    good = rows.where(fine).withColumns({"v": F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)), "mark": F.xxhash64("label")})
+    classes = shelf.put(good.groupBy("mark", "label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "v", F.col("mark").alias("label"), "n", F.col("label").alias("own_label")))
+    largest = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).agg(F.max("n"), F.max("d")).first()
+    s = s.suited(largest[0] or 0, max(2, 1 << ((largest[1] or 1) - 1).bit_length()))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,7 +174,9 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 yield pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int64)), part.column("id").take(pa.array(at[0])), pa.array(is_own[at])], ["key", "id", "own"])
 
     met = classes.select("id", "v", "label").mapInArrow(keys, f"key long, id {kind}, own boolean")
+    met = shelf.put(met)
     counts = met.groupBy("key").agg(F.count("*").alias("members"), F.max("own").alias("any_own")).where("members > 1 AND any_own")
+    counts = shelf.put(counts)
     blocks = F.ceil(F.col("members") / s.block).cast("int")
     own_block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     cells = met.join(counts, "key").withColumn("blocks", blocks).withColumn("block", own_block).select("key", "id", "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -200,11 +225,13 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             yield out(cell(held))
 
     dealt = cells.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "id")
-    found = common.stored(dealt.mapInArrow(compare, f"id {kind}, links long, other {kind}"))
+    found = shelf.put(dealt.mapInArrow(compare, f"id {kind}, links long, other {kind}"))
+    shelf.drop(met, counts)
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = common.components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     summed = classes.join(sums, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    summed = summed.select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    summed = shelf.put(summed.select(F.col("own_label").alias("label"), "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id")))
+    shelf.clear(summed)
     of_good = good.join(summed, ["label", "v"]).select("id", "n_links", "component_id")
     alone = rows.where(~fine).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return of_good.unionByName(alone).withColumnRenamed("id", id_col)

@@ -51,3 +51,38 @@ def test_empty_and_one_row(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 3)], "vec_id long, embedding array<float>, label int")
     assert crosspoly.linked(df.limit(0)).count() == 0
     assert [tuple(r) for r in crosspoly.linked(df).collect()] == [(1, 0, 1)]
+
+
+def test_labels_and_components_as_they_are(spark):
+    a, b = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0]
+    for kind, labels in (("string", ["x", "x", "y", None]), ("double", [1.2, 1.2, 1.7, None]), ("date", None)):
+        if kind == "date":
+            import datetime
+
+            labels = [datetime.date(2020, 1, 1), datetime.date(2020, 1, 1), datetime.date(2020, 1, 2), None]
+        df = spark.createDataFrame([(i, b if i == 1 else a, c, "clash") for i, c in enumerate(labels)], f"vec_id long, embedding array<float>, label {kind}, component_id string")
+        assert {r.vec_id: (r.n_links, r.component_id) for r in crosspoly.linked(df).collect()} == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3)}
+    wide = [(0, [1e-60, 0.0], 0.0), (1, [1e60, 0.0], -0.0), (2, [1e-200, 1e-220], 0.0), (3, [0.0, 1e308], 0.0), (4, [-0.0, 1e-308], 0.0)]
+    df = spark.createDataFrame(wide, "vec_id long, embedding array<double>, label double")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in crosspoly.linked(df).collect()} == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3)}
+
+
+def test_equal_rows_and_repeated_ids(spark):
+    df = spark.createDataFrame([(3, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (5, [2.0, 4.0], 1), (None, [1.0, 2.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in crosspoly.linked(df).collect()) == [(-1, 0, -1), (3, 2, 3), (3, 2, 3), (5, 2, 3)]
+
+
+def test_more_hashes_for_large_labels():
+    s = crosspoly.Settings()
+    assert s.suited(60_000, 64) == s
+    assert (s.suited(70_000, 64).hashes, s.suited(70_000, 64).tables) == (3, 14)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 64))
+    y = x + rng.normal(size=x.shape) * 0.27
+    cosine = (x * y).sum(1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
+    at = np.flatnonzero(cosine >= 0.93)
+    grown = s.suited(10**7, 64)
+    assert grown.hashes > 2 and len(at) > 300
+    (a, pa_), (b, pb) = (crosspoly.buckets(v[at], np.zeros(len(at), np.int64), grown) for v in (x, y))
+    met = ((a[:, :, None] == pb).any(2) | (b[:, :, None] == pa_).any(2)).any(1)
+    assert met.mean() > 0.97
