@@ -33,7 +33,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "math", "object")
 #: A start tag of the key ends open elements of these names.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
-PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?/][^>]*(?:>|\Z)|<|[^<]+", re.S | re.I)
+#: What closes a quoted value: the tag's end, or names of further attributes up to one with a value or the tag's end.
+CLOSED = r"(?=\s*(?:[^\s\"'<>/=]+\s*)*(?:=|/?>|\Z))"
+#: A tag's attributes; a quote that opens no closed value is a character like others, and so an unclosed value ends with the tag.
+ATTRIBUTES = rf"(?:[^=<>]++|=\s*+(?:\"[^\"]*\"{CLOSED}|'[^']*'{CLOSED}|[^\s<>]*+))*+"
+PIECE = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    # an element of raw text up to its end tag; a slash does not close it if its end tag comes before the next such element
+    rf"|<({'|'.join(RAW)})\b(?:(?P<slash>{ATTRIBUTES}(?<=/)>(?:(?:(?!<(?P=raw)\b).)*?</(?P=raw)\s*>)?)|{ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z))".replace("<(", "<(?P<raw>", 1)
+    + rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>{ATTRIBUTES})(?:>|\Z|(?=<))"
+    r"|<[!?/][^>]*(?:>|\Z)|<|[^<]+",
+    re.S | re.I,
+)
 NAMED = re.compile(r"(?:\s|^)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT = re.compile(r"[\W_]+|(?<=[a-z])(?=[A-Z])")
 SPACES = re.compile(r"[\x20\x09-\x0d\xa0]+")
@@ -64,16 +75,16 @@ def blocks(page: str) -> list[Block]:
             linked = 0
 
     for m in PIECE.finditer(page):
-        name = m[3]
+        name = m["name"]
         if name is None:
-            if m[1] is None and not (whole := m[0]).startswith(("<!", "<?", "</")):
+            if m["raw"] is None and not (whole := m[0]).startswith(("<!", "<?", "</")):
                 held.append(whole)
                 linked += len(whole) if in_link else 0
             continue
         name = name.lower()
         if name in BLOCKS:
             end()
-        if m[2]:
+        if m["end"]:
             if any(x == name for x, _ in stack):
                 while True:
                     x, _ = stack.pop()
@@ -92,10 +103,10 @@ def blocks(page: str) -> list[Block]:
             if closes and stack and stack[-1][0] in closes:
                 stack.pop()
         keys = [f"<{name}>"]
-        if m[4]:
-            for a in NAMED.finditer(m[4]):
+        if m["attributes"]:
+            for a in NAMED.finditer(m["attributes"]):
                 keys += [x.lower() for x in SPLIT.split(a[2] or a[3] or a[4] or "") if x and not x.isdigit()]
-        if not m[4].endswith("/"):
+        if not m["attributes"].endswith("/"):
             stack.append((name, " ".join(keys)))
             in_link += name == "a"
     end()

@@ -20,6 +20,20 @@ def test_blocks():
     assert [b.text for b in H.blocks("a<!-- never closed <p>b")] == ["a"]
 
 
+def test_broken_tags_leave_nothing_in_the_text():
+    said = lambda page: [b.text for b in H.blocks(page)]
+    assert said("<p title=it's>Hello</p>") == ["Hello"]
+    assert said('<p title="never closed>Hello <a href="x y">go</a></p>') == ["Hello go"]
+    assert said("<p title='it's fine' hidden>Hi</p><p class='a > b'>yes</p>") == ["Hi", "yes"]
+    assert said('<div data-x="<b>q</b>" id=k>in</div>') == ["in"]
+    assert said("<script src=a.js/>var a=1;</script>after") == ["after"]
+    assert said("<script src='x'/>mid <script>var b</script>end") == ["mid end"]
+    assert said("<svg/>x<style>p{}</style>y<script>never closed") == ["xy"]
+    assert said("a < b and <3 <b>c</b> <p disabled") == ["a < b and <3 c"]
+    page = "<p a=\"" * 3000 + "'<" * 3000
+    assert isinstance(H.blocks(page), list)
+
+
 def test_viterbi_is_the_best_path(model):
     rng = np.random.default_rng(0)
     for _ in range(30):
@@ -55,3 +69,5 @@ def test_pages(spark, model):
     got = {r.page_id: r for r in H.main_text(odd, model=model).collect()}
     assert got[1].text == "" and got[2].n_chars == 0 and len(got) == 4
     assert H.main_text(odd.limit(0), model=model).count() == 0
+    twice = pages.limit(3).unionByName(pages.limit(3))
+    assert sorted(r["count"] for r in H.main_text(twice, model=model).groupBy("page_id", "text").count().collect()) == [2, 2, 2]
