@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Shards get numbers of their own below this many bins.
 SHARD_BINS = 1 << 24
 
@@ -116,5 +118,6 @@ def pack(docs: DataFrame, size: str, source: str, cluster: str, id_col: str = "d
 def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", s: Settings = Settings()) -> DataFrame:
     """Packs texts by their words; the cluster of a text is its set of exact copies."""
     words = F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    sized = docs.select(F.col(id_col), words.alias("n_words_"), F.col(source_col).alias("source_"), F.when(F.col(text_col) != "", F.xxhash64(text_col)).alias("cluster_"))
+    # texts are read once: what is packed is their sizes
+    sized = common.stored(docs.select(F.col(id_col), words.alias("n_words_"), F.col(source_col).alias("source_"), F.when(F.col(text_col) != "", F.xxhash64(text_col)).alias("cluster_")))
     return pack(sized, "n_words_", "source_", "cluster_", id_col, s)
