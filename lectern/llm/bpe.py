@@ -98,7 +98,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     common.bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    n_buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // BLOCK_BYTES))
     vocabulary = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary file
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
 
