@@ -47,8 +47,9 @@ HEURISTICS = {
     "triples": (-1.0, 0.4, 0.8, 2.0),
 }
 
-#: How a heuristic that votes is expected to vote on bad and on good texts before any is seen: bad, good. It keeps the classes from changing places.
-EXPECTED = ((0.5, 0.5), (0.01, 0.99))
+#: How a heuristic that votes is expected to vote on bad and on good texts before any is seen: bad, good. It keeps the classes from changing places
+#: and weighs as much as so many bad and good texts, however many there are.
+EXPECTED, WEIGHT = ((0.5, 0.5), (0.01, 0.99)), (50, 200)
 
 
 @dataclass(frozen=True)
@@ -139,8 +140,8 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.
         for j in range(patterns.shape[1]):
             for v in (0, 1):
                 at = patterns[:, j] == v
-                table[j, 1, v] = (p * counts)[at].sum() + EXPECTED[1][v] * 0.2 * total
-                table[j, 0, v] = ((1 - p) * counts)[at].sum() + EXPECTED[0][v] * 0.05 * total
+                table[j, 1, v] = (p * counts)[at].sum() + EXPECTED[1][v] * WEIGHT[1]
+                table[j, 0, v] = ((1 - p) * counts)[at].sum() + EXPECTED[0][v] * WEIGHT[0]
         table /= table.sum(2, keepdims=True)
         log = np.log(np.array([max(1 - prior, 1e-9), max(prior, 1e-9)]))[None, :].repeat(len(patterns), 0)
         for j in range(patterns.shape[1]):

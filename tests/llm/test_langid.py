@@ -25,6 +25,13 @@ def test_edges(spark):
     rows = {r.doc_id: r for r in langid.identify(docs.unionByName(odd).withColumn("score", F.lit("x")), F.lit(True)).collect()}
     assert [rows[i].lang_pred for i in (10_000, 10_001, 10_002)] == ["und"] * 3
     assert rows[10_000].score == 0 and rows[None].lang_pred == "en"
+    # very long texts, repeated rows, and a text of two languages
+    german = next(r.text for r in docs.where("lang = 'de'").orderBy(F.length("text").desc()).limit(1).collect())
+    more = spark.createDataFrame([(20_000, german * 100, None), (20_001, german, "fr"), (20_001, german, "fr"), (20_002, "the of and der die und " * 20, None), (20_003, "x" * 300_000, None)], docs.schema)
+    found = langid.identify(docs.unionByName(more), F.lit(True)).where("doc_id >= 20000").collect()
+    by_id = {r.doc_id: r for r in found}
+    assert len(found) == 5 and by_id[20_000].lang_pred == "de" and len({(r.lang_pred, r.score) for r in found if r.doc_id == 20_001}) == 1
+    assert by_id[20_002].lang_pred in ("en", "de") and all(0 <= r.score <= 1 for r in found)
     alone = langid.identify(docs.limit(5), F.lit(False)).collect()
     assert {r.lang_pred for r in alone} == {"und"}
     assert langid.identify(docs.limit(0), F.lit(True)).count() == 0

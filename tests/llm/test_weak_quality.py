@@ -18,6 +18,18 @@ def test_em_finds_accuracies():
     assert (table[:, 0, 0] > table[:, 1, 0] + 0.2).all()
 
 
+def test_data_outweigh_the_expected_accuracies():
+    """A heuristic that calls a third of the good texts bad is found out, given enough texts."""
+    rng = np.random.default_rng(2)
+    n, k = 200_000, len(W.HEURISTICS)
+    good = rng.random(n) < 0.8
+    votes = np.where(rng.random((n, k)) < np.where(good[:, None], 0.97, 0.8), good[:, None], ~good[:, None]).astype(int)
+    votes[:, 3] = np.where(good & (rng.random(n) < 0.33), 0, good)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    _, table, _ = W.em(patterns, counts.astype(float))
+    assert abs(table[3, 1, 0] - 0.33) < 0.02 and abs(table[0, 1, 0] - 0.03) < 0.01
+
+
 def test_labels_agree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
