@@ -178,28 +178,40 @@ def suffix_array(text: np.ndarray, most: float = np.inf) -> np.ndarray:
     return induce(text, small, ordered if new.all() else lms[suffix_array(names, 0.9 * n)], sizes)
 
 
-def common_prefixes(order: np.ndarray, hashes: common.Rolling, left: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, left: np.ndarray, most: int) -> np.ndarray:
     """The permuted common prefixes: in text order, each suffix's with the one before it in the array, ``most`` at most.
 
     ``left`` has the characters from each place to the end of its string, beyond which
-    no prefix goes. Those that do not reach as far as they may are lengthened by halving
-    steps while the hashes agree.
+    no prefix goes. Where the characters before two neighbours are equal, their common
+    prefix is one less than that of the place before; the other, irreducible ones are
+    found by hashes, in steps that double while they agree and are halved after that.
     """
     n = len(order)
     before = np.empty(n, np.int64)
-    before[order[1:]], before[order[0]] = order[:-1], order[0]
-    out = np.minimum(np.minimum(left, left[before]), most)
-    out[order[0]] = 0
-
-    def agree(i: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return hashes.segment(i, i + size) == hashes.segment(before[i], before[i] + size)
-
-    open_ = np.flatnonzero(~agree(np.arange(n), out))
-    limit, found = out[open_], np.zeros(len(open_), np.int64)
-    step = 1 << int(limit.max(initial=0)).bit_length()
-    while step := step // 2:
-        at = np.flatnonzero(found + step < limit)
-        at = at[agree(open_[at], found[at] + step)]
-        found[at] += step
-    out[open_] = found
-    return out
+    before[order[1:]], before[order[0]] = order[:-1], -1
+    free = np.ones(n, bool)
+    at = np.flatnonzero(before[1:] > 0) + 1
+    free[at] = text[at - 1] != text[before[at] - 1]
+    i = np.flatnonzero(free & (before >= 0))
+    j, hashes = before[i], common.Rolling(common.mix(text.astype(np.uint64) * common.BASE + np.uint64(7)))
+    limit, found = n - np.maximum(i, j), np.zeros(len(i), np.int64)
+
+    def grow(some: np.ndarray, step: int) -> np.ndarray:
+        """Of some places, those whose prefix is longer by a step, made so."""
+        some = some[found[some] + step <= limit[some]]
+        a, b = i[some] + found[some], j[some] + found[some]
+        some = some[hashes.segment(a, a + step) == hashes.segment(b, b + step)]
+        found[some] += step
+        return some
+
+    some, step, tried = np.arange(len(i)), 1, []
+    while len(some):
+        tried.append(some)
+        some, step = grow(some, step), 2 * step
+    for k in range(len(tried) - 2, -1, -1):  # whoever took a step failed at a larger one
+        grow(tried[k + 1], 1 << k)
+    out = np.zeros(n, np.int64)
+    out[i] = found
+    head = np.maximum.accumulate(np.where(free, np.arange(n), 0))
+    out = np.maximum(out[head] - (np.arange(n) - head), 0)
+    return np.minimum(np.minimum(out, most), np.minimum(left, left[np.maximum(before, 0)]))

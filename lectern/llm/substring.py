@@ -45,12 +45,12 @@ STEP = np.uint64(0x9FB21C651E98DF25)
 @dataclass(frozen=True)
 class Settings:
     length: int = 400
-    anchor: int = 100
+    anchor: int = 150
     words: bool = False
     first_stays: bool = False
     shard_strings: int = 256
     pieces: tuple[int, ...] = (16, 1)
-    batch_bytes: int = 600_000
+    batch_bytes: int = 300_000
     slice_bytes: int = 250_000
 
     @property
@@ -60,7 +60,7 @@ class Settings:
 
 
 #: Passages of more than 50 words.
-PASSAGES = Settings(length=51, anchor=12, words=True)
+PASSAGES = Settings(length=51, anchor=18, words=True)
 
 
 def units(data: np.ndarray, bounds: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -91,16 +91,17 @@ def strings(values: np.ndarray, bounds: np.ndarray, s: Settings) -> tuple[np.nda
         if span < width:
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
         anchor = (least & low).astype(np.int64)
-        place = np.arange(len(anchor)) + begin
-        doc = np.searchsorted(bounds, place, "right") - 1 if len(bounds) > 2 else np.zeros(len(place), np.int64)
-        inside = place + s.length <= bounds[doc + 1]
+        # where the text of each window's start ends
+        stop = np.repeat(bounds[1:], np.diff(bounds))[begin : begin + len(anchor)] - begin
+        inside = np.arange(s.length, s.length + len(anchor)) <= stop
         new = np.ones(len(anchor) + 1, bool)
-        new[1:-1] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+        new[1:-1] = (anchor[1:] != anchor[:-1]) | (stop[1:] != stop[:-1]) | (inside[1:] != inside[:-1])
         cut = np.flatnonzero(new)
         start, end = cut[:-1], cut[1:]
         keep = inside[start]
         start, end = start[keep], end[keep]
-        parts.append((grams[anchor[start]], common.mix(hashes.segment(start, end + s.length - 1) + (end - start).astype(np.uint64)), doc[start], begin + start - bounds[doc[start]], end - start))
+        doc = np.searchsorted(bounds, start + begin, "right") - 1
+        parts.append((grams[anchor[start]], common.mix(hashes.segment(start, end + s.length - 1) + (end - start).astype(np.uint64)), doc, begin + start - bounds[doc], end - start))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (*(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 3)
 
 
@@ -121,7 +122,7 @@ def repeated_windows(found: list[np.ndarray], s: Settings) -> list[np.ndarray]:
     joined[ends - 1] = 1  # no unit of a string
     order = sais.suffix_array(np.append(joined, 0))[1:]
     left = np.repeat(ends - 1, sizes) - np.arange(len(joined))
-    shared = sais.common_prefixes(order, common.Rolling(common.mix(joined.astype(np.uint64) * common.BASE)), left, s.length)
+    shared = sais.common_prefixes(joined, order, left, s.length)
     # a class is a run of suffixes that share a window each with the one before
     head = np.flatnonzero(shared[order] < s.length)
     many = np.diff(np.append(head, len(order)))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import common, sais, substring
+from lectern.llm import sais, substring
 
 
 def brute(texts, length):
@@ -36,26 +36,21 @@ def test_suffix_arrays(monkeypatch, large):
 
 
 def test_common_prefixes_go_no_further_than_a_string():
-    text = np.frombuffer(b"abcab\1abcabc\1ab\1", np.uint8).astype(np.int64)
-    left = np.array([5, 4, 3, 2, 1, 0, 6, 5, 4, 3, 2, 1, 0, 2, 1, 0])
-    order = sais.suffix_array(np.append(text, 0))[1:]
-    got = sais.common_prefixes(order, common.Rolling(common.mix(text.astype(np.uint64))), left, 5)
-    for i, j in zip(order[1:].tolist(), order[:-1].tolist(), strict=True):
-        n = 0
-        while n < min(left[i], left[j]) and text[i + n] == text[j + n]:
-            n += 1
-        assert got[i] == min(n, 5)
-    assert got[order[0]] == 0
-
-
-def corpus():
-    rng = np.random.default_rng(3)
-    word = lambda: "".join(rng.choice(list("abcdé"), 4))
-    passage = " ".join(word() for _ in range(12))
-    texts = [" ".join(word() for _ in range(int(n))) for n in rng.integers(0, 60, 40)]
-    texts += [f"{texts[i]} {passage} {texts[i + 1]}" for i in range(10)]
-    texts += [passage[k : k + 40] + word() for k in range(0, 20, 3)] + [texts[3], texts[3], "ab" * 80, "z" * 90, "", None]
-    return texts
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        parts = [rng.integers(2, 4 + trial % 3, rng.integers(1, 30)).tolist() for _ in range(5)]
+        parts += parts[:2] + [[2] * 20, [2, 3] * 12]
+        text = np.array([x for p in parts for x in [*p, 1]])
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        left = np.repeat(ends - 1, np.diff(np.append(0, ends))) - np.arange(len(text))
+        order, most = sais.suffix_array(np.append(text, 0))[1:], int(rng.integers(1, 40))
+        got = sais.common_prefixes(text, order, left, most)
+        for i, j in zip(order[1:].tolist(), order[:-1].tolist(), strict=True):
+            n = 0
+            while n < min(left[i], left[j]) and text[i + n] == text[j + n]:
+                n += 1
+            assert got[i] == min(n, most)
+        assert got[order[0]] == 0
 
 
 def passage_words(texts, length):
