@@ -29,25 +29,34 @@ def test_against_brute_force():
         assert packing.best_fit(*args)[0] == brute(*args)
 
 
+def check_bins(pieces, sizes, sources, capacity):
+    """Rows (id, piece, start, size, bin, place): documents are whole, places follow each other, and no bin is too full or has a source twice."""
+    total, bins = {}, {}
+    for p in pieces:
+        total[p[0]] = total.get(p[0], 0) + p[3]
+        bins.setdefault(p[4], []).append(p)
+    assert total == sizes
+    for held in bins.values():
+        at = 0
+        for p in sorted(held, key=lambda p: (p[5], p[3])):
+            assert p[5] == at and p[2] == p[1] * capacity
+            at += p[3]
+        assert at <= capacity
+        known = [sources[p[0]] for p in held if sources[p[0]]]
+        assert len(known) == len(set(known))
+
+
 def test_frames(spark):
     rows = [(i, " ".join(["w"] * (i % 40)), f"s{i % 5 if i % 3 else 0}") for i in range(300)] + [(300, None, None), (301, "", "s1"), (302, " ".join(map(str, range(2500))), "s2"), (303, "same text", None), (304, "same text", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("bin", F.lit("clash"))
     s = packing.Settings(capacity=64, shard_items=100)
     got = packing.pack_texts(df, s=s).collect()
     texts = {r[0]: (r[1] or "", r[2]) for r in rows}
-    size, bins = {}, {}
+    check_bins([(r.doc_id, r.piece, r.start, r["size"], r.bin, r.place) for r in got], {i: len(t.split()) for i, (t, _) in texts.items()}, {i: c for i, (_, c) in texts.items()}, 64)
+    bins = {}
     for r in got:
-        size[r.doc_id] = size.get(r.doc_id, 0) + r.size
-        bins.setdefault(r.bin, []).append(r)
-    assert size == {i: len(t.split()) for i, (t, _) in texts.items()}
+        bins.setdefault(r.bin, []).append(texts[r.doc_id][0])
     for held in bins.values():
-        held.sort(key=lambda r: (r.place, r.size))
-        at = 0
-        for r in held:
-            assert r.place == at
-            at += r.size
-        assert at <= 64
-        sources = [texts[r.doc_id][1] for r in held if texts[r.doc_id][1]]
-        same = [texts[r.doc_id][0] for r in held if texts[r.doc_id][0]]
-        assert len(sources) == len(set(sources)) and len(same) == len(set(same))
+        same = [t for t in held if t]
+        assert len(same) == len(set(same))
     assert packing.pack_texts(df.limit(0), s=s).count() == 0
