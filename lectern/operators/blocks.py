@@ -94,16 +94,24 @@ def full_text(segs: DataFrame, separator: str = " ") -> DataFrame:
 
 
 def neighbour_context(blocks: DataFrame, width: int = 250, separator: str = " ") -> DataFrame:
-    """Adds ``left`` and ``right``: the nearest ``width`` characters around each block, from raw texts."""
-    rows = kept(blocks).withColumn("_raw", F.nullif(T.normalize_text(block_text(use_description=False)), F.lit("")))
-    # no neighbour beyond ``width`` texts matters, as each has a character at least
-    row = lambda a, b: F.array_join(F.collect_list("_raw").over(in_doc().rowsBetween(a, b)), separator)
-    rows = rows.withColumn("left", F.right(row(-_span(width), -1), F.lit(width))).withColumn("right", F.left(row(1, _span(width)), F.lit(width)))
-    return rows.drop("_raw")
-
-
-def _span(width: int) -> int:
-    return 4 * width
+    """Adds ``left`` and ``right``: the nearest ``width`` characters around each block, from raw texts.
+
+    Blocks are counted without the blank ones, and as each has a character and a
+    separator at least, no text beyond half the width matters; of each, no more than
+    the width.
+    """
+    raw = F.nullif(T.normalize_text(block_text(use_description=False)), F.lit(""))
+    rows = kept(blocks).withColumn("_raw", raw)
+    rows = rows.withColumn("_k", F.count("_raw").over(in_doc().rowsBetween(Window.unboundedPreceding, 0)))
+    counted, most = Window.partitionBy("doc_id").orderBy("_k"), width // (1 + len(separator)) + 1
+    near = lambda c, a, b: F.collect_list(c).over(counted.rangeBetween(a, b))
+    ends, heads = F.right("_raw", F.lit(width)), F.left("_raw", F.lit(width))
+    before = near(ends, -most, -1)
+    # a blank block has the number of the text before it
+    last = F.last(ends, ignorenulls=True).over(in_doc().rowsBetween(Window.unboundedPreceding, 0))
+    before = F.when(F.col("_raw").isNull() & last.isNotNull(), F.array_append(before, last)).otherwise(before)
+    rows = rows.withColumn("left", F.right(F.array_join(before, separator), F.lit(width))).withColumn("right", F.left(F.array_join(near(heads, 1, most), separator), F.lit(width)))
+    return rows.drop("_raw", "_k")
 
 
 def describe_special(blocks: DataFrame, model, template: str = "{context_block}", width: int = 250) -> DataFrame:
