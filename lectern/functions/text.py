@@ -116,6 +116,14 @@ def predict_tokens(base: Column, attempt: Column, factor: float = 2.0, most: int
     return F.when((attempt > 0) & (base > 0), F.least(F.lit(most).cast("long"), F.greatest(base, grown)))
 
 
+def token_budget(base: int, attempt: int, factor: float = 2.0, most: int = 512) -> int | None:
+    """``predict_tokens`` for a number."""
+    if attempt <= 0 or base <= 0:
+        return None
+    grown = round(base * factor**attempt)
+    return min(most, max(base, grown if grown > base else base * (attempt + 1)))
+
+
 def normalize_weights(dense: float, sparse: float) -> tuple[float, float]:
     """Not below 0 and summing to 1; equal if both are 0."""
     d, s = max(0.0, dense), max(0.0, sparse)

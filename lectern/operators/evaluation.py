@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,17 @@ class PreconditionError(RuntimeError):
 
 
 def numbered(rows: DataFrame, order: str, question: str = "question", limit: int | None = None) -> DataFrame:
-    """``row_id`` from 1 in order, given before rows with a blank question are left out."""
-    out = rows.withColumn("row_id", F.row_number().over(Window.orderBy(order)).cast("long"))
+    """``row_id`` from 1 in order of a number, given before rows with a blank question are left out.
+
+    Rows are numbered within ranges of the number, which quantiles bound, and from the
+    sizes of the ranges before; a null comes first.
+    """
+    marks = rows.agg(F.percentile_approx(order, [i / 200 for i in range(1, 200)])).first()[0] or []
+    within = F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(marks)))), lambda m: m < F.col(order))), F.lit(0)) if marks else F.lit(0)
+    ranged = rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(within))
+    sizes = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())  # 201 rows at most
+    before = F.create_map(*[F.lit(x) for (r, _), n in zip(sizes, accumulate((n for _, n in sizes), initial=0), strict=False) for x in (r, n)]) if sizes else F.create_map(F.lit(0), F.lit(0))
+    out = ranged.withColumn("row_id", (F.element_at(before, F.col("_range")) + F.row_number().over(Window.partitionBy("_range").orderBy(order))).cast("long")).drop("_range")
     if limit is not None:
         out = out.where(F.col("row_id") <= max(1, limit))
     return out.where(~is_blank(question))
@@ -57,8 +68,8 @@ def padded(cases: DataFrame, results: DataFrame, key: str = "row_id", message: s
 def summary(results: DataFrame, key: str = "row_id") -> DataFrame:
     """(name, mean_score, pass_rate, count, threshold): the mean of numeric scores, passes over all results, the first threshold."""
     return results.groupBy("name").agg(
-        F.round(F.avg(F.col("score").cast("double")), 4).alias("mean_score"),
-        F.round(F.try_divide(F.sum(F.coalesce(F.col("success"), F.lit(False)).cast("double")), F.count("*")), 4).alias("pass_rate"),
+        F.bround(F.avg(F.col("score").cast("double")), 4).alias("mean_score"),
+        F.bround(F.try_divide(F.sum(F.coalesce(F.col("success"), F.lit(False)).cast("double")), F.count("*")), 4).alias("pass_rate"),
         F.count("*").alias("count"),
         F.min_by(F.col("threshold").cast("double"), key).alias("threshold"),
     )

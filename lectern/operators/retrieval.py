@@ -1,22 +1,28 @@
 """Sparse, dense and fused retrieval for whole sets of questions.
 
-A question set is small beside the corpus, but nothing here relies on a broadcast
-hint for tables: only the dense scan spreads the question vectors, whose number the
-caller bounds. Ties always end in the smaller document id.
+The corpus is read in place and never moved: questions go to it in blocks of a fixed
+size, each task scores its documents by matrix products and keeps its own best k for
+each question, so what is shuffled grows with tasks and questions, not with texts.
+Blocks are taken one after the other, so any number of questions is answered.
+Ties always end in the smaller document id.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_weights, strip
 
+#: Numbers of a block of questions that go to the tasks: 32 MB of weights, or of vectors.
+BLOCK_CELLS = 4_000_000
+
 
 def tokens(c: str) -> Column:
     """White-space tokens, case kept."""
@@ -46,75 +52,82 @@ def idf_table(df: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFra
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("mean_raw") * epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", q_col: str = "item_id", q_text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(question, id, score, rank): k documents for each question, those without a hit last with score 0.
+def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token, df, len) from one scan: each token's document frequency, and in the row of the null token the number of documents and of tokens."""
+    all_tokens = tokens(text_col)
+    rows = docs.select(F.size(all_tokens).cast("long").alias("len"), F.explode(F.array_append(F.array_distinct(all_tokens), F.lit(None).cast("string"))).alias("token"))
+    return rows.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("len"))).alias("len"))
+
+
+def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", q_col: str = "item_id", q_text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(question, id, score, rank): k documents for each question, those without a hit with score 0.
 
-    Document frequencies are of all tokens, as their mean stands in for negative
-    values. The weights of at most ``MANY_CELLS`` pairs of a question and a token are
-    spread to the tasks, where a block of documents is scored by one matrix product
-    and keeps its best k for each question; larger question sets are joined with the
-    documents' token counts.
+    Two scans of the texts: one counts all tokens (the mean idf stands in for negative
+    ones), one scores. A token asked twice counts twice. Ids must not be null.
     """
     k = max(1, k)
     asked = questions.select(F.col(q_col).alias("q"), F.explode(tokens(q_text)).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times"))
-    stats = corpus_stats(docs, text_col)
-    idf = idf_table(document_frequency(docs, text_col), stats).select("token", "idf")
+    counts = corpus_counts(docs, text_col)
+    stats = counts.where("token IS NULL").select(F.col("df").alias("n_docs"), F.try_divide("len", "df").alias("avg_len"))
+    # one pass over the counts: the sum of raw idf, and the tokens that are asked
+    raw = counts.where("token IS NOT NULL").crossJoin(F.broadcast(stats)).select("token", "avg_len", raw_idf(F.col("n_docs"), F.col("df")).alias("raw"))  # stats is one row
+    wanted = asked.select("token").distinct().withColumn("asked", F.lit(True))
+    held = raw.join(wanted, "token", "left").groupBy(F.when(F.col("asked"), F.col("token")).alias("token")).agg(F.sum("raw").alias("raw"), F.count("*").alias("n"), F.max("avg_len").alias("avg_len"))
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text"))
-    size = asked.agg(F.count_distinct("token").alias("tokens"), F.count_distinct("q").alias("questions")).first()
-    score = _scored_by_matrix if size.tokens * max(size.questions, questions.count()) <= MANY_CELLS else _scored_by_join
-    best = score(rows, questions.select(F.col(q_col).alias("q")), asked.join(idf, "token"), stats, k, k1, b)
-    return _ranked(best, k).select(F.col("q").alias(q_col), F.col("d").alias(id_col), "score", "rank")
-
-
-#: Pairs of a question and a token whose weights are spread: 32 MB.
-MANY_CELLS = 4_000_000
-#: Runs of what is no white space to the engine's expressions.
-WORD = re.compile("[^ \t\n\x0b\f\r]+")
-
-
-def _scored_by_matrix(rows: DataFrame, questions: DataFrame, weights: DataFrame, stats: DataFrame, k: int, k1: float, b: float) -> DataFrame:
-    held = weights.collect()
-    names = [r.q for r in questions.distinct().orderBy("q").collect()]
-    vocabulary = {t: i for i, t in enumerate(sorted({r.token for r in held}))}
-    matrix, place = np.zeros((len(vocabulary), len(names))), {q: i for i, q in enumerate(names)}
-    for r in held:
-        matrix[vocabulary[r.token], place[r.q]] += r.times * r.idf
-    q_type, average = questions.schema["q"].dataType.simpleString(), stats.first().avg_len
-    spread = rows.sparkSession.sparkContext.broadcast((names, vocabulary, matrix, average))
+    held = held.toArrow().to_pydict()  # a row for each token of the questions
+    kinds = max(1, sum(t is not None for t in held["token"]))
+    mean = sum(held["raw"]) / max(1, sum(held["n"])) if held["n"] else 0.0
+    idf = {t: r if r >= 0 else mean * epsilon for t, r in zip(held["token"], held["raw"], strict=True) if t is not None}
+    average = max(held["avg_len"], default=None) or 1.0
+    names = questions.select(F.col(q_col).alias("q")).distinct()
+    blocks = max(1, -(-kinds * names.count() // BLOCK_CELLS))
+    block = F.pmod(F.xxhash64("q"), F.lit(blocks))
+    parts = [_scored(rows, names.where(block == i), asked.where(block == i), idf, average, k, k1, b) for i in range(blocks)]
+    return _ranked(reduce(DataFrame.unionByName, parts), k).select(F.col("q").alias(q_col), F.col("d").alias(id_col), "score", "rank")
+
+
+def _scored(rows: DataFrame, questions: DataFrame, asked: DataFrame, idf: dict[str, float], average: float, k: int, k1: float, b: float) -> DataFrame:
+    """(q, d, score): of each task's documents, in slices, the best k for each question of a block."""
+    q_type = questions.schema["q"].dataType.simpleString()
+    names = sorted(r.q for r in questions.collect())
+    place = {q: i for i, q in enumerate(names)}
+    found = [r for r in asked.collect() if r.token in idf]
+    vocabulary = sorted({r.token for r in found})
+    at = {t: i for i, t in enumerate(vocabulary)}
+    matrix = np.zeros((len(vocabulary), len(names)))
+    for r in found:
+        matrix[at[r.token], place[r.q]] += r.times * idf[r.token]
+    spread = rows.sparkSession.sparkContext.broadcast((vocabulary, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vocabulary, matrix, average = spread.value
+        vocabulary, matrix = spread.value
+        known = pa.array(vocabulary, pa.string())
+        size = max(1, min(512, BLOCK_CELLS // max(1, len(vocabulary))))
         for batch in batches:
-            rows = max(1, min(512, MANY_CELLS // max(1, len(vocabulary))))
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                weight = np.zeros((part.num_rows, len(vocabulary)))
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    words = WORD.findall(text or "")
-                    hit, tf = np.unique(np.array([vocabulary[w] for w in words if w in vocabulary], np.int64), return_counts=True)
-                    weight[i, hit] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / average)) if len(hit) else 0
-                found = np.round(weight @ matrix, 6).T
+            for begin in range(0, batch.num_rows, size):
+                part = batch.slice(begin, size)
+                n = part.num_rows
+                lists = pc.ascii_split_whitespace(pc.fill_null(part.column("text"), ""))
+                doc = pc.list_parent_indices(lists).to_numpy()
+                words = lists.flatten()
+                filled = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+                length = np.bincount(doc[filled], minlength=n)
+                token = pc.index_in(words, known).to_numpy(zero_copy_only=False)
+                hit = ~np.isnan(token)
+                cell, tf = np.unique(doc[hit] * max(1, len(vocabulary)) + token[hit].astype(np.int64), return_counts=True)
+                weight = np.zeros((n, len(vocabulary)))
+                if len(cell):
+                    i, j = np.divmod(cell, len(vocabulary))
+                    weight[i, j] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[i] / average))
+                scores = np.round(weight @ matrix, 6).T + 0.0  # no negative zero
                 by_id = np.argsort(part.column("d").to_numpy(zero_copy_only=False), kind="stable")
-                order = by_id[np.argsort(-found[:, by_id], axis=1, kind="stable")[:, :k]]
-                take = order.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(names)), order.shape[1])).cast(pa.int64()), part.column("d").take(pa.array(take)), pa.array(np.take_along_axis(found, order, 1).ravel())], ["i", "d", "score"])
+                order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(scores)), order.shape[1])).cast(pa.int64()), part.column("d").take(pa.array(order.ravel())), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["i", "d", "score"])
 
     best = rows.mapInArrow(run, f"i long, d {rows.schema['d'].dataType.simpleString()}, score double")
     return best.select(F.get(F.lit(names) if names else F.array().cast(f"array<{q_type}>"), F.col("i").cast("int")).cast(q_type).alias("q"), "d", "score")
 
 
-def _scored_by_join(rows: DataFrame, questions: DataFrame, weights: DataFrame, stats: DataFrame, k: int, k1: float, b: float) -> DataFrame:
-    toks = rows.select("d", tokens("text").alias("t")).select("d", F.size("t").alias("len"), F.explode("t").alias("token"))
-    counts = toks.join(weights.select("token").distinct(), "token", "left_semi").groupBy("d", "len", "token").agg(F.count("*").alias("tf"))
-    per = counts.join(weights, "token").crossJoin(F.broadcast(stats))  # stats is one row
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = per.groupBy("q", "d").agg(F.round(F.sum(part), 6).alias("score"))
-    # the first k ids stand by with score 0 for questions that too few documents hit
-    spare = rows.select("d").orderBy("d").limit(k)
-    zero = questions.crossJoin(F.broadcast(spare)).withColumn("score", F.lit(0.0))
-    return scored.unionByName(zero).groupBy("q", "d").agg(F.sum("score").alias("score"))
-
-
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("q").orderBy(F.desc("score"), "d")
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
@@ -123,60 +136,79 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 # --- dense --------------------------------------------------------------------------------------
 
 
-def dense_topk(vectors: DataFrame, questions: list[tuple[int, list[float]]], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(q, id, score, rank) by cosine in double precision, rounded to 6 digits.
+def _usable(v: str) -> Column:
+    """Whether a vector has a direction: not null, without null or non-finite components, not zero."""
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
-    ``questions`` are few; each batch of vectors is one matrix product and keeps its
-    own best k for each, so what is shuffled does not grow with the corpus' width.
-    """
-    spread = vectors.sparkSession.sparkContext.broadcast(questions)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = spread.value
-        if not asked:
-            return
-        q = np.array([v for _, v in asked], float)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            scores = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-            ids = batch.column("d")
-            for row, (name, _) in zip(scores, asked, strict=True):
-                # all that tie with the k-th stay, so that ids decide later
-                least = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -2.0
-                at = np.flatnonzero(row >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), ids.take(pa.array(at)), pa.array(row[at])], ["q", "d", "score"])
-
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(vector_col).alias("v"))
-    kind = vectors.schema[id_col].dataType.simpleString()
-    return _ranked(rows.mapInArrow(run, f"q long, d {kind}, score double"), k).withColumnRenamed("d", id_col)
-
-
-def mmr(vectors: DataFrame, questions: list[tuple[int, list[float]]], k: int, fetch: int = 20, weight: float = 0.5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+    x /= np.abs(x).max(1, keepdims=True)  # squares of tiny or huge components stay doubles
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def dense_topk(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(q, id, score, rank) by cosine in double precision, rounded to 6 digits; ``questions`` has (q, v).
+
+    Vectors that are null, zero or hold null or non-finite components are in no
+    result, and such questions have none. All vectors are of one length.
+    """
+    asked = questions.where(_usable("v")).select("q", F.col("v").cast("array<double>").alias("v"))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    blocks = max(1, -(-size.n * max(size.width or 0, 512) // BLOCK_CELLS))
+    rows = vectors.where(_usable(vector_col)).select(F.col(id_col).alias("d"), F.col(vector_col).alias("v"))
+    kind, q_type = vectors.schema[id_col].dataType.simpleString(), questions.schema["q"].dataType.simpleString()
+
+    def nearest(block: pa.Table) -> DataFrame:
+        spread = vectors.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = spread.value
+            if not block.num_rows:
+                return
+            names, q = block.column("q").combine_chunks(), _matrix(block.column("v").combine_chunks(), block.num_rows)
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 2048):
+                    part = batch.slice(begin, 2048)
+                    scores = np.round(q @ _matrix(part.column("v"), part.num_rows).T, 6)
+                    # all that tie with the k-th stay, so that ids decide later
+                    least = np.partition(scores, part.num_rows - k, axis=1)[:, part.num_rows - k, None] if k < part.num_rows else -2.0
+                    i, j = np.nonzero(scores >= least)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), part.column("d").take(pa.array(j)), pa.array(scores[i, j])], ["q", "d", "score"])
+
+        return rows.mapInArrow(run, f"q {q_type}, d {kind}, score double")
+
+    block = F.pmod(F.xxhash64("q"), F.lit(blocks))
+    parts = [nearest(asked.where(block == i).toArrow()) for i in range(blocks)]
+    return _ranked(reduce(DataFrame.unionByName, parts), k).withColumnRenamed("d", id_col)
+
+
+def mmr(vectors: DataFrame, questions: DataFrame, k: int, fetch: int = 20, weight: float = 0.5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(q, id, rank): the nearest, then each time the one that is near the question and unlike those taken.
 
     The pool of ``fetch`` candidates a question bounds each group.
     """
     pool = dense_topk(vectors, questions, fetch, id_col, vector_col).join(vectors.select(id_col, vector_col), id_col)
+    q_type, kind = questions.schema["q"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("rank", "ascending")])
-        x = np.array(table.column(vector_col).to_pylist(), float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        table = table.sort_by([("rank", "ascending")]).combine_chunks()
+        x = _matrix(table.column(vector_col).combine_chunks(), table.num_rows)
         near, alike = table.column("score").to_numpy(), np.round(x @ x.T, 6)
-        ids = table.column(id_col).to_numpy()
+        ids = table.column(id_col)
+        # of equal values the smaller id goes first
+        by_id = np.argsort(ids.to_numpy(), kind="stable")
         taken: list[int] = []
-        while len(taken) < min(k, len(ids)):
-            worst = alike[:, taken].max(1) if taken else np.zeros(len(ids))
-            value = np.round(weight * near - (1 - weight) * worst, 6) if taken else near
-            left = [i for i in range(len(ids)) if i not in taken]
-            taken.append(min(left, key=lambda i: (-value[i], ids[i])))
-        return pa.table([pa.array(np.full(len(taken), table.column("q")[0].as_py())), pa.array(ids[taken]), pa.array(np.arange(1, len(taken) + 1))], ["q", id_col, "rank"])
+        worst, open_ = np.zeros(len(near)), np.ones(len(near), bool)
+        while len(taken) < min(k, len(near)):
+            value = np.where(open_, np.round(weight * near - (1 - weight) * worst, 6) if taken else near, -np.inf)[by_id]
+            best = int(by_id[value.argmax()])
+            worst = alike[best] if not taken else np.maximum(worst, alike[best])
+            taken.append(best)
+            open_[best] = False
+        return pa.table([table.column("q").slice(0, 1).take(pa.array(np.zeros(len(taken), np.int64))), ids.take(pa.array(taken)), pa.array(np.arange(1, len(taken) + 1))], ["q", id_col, "rank"])
 
-    kind = vectors.schema[id_col].dataType.simpleString()
-    return pool.groupBy("q").applyInArrow(run, f"q long, `{id_col}` {kind}, rank long")
+    return pool.groupBy("q").applyInArrow(run, f"q {q_type}, `{id_col}` {kind}, rank long")
 
 
 # --- fusion -------------------------------------------------------------------------------------
@@ -189,25 +221,32 @@ def doc_key(source: Column, text: Column, page: Column | None = None, chunk: Col
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int, dense_weight: float, sparse_weight: float, rrf_k: int = 60) -> DataFrame:
-    """(q, key, d, score, rank) from rows (q, key, d, rank), ranks from 1: weighted reciprocal ranks, summed by key.
+    """(q, key, d, score, rank) from rows (q, key, d, rank), ranks from 1: weighted reciprocal ranks, summed by key."""
+    both = [rows.select("q", "key", "d", "rank", F.lit(i).alias("src")) for i, rows in enumerate((dense, sparse))]
+    return rrf_of(both[0].unionByName(both[1]), k, dense_weight, sparse_weight, rrf_k)
+
+
+def rrf_of(hits: DataFrame, k: int, dense_weight: float, sparse_weight: float, rrf_k: int = 60) -> DataFrame:
+    """The same from one table, whose ``src`` is 0 for dense and 1 for sparse rows.
 
     A tie goes to the dense list's order, then the sparse one's; a key in both lists
     is represented by its last sparse document.
     """
     w = normalize_weights(dense_weight, sparse_weight)
-    parts = [rows.select("q", "key", "d", F.lit(i).alias("src"), F.col("rank").cast("long").alias("at"), (F.lit(w[i]) / (rrf_k + F.col("rank"))).alias("part")) for i, rows in enumerate((dense, sparse))]
-    summed = parts[0].unionByName(parts[1]).groupBy("q", "key").agg(F.round(F.sum("part"), 9).alias("score"), F.min(F.struct("src", "at")).alias("first"), F.max_by("d", F.struct("src", "at")).alias("d"))
+    part = F.when(F.col("src") == 0, F.lit(w[0])).otherwise(F.lit(w[1])) / (rrf_k + F.col("rank"))
+    place = F.struct("src", F.col("rank").cast("long"))
+    summed = hits.groupBy("q", "key").agg(F.round(F.sum(part), 9).alias("score"), F.min(place).alias("first"), F.max_by("d", place).alias("d"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "first")
     return summed.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= max(1, k)).drop("first")
 
 
-def build_retriever(docs: DataFrame, vectors: DataFrame, mode: str, top_k: int, sparse_k: int, weights: tuple[float, float], rrf_k: int = 60, fetch: int = 20):
+def build_retriever(docs: DataFrame, vectors: DataFrame, mode: str, top_k: int, sparse_k: int, weights: tuple[float, float], rrf_k: int = 60, fetch: int = 20, weight: float = 0.5):
     """A function of (questions, question vectors) to (q, doc_id, score, rank). Without texts, or in another mode than ``hybrid``, dense results only."""
     texts = docs.select("doc_id", "source", F.nullif(strip(F.coalesce("text", F.lit(""))), F.lit("")).alias("text")).where("text IS NOT NULL")
     top_k, sparse_k = max(1, top_k), max(1, sparse_k)
 
-    def retrieve(questions: DataFrame, asked: list[tuple[int, list[float]]]) -> DataFrame:
-        near = mmr(vectors.withColumnRenamed("vec_id", "doc_id") if "vec_id" in vectors.columns else vectors, asked, top_k, fetch, id_col="doc_id")
+    def retrieve(questions: DataFrame, asked: DataFrame) -> DataFrame:
+        near = mmr(vectors.withColumnRenamed("vec_id", "doc_id") if "vec_id" in vectors.columns else vectors, asked, top_k, fetch, weight, id_col="doc_id")
         if mode != "hybrid" or texts.isEmpty():
             return near.withColumn("score", F.lit(None).cast("double")).select("q", "doc_id", "score", "rank")
         keyed = lambda rows: rows.join(texts, "doc_id").select("q", doc_key(F.col("source"), F.col("text")).alias("key"), F.col("doc_id").alias("d"), "rank")

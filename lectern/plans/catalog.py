@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from . import queries as q
 
-#: Queries without SQL: sequential or iterative ones, which the tests hold against plain Python.
-PLAIN = ("chunk_recursive", "layout_chunks", "pack_segments", "packed_documents", "json_recover")
+#: Queries without SQL, which the tests hold against plain Python.
+PLAIN = ("chunk_recursive",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import FETCH, N_VECTORS, OVERLAP, RRF_K, SIZE, SPARSE_K, TOP_K, WEIGHTS
+from .queries import EVERY, FETCH, OVERLAP, RRF_K, SIZE, SPARSE_K, TOP_K, WEIGHTS
 
 
 def norm(x: str) -> str:
@@ -74,12 +74,13 @@ def sliding(source: str, special: str) -> str:
 ATOMIC = f"WITH RECURSIVE {SEGS}, {sliding('SELECT doc_id, text, special, length(text) AS n FROM texts', 'special')}"
 
 TOKENS = "SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS token FROM documents"
-SPARSE = f"""toks AS ({TOKENS}),
+SPARSE = f"""toks AS MATERIALIZED ({TOKENS}),
 lens AS (SELECT d.doc_id, count(t.token) AS len FROM documents d LEFT JOIN toks t USING (doc_id) GROUP BY d.doc_id),
 stats AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens),
-dfs AS (SELECT token, count(DISTINCT doc_id) AS df FROM toks GROUP BY token),
-raws AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
-idfs AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws),
+dfs AS MATERIALIZED (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, token FROM toks) GROUP BY token),
+raws AS MATERIALIZED (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
+means AS (SELECT avg(raw) AS mean_raw FROM raws),
+idfs AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * mean_raw ELSE raw END AS idf FROM raws, means),
 asked AS (SELECT item_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS token FROM benchmark),
 tfs AS (SELECT doc_id, token, count(*) AS tf FROM toks WHERE token IN (SELECT token FROM asked) GROUP BY ALL),
 hits AS (
@@ -89,14 +90,14 @@ scored AS (SELECT b.item_id, d.doc_id, coalesce(h.score, 0.0) AS score FROM benc
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {SPARSE_K})"""
 
 
-def dense(k: int) -> str:
-    return f"""qs AS (SELECT vec_id AS q, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < {N_VECTORS}),
+def dense(k: int, which: str = f"vec_id % {EVERY} = 0") -> str:
+    return f"""qs AS (SELECT vec_id AS q, embedding::DOUBLE[] AS v FROM embeddings WHERE {which}),
 near AS (SELECT q, vec_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score FROM qs, embeddings),
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM near) WHERE rank <= {k})"""
 
 
-def _mmr() -> str:
-    parts = [dense(FETCH), "vs AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)", "alike AS (SELECT a.q, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS s FROM pool a JOIN pool b USING (q) JOIN vs x ON x.vec_id = a.vec_id JOIN vs y ON y.vec_id = b.vec_id)", "taken1 AS (SELECT q, vec_id, 1::BIGINT AS rank FROM pool WHERE rank = 1)"]
+def _mmr(which: str = f"vec_id % {EVERY} = 0") -> str:
+    parts = [dense(FETCH, which), "vs AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)", "alike AS (SELECT a.q, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS s FROM pool a JOIN pool b USING (q) JOIN vs x ON x.vec_id = a.vec_id JOIN vs y ON y.vec_id = b.vec_id)", "taken1 AS (SELECT q, vec_id, 1::BIGINT AS rank FROM pool WHERE rank = 1)"]
     for k in range(2, TOP_K + 1):
         parts.append(f"""taken{k} AS (
   SELECT * FROM taken{k - 1} UNION ALL
@@ -108,19 +109,67 @@ def _mmr() -> str:
     return ",\n".join(parts)
 
 
-MMR = _mmr()
+MMR, ASKED_MMR = _mmr(), _mmr("vec_id IN (SELECT item_id FROM benchmark)")
 
 
 def _rrf(dense_weight: float, sparse_weight: float) -> str:
-    return f"""{SPARSE}, {MMR},
+    return f"""{SPARSE}, {ASKED_MMR},
 parts AS (
   SELECT q, vec_id AS d, 0 AS src, rank AS place, {dense_weight} / ({RRF_K} + rank) AS part FROM taken{TOP_K}
-  UNION ALL SELECT item_id, doc_id, 1, rank, {sparse_weight} / ({RRF_K} + rank) FROM sparse WHERE item_id < {N_VECTORS}),
+  UNION ALL SELECT item_id, doc_id, 1, rank, {sparse_weight} / ({RRF_K} + rank) FROM sparse),
 keyed AS (SELECT p.*, source, trim(text) AS text FROM parts p JOIN documents ON doc_id = d),
 summed AS (SELECT q, source, text, round(sum(part), 9) AS score, min(src * 1000 + place) AS first, max_by(d, src * 1000 + place) AS doc_id FROM keyed GROUP BY ALL),
 fused AS (SELECT q, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, first) AS rank FROM summed) WHERE rank <= {TOP_K})"""
 
 
+WINDOWS = f"""w0 AS (SELECT s.doc_id, s.block_idx, s.type, seg_start AS ss, seg_end AS se, t.text, length(t.text) AS n, greatest(0, (seg_start + seg_end) // 2 - {SIZE // 2}) AS a FROM segs s JOIN texts t USING (doc_id) WHERE is_special),
+        w1 AS (SELECT * REPLACE (CASE WHEN ss < a THEN ss ELSE a END AS a) FROM w0),
+        w2 AS (SELECT *, least(n, a + {SIZE}) AS b FROM w1),
+        w3 AS (SELECT * REPLACE (CASE WHEN se > b THEN greatest(0, se - {SIZE}) ELSE a END AS a, greatest(se, b) AS b) FROM w2),
+        w4 AS (SELECT *, substring(text, (a + 1)::BIGINT, (greatest(a, least(ss, a + 40, n)) - a)::BIGINT) AS lead_in FROM w3),
+        w5 AS (SELECT * REPLACE (CASE WHEN a <= 0 THEN 0 WHEN regexp_matches(lead_in, '\\s') THEN a + length(regexp_extract(lead_in, '(?s)^(.*?)\\s', 1)) + 1 ELSE a END AS a) FROM w4),
+        w6 AS (SELECT doc_id, block_idx, type, text, a, {soft("text", "a", "b")} AS b FROM w5)"""
+LAYOUT = f"""{ATOMIC}, {WINDOWS},
+special AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) - 1 AS chunk_idx, a, b, text, true AS is_special, type AS special_type FROM w6 WHERE b > a AND trim(substring(text, (a + 1)::BIGINT, (b - a)::BIGINT)) <> ''),
+many AS (SELECT doc_id, count(*) AS n FROM special GROUP BY doc_id),
+every AS (SELECT * FROM special UNION ALL SELECT c.doc_id, idx + coalesce(m.n, 0), s, e, text, false, NULL FROM chunks c LEFT JOIN many m USING (doc_id)),
+met AS (
+  SELECT v.doc_id, chunk_idx, coalesce(array_to_string(list_sort(list(DISTINCT nullif(header, '')) FILTER (WHERE header <> '')), '|'), '') AS headers,
+         coalesce(array_to_string(list_sort(list(DISTINCT g.type) FILTER (WHERE g.is_special)), '|'), '') AS special_types, coalesce(array_to_string(list_sort(list(DISTINCT 'page_' || page_idx)), '|'), '') AS pages
+  FROM every v JOIN segs g ON g.doc_id = v.doc_id AND seg_end > a AND seg_start < b GROUP BY ALL)"""
+PACK, CARRY = 600, 120
+#: Hard pieces of each item in order, then packs: the state is the open pack's items, their cost, and whether one has text.
+PACKS = f"""{BLOCKS},
+items AS (
+  SELECT doc_id, block_idx, page_idx, body, CASE WHEN type = 'image' THEN 'base/img/' || block_idx || '.png' END AS image
+  FROM (SELECT *, CASE type WHEN 'text' THEN trim(CASE WHEN text_level IS NOT NULL THEN repeat('#', text_level) || ' ' || line ELSE line END) WHEN 'image' THEN trim(left(line, 40))
+        WHEN 'table' THEN array_to_string(list_filter([trim(left(line, 30)), '<tr><td>' || line || '</td></tr>'], lambda v: v <> ''), chr(10)) ELSE trim(line) END AS body FROM blocks WHERE type <> 'discarded')
+  WHERE body <> '' OR type = 'image'),
+hard AS (
+  SELECT doc_id, block_idx, body, 0::BIGINT AS f, 0::BIGINT AS t FROM items
+  UNION ALL
+  SELECT doc_id, block_idx, body, t, CASE WHEN length(body) - t <= {PACK} THEN length(body) WHEN instr(reverse(substring(body, t + 2, {PACK - 1})), ' ') > 0 THEN t + {PACK} - instr(reverse(substring(body, t + 2, {PACK - 1})), ' ') ELSE t + {PACK} END
+  FROM hard WHERE t < length(body)),
+cut AS (SELECT doc_id, block_idx, f, trim(substring(body, f + 1, t - f)) AS piece FROM hard WHERE t > f OR body = ''),
+pieces AS (SELECT doc_id, block_idx, piece, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx, f) AS k FROM cut WHERE piece <> '' OR block_idx IN (SELECT block_idx FROM items i WHERE i.doc_id = cut.doc_id AND body = '')),
+walk AS (
+  SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS pack, []::BIGINT[] AS members, []::BIGINT[] AS lens, 0::BIGINT AS used, 0::BIGINT AS texts, []::BIGINT[] AS done FROM (SELECT DISTINCT doc_id FROM pieces)
+  UNION ALL
+  SELECT doc_id, k, pack + full_, list_append(CASE WHEN full_ = 1 THEN kept ELSE members END, k), list_append(CASE WHEN full_ = 1 THEN kept_lens ELSE lens END, n),
+         CASE WHEN full_ = 1 THEN coalesce(list_sum(kept_lens), 0) + 2 * greatest(0, len(kept) - 1) ELSE used END + cost, CASE WHEN n > 0 OR (full_ = 0 AND texts = 1) OR (full_ = 1 AND len(kept) > 0) THEN 1 ELSE 0 END, CASE WHEN full_ = 1 THEN members ELSE [] END
+  FROM (
+    SELECT *, list_filter(with_text, lambda x, i: list_sum(list_filter(lens, lambda y: y > 0)[i:]) + 2 * (len(with_text) - i) <= {CARRY}) AS kept, list_filter(list_filter(lens, lambda y: y > 0), lambda x, i: list_sum(list_filter(lens, lambda y: y > 0)[i:]) + 2 * (len(with_text) - i) <= {CARRY}) AS kept_lens
+    FROM (
+      SELECT w.doc_id, p.k, pack, members, lens, used, texts, length(piece)::BIGINT AS n, CASE WHEN piece = '' THEN 0 ELSE length(piece) + 2 * texts END::BIGINT AS cost,
+             CASE WHEN len(members) > 0 AND piece <> '' AND used + length(piece) + 2 * texts > {PACK} THEN 1 ELSE 0 END::BIGINT AS full_, list_filter(members, lambda m, i: lens[i] > 0) AS with_text
+      FROM walk w JOIN pieces p ON p.doc_id = w.doc_id AND p.k = w.k + 1))),
+closed AS (
+  SELECT doc_id, pack - 1 AS chunk_idx, done AS members FROM walk WHERE len(done) > 0
+  UNION ALL SELECT doc_id, pack, members FROM walk w WHERE k = (SELECT max(k) FROM pieces p WHERE p.doc_id = w.doc_id)),
+packed AS (
+  SELECT doc_id, chunk_idx, pos, block_idx, piece AS text, page_idx, image
+  FROM (SELECT doc_id, chunk_idx, unnest(members) AS k, (unnest(range(len(members))))::BIGINT AS pos FROM closed) JOIN pieces USING (doc_id, k) JOIN items USING (doc_id, block_idx))"""
+
 RESULTS = """results AS (
   SELECT doc_id AS row_id, name, score, 0.01::DOUBLE AS threshold, coalesce(score, 0) >= 0.01 AS success
   FROM (SELECT doc_id, name, CASE WHEN doc_id % 9 <> 0 THEN v * 0.75::DOUBLE END AS score
@@ -158,8 +207,8 @@ SQL = {
     "dedup_doc_key": "SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY source, trim(text)",
     "prepare_contexts": f"""WITH {SPARSE}, lists AS (SELECT item_id, list_transform(list_filter(list(text ORDER BY rank)[1:3], lambda t: trim(t) <> ''), lambda t: left(t, 120)) AS l FROM sparse JOIN documents USING (doc_id) GROUP BY item_id)
         SELECT item_id, unnest(range(len(l)))::BIGINT AS pos, unnest(l) AS context FROM lists""",
-    "prompt_assembly": f"""WITH {_rrf(*WEIGHTS)}, told AS (SELECT q, string_agg(left(d.text, 200), chr(10) || chr(10) ORDER BY rank) AS context FROM fused JOIN documents d USING (doc_id) GROUP BY q)
-        SELECT item_id AS q, 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Human: ' || text AS prompt FROM benchmark LEFT JOIN told ON q = item_id WHERE item_id < {N_VECTORS}""",
+    "prompt_assembly": f"""WITH {_rrf(*WEIGHTS)}, told AS (SELECT q, string_agg(d.text, chr(10) || chr(10) ORDER BY rank) AS context FROM fused JOIN documents d USING (doc_id) GROUP BY q)
+        SELECT item_id AS q, 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Human: ' || text AS prompt FROM benchmark LEFT JOIN told ON q = item_id""",
     "chunk_fixed": f"""SELECT doc_id, chunk_idx, chunk_idx * {SIZE - OVERLAP} AS start, substring(text, chunk_idx * {SIZE - OVERLAP} + 1, {SIZE}) AS text
         FROM (SELECT doc_id, text, unnest(range(1 + greatest(0, ceil((length(text) - {SIZE}) / {float(SIZE - OVERLAP)})::BIGINT)))::BIGINT AS chunk_idx FROM documents WHERE length(text) > 0)""",
     "chunk_soft_boundary": f"""WITH RECURSIVE {sliding("SELECT doc_id, text, NULL::STRUCT(s BIGINT, e BIGINT)[] AS special, length(text) AS n FROM documents", "")}
@@ -172,15 +221,13 @@ SQL = {
               WHEN 'table' THEN array_to_string(list_filter([trim(left(line, 30)), '<tr><td>' || line || '</td></tr>'], lambda v: v <> ''), chr(10)) ELSE trim(line) END AS text FROM blocks WHERE type <> 'discarded')
         WHERE text <> '' OR type = 'image'""",
     "chunk_atomic": f"{ATOMIC} SELECT doc_id, idx AS chunk_idx, s AS start, e AS \"end\" FROM chunks",
-    "special_chunks": f"""WITH {SEGS},
-        w0 AS (SELECT s.doc_id, s.block_idx, s.type, seg_start AS ss, seg_end AS se, t.text, length(t.text) AS n, greatest(0, (seg_start + seg_end) // 2 - {SIZE // 2}) AS a FROM segs s JOIN texts t USING (doc_id) WHERE is_special),
-        w1 AS (SELECT * REPLACE (CASE WHEN ss < a THEN ss ELSE a END AS a) FROM w0),
-        w2 AS (SELECT *, least(n, a + {SIZE}) AS b FROM w1),
-        w3 AS (SELECT * REPLACE (CASE WHEN se > b THEN greatest(0, se - {SIZE}) ELSE a END AS a, greatest(se, b) AS b) FROM w2),
-        w4 AS (SELECT *, substring(text, (a + 1)::BIGINT, (greatest(a, least(ss, a + 40, n)) - a)::BIGINT) AS lead_in FROM w3),
-        w5 AS (SELECT * REPLACE (CASE WHEN a <= 0 THEN 0 WHEN regexp_matches(lead_in, '\\s') THEN a + length(regexp_extract(lead_in, '(?s)^(.*?)\\s', 1)) + 1 ELSE a END AS a) FROM w4),
-        w6 AS (SELECT doc_id, block_idx, type, a, {soft("text", "a", "b")} AS b FROM w5)
-        SELECT doc_id, block_idx, type AS special_type, a::BIGINT AS start, b::BIGINT AS "end" FROM w6 WHERE b > a""",
+    "special_chunks": f"""WITH {SEGS}, {WINDOWS} SELECT doc_id, block_idx, type AS special_type, a::BIGINT AS start, b::BIGINT AS "end" FROM w6 WHERE b > a""",
+    "layout_chunks": f"""{LAYOUT} SELECT doc_id, chunk_idx::BIGINT AS chunk_idx, substring(text, (a + 1)::BIGINT, (b - a)::BIGINT) AS text, is_special, special_type, headers, special_types, pages FROM every JOIN met USING (doc_id, chunk_idx)""",
+    "pack_segments": f"WITH RECURSIVE {PACKS} SELECT doc_id, chunk_idx, pos, block_idx, text FROM packed",
+    "packed_documents": f"""WITH RECURSIVE {PACKS},
+        made AS (SELECT doc_id, chunk_idx, string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE text <> '') AS joined, min(page_idx) AS page_start, max(page_idx) AS page_end, string_agg(image, '|' ORDER BY pos) AS image_paths FROM packed GROUP BY ALL)
+        SELECT doc_id, chunk_idx, coalesce(joined, 'Image from ' || source || '.pdf page ' || page_start) AS page_content, source || '.pdf' AS source_file, page_start, page_end, coalesce(image_paths, '') AS image_paths FROM made JOIN documents USING (doc_id)""",
+    "json_recover": "SELECT item_id, '{\"text\":' || to_json(text)::VARCHAR || '}' AS json FROM benchmark",
     "chunk_segment_overlap": f"""{ATOMIC} SELECT c.doc_id, idx AS chunk_idx, page_idx, min(greatest(seg_start, c.s) - c.s)::BIGINT AS page_from, max(least(seg_end, e) - c.s)::BIGINT AS page_to
         FROM chunks c JOIN segs g ON g.doc_id = c.doc_id AND seg_end > c.s AND seg_start < e GROUP BY ALL""",
     "neighbor_context": f"""WITH {KEPT}, plain AS (SELECT doc_id, block_idx, nullif({norm('body')}, '') AS t FROM raw)
@@ -193,7 +240,7 @@ SQL = {
     "chat_last_n": f"WITH {TURNS} SELECT * FROM last2",
     "chat_messages": f"WITH {TURNS}, sides AS ({SIDES.format('last2')}) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, side) AS seq, role, content FROM sides WHERE content <> ''",
     "chat_turn_count": f"WITH {TURNS}, sides AS ({SIDES.format('turns')}) SELECT conv_id, count(*) // 2 AS n_turns FROM sides WHERE content <> '' GROUP BY conv_id",
-    "metric_summary": f"WITH {RESULTS} SELECT name, round(avg(score), 4) AS mean_score, round(sum(success::INTEGER) / count(*)::DOUBLE, 4) AS pass_rate, count(*) AS count, min_by(threshold, row_id) AS threshold FROM results GROUP BY name",
+    "metric_summary": f"WITH {RESULTS} SELECT name, round_even(avg(score), 4) AS mean_score, round_even(sum(success::INTEGER) / count(*)::DOUBLE, 4) AS pass_rate, count(*) AS count, min_by(threshold, row_id) AS threshold FROM results GROUP BY name",
     "row_id_then_filter": "SELECT item_id, question, row_id FROM (SELECT item_id, CASE WHEN item_id % 4 <> 0 THEN text ELSE '  ' END AS question, row_number() OVER (ORDER BY item_id) AS row_id FROM benchmark) WHERE trim(question) <> ''",
     "eval_dataset_validate": "SELECT item_id, text AS question, left(text, 60) AS ground_truth FROM benchmark",
     "contextual_precision": """SELECT case_id, round(coalesce(sum(p) FILTER (WHERE quality = 1) / nullif(sum(quality), 0), 0), 6) AS score FROM (

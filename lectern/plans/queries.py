@@ -1,7 +1,8 @@
 """The library's operators over the test tables, one query each.
 
 ``documents`` are the ingested texts, ``benchmark`` the questions, ``embeddings`` the
-dense index (its first vectors are the questions' vectors), ``conversations`` the
+dense index (the vector of a question's number is the question's; dense searches of their
+own ask with every hundredth vector), ``conversations`` the
 chat log and ``labels`` the verdicts. Layout blocks are derived from the documents'
 lines by fixed arithmetic, so that SQL can derive the same.
 """
@@ -21,7 +22,7 @@ from ..operators import ingest as I
 from ..operators import retrieval as R
 
 #: Parameters that the SQL shares.
-TOP_K, SPARSE_K, FETCH, RRF_K, WEIGHTS, N_VECTORS = 4, 8, 20, 60, (0.6, 0.4), 40
+TOP_K, SPARSE_K, FETCH, RRF_K, WEIGHTS, EVERY = 4, 8, 20, 60, (0.6, 0.4), 100
 SIZE, OVERLAP = 1000, 400
 
 
@@ -62,9 +63,13 @@ def derived_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def question_vectors(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
-    rows = read(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_VECTORS).select("vec_id", "embedding").collect()  # a stated number of questions
-    return sorted((r.vec_id, list(r.embedding)) for r in rows)
+def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+
+
+def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    return read(spark, sf_dir, "embeddings").join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
 
 
 # --- text functions -----------------------------------------------------------------------------
@@ -133,19 +138,20 @@ def bm25_topk(spark, sf_dir):
 
 
 def dense_topk(spark, sf_dir):
-    return R.dense_topk(read(spark, sf_dir, "embeddings"), question_vectors(spark, sf_dir), TOP_K)
+    return R.dense_topk(read(spark, sf_dir, "embeddings"), search_vectors(spark, sf_dir), TOP_K)
 
 
 def dense_mmr(spark, sf_dir):
-    return R.mmr(read(spark, sf_dir, "embeddings"), question_vectors(spark, sf_dir), TOP_K, FETCH)
+    return R.mmr(read(spark, sf_dir, "embeddings"), search_vectors(spark, sf_dir), TOP_K, FETCH)
 
 
 def fused(spark, sf_dir, weights):
-    texts = documents(spark, sf_dir)
-    keyed = lambda rows: rows.join(texts, "doc_id").select("q", R.doc_key(F.col("source"), F.col("text")).alias("key"), F.col("doc_id").alias("d"), "rank")
+    texts = documents(spark, sf_dir).select("doc_id", R.doc_key(F.col("source"), F.col("text")).alias("key"))
     near = R.mmr(read(spark, sf_dir, "embeddings"), question_vectors(spark, sf_dir), TOP_K, FETCH).withColumnRenamed("vec_id", "doc_id")
-    found = bm25_topk(spark, sf_dir).withColumnRenamed("item_id", "q").where(F.col("q") < N_VECTORS)
-    return R.rrf(keyed(near), keyed(found), TOP_K, *weights, RRF_K).select("q", F.col("d").alias("doc_id"), "score", "rank")
+    found = bm25_topk(spark, sf_dir).withColumnRenamed("item_id", "q")
+    # one join of the few hits with the texts
+    hits = near.select("q", "doc_id", "rank", F.lit(0).alias("src")).unionByName(found.select("q", "doc_id", "rank", F.lit(1).alias("src"))).join(texts, "doc_id").withColumnRenamed("doc_id", "d")
+    return R.rrf_of(hits, TOP_K, *weights, RRF_K).select("q", F.col("d").alias("doc_id"), "score", "rank")
 
 
 def rrf_fusion(spark, sf_dir):
@@ -172,8 +178,8 @@ def prepare_contexts(spark, sf_dir):
 
 
 def prompt_assembly(spark, sf_dir):
-    hits = rrf_fusion(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", F.left("text", F.lit(200)).alias("text")), "doc_id")
-    asked = read(spark, sf_dir, "benchmark").where(F.col("item_id") < N_VECTORS).select(F.col("item_id").alias("q"), F.col("text").alias("question"))
+    hits = rrf_fusion(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question"))
     return R.stuffed_prompt(hits, asked, "Context:\n{context}")
 
 
@@ -225,7 +231,9 @@ def special_chunks(spark, sf_dir):
 
 
 def layout_chunks(spark, sf_dir):
-    return C.layout_chunks(derived_blocks(spark, sf_dir), C.ChunkSettings(SIZE, OVERLAP), "pdf").select("doc_id", "chunk_idx", "text", "is_special", "special_type", "headers", "special_types", F.map_keys("page_spans").alias("pages"))
+    rows = C.layout_chunks(derived_blocks(spark, sf_dir), C.ChunkSettings(SIZE, OVERLAP), "pdf")
+    lists = [F.array_join(c, "|").alias(n) for n, c in (("headers", F.col("headers")), ("special_types", F.col("special_types")), ("pages", F.array_sort(F.map_keys("page_spans"))))]
+    return rows.select("doc_id", "chunk_idx", "text", "is_special", "special_type", *lists)
 
 
 def chunk_segment_overlap(spark, sf_dir):
@@ -259,7 +267,7 @@ def pack_segments(spark, sf_dir):
 def packed_documents(spark, sf_dir):
     source = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("/src/"), F.col("source"), F.lit(".pdf")).alias("source_path"))
     rows = C.packed_documents(derived_blocks(spark, sf_dir), source, 600, 120, "base")
-    return rows.select("doc_id", "chunk_idx", "page_content", "source_file", "page_start", "page_end", "image_paths")
+    return rows.select("doc_id", "chunk_idx", "page_content", "source_file", "page_start", "page_end", F.array_join("image_paths", "|").alias("image_paths"))
 
 
 # --- chat history -------------------------------------------------------------------------------

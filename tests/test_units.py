@@ -1,6 +1,8 @@
 """Small worked cases for rules that decide results."""
 
 import json
+import math
+from collections import Counter
 
 import pytest
 from hypothesis import given
@@ -15,6 +17,7 @@ from lectern.operators import chunking as C
 from lectern.operators import evaluation as E
 from lectern.operators import history as H
 from lectern.operators import ingest as I
+from lectern.operators import judging as J
 from lectern.operators import models as M
 from lectern.operators import retrieval as R
 
@@ -134,15 +137,119 @@ def test_bm25_counts_question_tokens_twice(spark):
     assert len(ask("zzz")) == 3 and [r.doc_id for r in ask("zzz")] == [0, 1, 2]
 
 
-def test_bm25_is_the_same_by_matrix_and_by_join(spark, monkeypatch):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    odd = spark.createDataFrame([(900, None), (901, ""), (902, "the the of")], "doc_id long, text string")
-    docs = docs.select("doc_id", "text").unionByName(odd)
-    asked = spark.createDataFrame([(1, "the of and"), (2, ""), (3, "nowhere"), (4, "the the re")], "item_id long, text string")
-    rows = lambda: sorted(map(tuple, R.bm25_topk(docs, asked, 6).collect()))
-    one = rows()
-    monkeypatch.setattr(R, "MANY_CELLS", 0)
-    assert one == rows() and len(one) == 24
+@pytest.mark.parametrize("cells", [16, 4_000_000])
+def test_bm25_against_the_formula(spark, monkeypatch, cells):
+    """Whole scores, negative ones among them, in one block of questions and in many."""
+    monkeypatch.setattr(R, "BLOCK_CELLS", cells)
+    odd = [(900, None), (901, ""), (902, "the the of"), (903, " a\tb  a "), (904, "a"), (905, "a b"), (906, "a b"), (907, "a b c")]
+    texts = odd + [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40).collect()]
+    asked = [(1, "the of and"), (2, ""), (3, "nowhere"), (4, "the the re"), (5, "a"), (6, None)]
+    for some in (odd, texts) if cells > 16 else (odd,):
+        docs = spark.createDataFrame(some, "doc_id long, text string").coalesce(2)
+        got = sorted(map(tuple, R.bm25_topk(docs, spark.createDataFrame(asked, "item_id long, text string"), 6).collect()))
+        words = {i: (t or "").split() for i, t in some}
+        df = Counter(w for ws in words.values() for w in set(ws))
+        raw = {w: math.log(len(some) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+        mean, average = sum(raw.values()) / len(raw), sum(map(len, words.values())) / len(some)
+        want = []
+        for q, text in asked:
+            score = {}
+            for i, ws in words.items():
+                parts = [(raw[w] if raw[w] >= 0 else 0.25 * mean) * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / average)) for w in (text or "").split() if w in ws]
+                score[i] = round(sum(parts), 6)
+            want += [(q, i, x, rank) for rank, (x, i) in enumerate(sorted((-x, i) for i, x in score.items())[:6], 1) for x in [-x]]
+        assert [(q, i, r) for q, i, _, r in got] == [(q, i, r) for q, i, _, r in sorted(want)]
+        assert [x for _, _, x, _ in got] == pytest.approx([x for _, _, x, _ in sorted(want)], abs=2e-6)
+
+
+@pytest.mark.parametrize("cells", [1000, 4_000_000])
+def test_vectors_without_a_direction_take_no_place(spark, monkeypatch, cells):
+    monkeypatch.setattr(R, "BLOCK_CELLS", cells)
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [1.0, 1.0]), (5, [None, 1.0]), (6, [-1.0, 0.0]), (7, [float("inf"), 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(0, [2.0, 0.0]), (1, [0.0, 0.0]), (2, [1e-200, 1e-200])], "q long, v array<double>")
+    got = sorted(map(tuple, R.dense_topk(vectors, asked, 2).collect()))
+    assert got == [(0, 1, 1.0, 1), (0, 4, 0.707107, 2), (2, 1, 0.707107, 2), (2, 4, 1.0, 1)]
+    assert sorted((r.q, r["rank"], r.vec_id) for r in R.mmr(vectors, asked, 2, 3, 0.5).collect()) == [(0, 1, 1), (0, 2, 4), (2, 1, 4), (2, 2, 1)]
+
+
+def test_neighbours_beyond_many_blank_blocks(spark):
+    texts = ["start", *[""] * 700, "a" * 300, *["x"] * 200, "", "end"]
+    rows = [(0, i, "text", t, *[None] * 10) for i, t in enumerate(texts)]
+    got = {r.block_idx: r for r in B.neighbour_context(spark.createDataFrame(rows, B.BLOCK_SCHEMA), 20).collect()}
+    for i in (0, 1, 400, 700, 701, 702, 715, 800, 901, 902, 903):
+        before, after = (" ".join(t for t in part if t) for part in (texts[:i], texts[i + 1 :]))
+        assert (got[i].left, got[i].right) == (before[-20:], after[:20]), i
+
+
+def test_rows_are_numbered_in_order(spark):
+    values = [7 * i % 1000 for i in range(1000)] + [5, 5, None]
+    rows = spark.createDataFrame([(v, "q" if i % 3 else " ") for i, v in enumerate(values)], "n long, question string").repartition(7)
+    got = {r.row_id: r.n for r in E.numbered(rows, "n").collect()}
+    order = sorted(values, key=lambda v: -1 if v is None else v)
+    assert all(order[i - 1] == v for i, v in got.items()) and len(got) >= 660
+    assert max(r.row_id for r in E.numbered(rows, "n", limit=9).collect()) <= 9
+    assert E.numbered(rows.limit(0), "n").count() == 0
+
+
+def test_packs():
+    assert C.pack_sizes([6, 4, 3], 10, 0) == [[0], [1], [2]]  # the text that closes a pack keeps the cost it had in it
+    assert C.pack_sizes([0, 20, 0, 3, 3, 3], 10, 5) == [[0], [1, 2], [3, 4], [4, 5]]
+    assert C.pack_sizes([], 10, 0) == [] and C.pack_sizes([0, 0], 10, 3) == [[0, 1]] and C.pack_sizes([5, 5], 0, 3) == [[0, 1]]
+
+
+@given(st.lists(st.integers(0, 30), max_size=30), st.integers(1, 40), st.integers(0, 30))
+def test_packs_hold_what_they_may(sizes, most, overlap):
+    packs = C.pack_sizes(sizes, most, overlap)
+    cost = lambda items: sum(sizes[i] for i in items) + 2 * max(0, sum(sizes[i] > 0 for i in items) - 1)
+    own, seen = [], -1
+    for p in packs:
+        own.append([i for i in p if i > seen])
+        carried = [i for i in p if i <= seen]
+        assert carried == [] or (cost(carried) <= overlap and all(sizes[i] for i in carried) and carried[-1] == max(i for i in range(seen + 1) if sizes[i]))
+        seen = p[-1]
+        # more than one text of its own fits into it, but for the first text of all that a pack opens with
+        assert cost(p) <= most or len([i for i in own[-1] if sizes[i]]) <= 1
+    assert [i for p in own for i in p] == list(range(len(sizes)))
+    # the text that opens a pack did not fit into the one before
+    for a, b in zip(packs, own[1:], strict=False):
+        assert cost([*a, b[0]]) + 2 > most
+
+
+@given(st.text(alphabet="ab \n", max_size=60), st.integers(1, 12))
+def test_hard_splits(text, most):
+    pieces = C.hard_split(text, most)
+    if len(text) <= most:
+        assert pieces == [text]
+        return
+    assert all(0 < len(p) <= most and p == p.strip() for p in pieces)
+    assert "".join(pieces).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
+    assert C.hard_split("aaaa bb cc", 6) == ["aaaa", "bb cc"] and C.hard_split("abcdefgh", 3) == ["abc", "def", "gh"] and C.hard_split("a b", 1) == ["a", "b"]
+
+
+def test_token_budgets_agree(spark):
+    for base, factor in ((100, 1.5), (300, 1.0), (256, 2.0), (0, 2.0)):
+        rows = spark.range(6).select(T.predict_tokens(F.lit(base).cast("long"), F.col("id"), factor, 512).alias("n"), "id").collect()
+        assert [r.n for r in sorted(rows, key=lambda r: r.id)] == [T.token_budget(base, i, factor, 512) for i in range(6)]
+
+
+def test_judged_metrics(spark):
+    answers = {"Answer Relevancy": ["yes", "no"], "Faithfulness": ["no", "no"], "Contextual Precision": ["no", "yes"]}
+
+    def judge(prompts):
+        return [None if "broken" in p else json.dumps({"verdicts": [{"verdict": v, "reason": "r"} for v in answers[next(n for n, t in zip(E.METRICS, J.TASKS) if p.startswith(t))]]}) for p in prompts]
+
+    cases = spark.createDataFrame([(1, "q", "One. Two.", "t", ["a", "b"]), (2, "broken", "broken", "t", [])], "row_id long, input string, actual_output string, expected_output string, retrieval_context array<string>")
+    got = {(r.row_id, r.name): r for r in J.judged(cases, M.Model(judge)).collect()}
+    assert [(got[1, n].score, got[1, n].success) for n in E.METRICS] == [(0.5, True), (0.0, False), (0.5, True)]
+    assert got[2, "Faithfulness"].score is None and not got[2, "Faithfulness"].success and got[2, "Faithfulness"].reason == "no verdict"
+    stub = {r.name: r.score for r in J.judged(cases.where("row_id = 1"), M.stub_judge()).collect()}
+    assert set(stub) == set(E.METRICS)
+
+
+def test_rounding_is_half_even(spark):
+    rows = spark.createDataFrame([(1, "m", 0.00025, 0.1, True), (2, "m", 0.00025, 0.1, True)], "row_id long, name string, score double, threshold double, success boolean")
+    assert E.summary(rows).first().mean_score == 0.0002
 
 
 def test_sticky_headers(spark):
