@@ -49,6 +49,9 @@ class Settings:
     num_predict: int = env("LLM_NUM_PREDICT", 256)
     think: str = env("LLM_THINK", "auto")
     request_timeout_seconds: int = env("LLM_REQUEST_TIMEOUT_SECONDS", 0)
+    judge_name: str = env("LLM_EVAL_MODEL", "stub")
+    judge_num_predict: int = env("LLM_EVAL_NUM_PREDICT", 256)
+    judge_retries: int = env("LLM_EVAL_JSON_RETRY_ATTEMPTS", 2)
 
     def env_names(self) -> dict[str, str]:
         return {f.name: f.metadata["env"] for f in fields(self)}
@@ -74,11 +77,14 @@ def parse_think(value: str | bool | None, model: str) -> bool | None:
     return False if thinks_by_default(model) else None
 
 
+#: Seconds for an answer by model family; any other has the last entry's (fixed values).
+TIMEOUTS = {"deepseek-r1": 600, "": 180}
+
+
 def request_timeout(settings: Settings) -> int:
-    """Seconds; 0 asks for the default: 600 for one slow family, else 180."""
-    if settings.request_timeout_seconds > 0:
-        return settings.request_timeout_seconds
-    return 600 if settings.model_name.strip().lower().startswith("deepseek-r1") else 180
+    """The setting, or the family's seconds where it is 0."""
+    name = settings.model_name.strip().lower()
+    return max(settings.request_timeout_seconds, 0) or next(v for k, v in TIMEOUTS.items() if name.startswith(k))
 
 
 def merged_options(*parts: dict | None) -> dict:

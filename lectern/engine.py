@@ -14,8 +14,12 @@ from .sources import files, sinks
 SYSTEM = "Answer from the context only.\n\n{context}"
 
 
-def prepare_index(spark: SparkSession, s: Settings, embedder: models.Model, parser: Callable | None = None, describer: models.Model | None = None, force: bool = False, checkpoint: bool = False) -> dict[str, int]:
-    """Parses, chunks, embeds and appends all pending sources in one job; counts by status. Raises at the end if a source failed."""
+def prepare_index(spark: SparkSession, s: Settings, embedder: models.Model, parser: Callable | None = None, describer: models.Model | None = None, force: bool = False, checkpoint: bool = False, pages: tuple[int, int | None] = (0, None), side_dir: str | None = None, packing: bool = False) -> dict[str, int]:
+    """Parses, chunks, embeds and appends all pending sources in one job; counts by status. Raises at the end if a source failed.
+
+    Parsed files are chunked by layout, or with ``packing`` by packing whole blocks.
+    Chunks are numbered by run, source and place, so that equal scores go by the order of ingestion.
+    """
     sources = files.list_sources(spark, s.pdf_dir if parser else None, s.markdown_dir)
     state = ingest.latest_state(files.read_state(spark, s.checkpoint_dir)) if checkpoint else spark.createDataFrame([], ingest.STATE)
     todo = ingest.pending(sources, state, force or not checkpoint)
@@ -23,20 +27,29 @@ def prepare_index(spark: SparkSession, s: Settings, embedder: models.Model, pars
     parts, failed = [], None
     if ingest.has_data(spark, s.markdown_dir):
         texts = files.read_texts(spark, s.markdown_dir).join(todo.select(F.col("path").alias("source")), "source", "left_semi")
-        parts.append(chunking.recursive_chunks(texts, s.chunk_size, s.chunk_overlap, id_col="source").select("source", F.col("text").alias("page_content"), F.lit(None).cast("string").alias("metadata")))
+        parts.append(chunking.recursive_chunks(texts, s.chunk_size, s.chunk_overlap, id_col="source").select("source", "chunk_idx", F.col("text").alias("page_content"), F.lit(None).cast("string").alias("metadata")))
     if parser and ingest.has_data(spark, s.pdf_dir):
-        parsed = files.parse_files(spark, s.pdf_dir, parser).join(todo.select(F.col("path").alias("source")), "source", "left_semi").persist()
+        parsed = files.parse_files(spark, s.pdf_dir, parser, pages).join(todo.select(F.col("path").alias("source")), "source", "left_semi").persist()
         failed = parsed.where("error IS NOT NULL").select("source", "error")
         rows = files.blocks_of(parsed)
+        if side_dir:
+            sinks.write_parsed(parsed, side_dir)
         rows = blocks.describe_special(rows.drop("source"), describer).join(rows.select("doc_id", "source").distinct(), "doc_id") if describer else rows
-        chunks = chunking.layout_chunks(rows.drop("source"), chunking.ChunkSettings(s.chunk_size, s.chunk_overlap), "pdf")
-        named = chunks.join(rows.select("doc_id", "source").distinct(), "doc_id")
-        parts.append(named.select("source", F.col("text").alias("page_content"), F.to_json(F.struct("page_spans", "bbox", "headers", "is_special", "special_type", "special_focus", "doc_format")).alias("metadata")))
+        named = rows.select("doc_id", "source").distinct()
+        if packing:
+            packs = chunking.packed_documents(rows.drop("source"), named.withColumnRenamed("source", "source_path"), s.chunk_size, s.chunk_overlap, side_dir or "")
+            facts = ("source_file", "page_idxs", "page_start", "page_end", "page_spans", "image_paths", "image_paths_rel", "images")
+            parts.append(packs.select("source", "chunk_idx", "page_content", F.to_json(F.struct(*facts)).alias("metadata")))
+        else:
+            chunks = chunking.layout_chunks(rows.drop("source"), chunking.ChunkSettings(s.chunk_size, s.chunk_overlap), "pdf").join(named, "doc_id")
+            facts = ("page_spans", "bbox", "headers", "is_special", "special_type", "special_focus", "doc_format")
+            parts.append(chunks.select("source", "chunk_idx", F.col("text").alias("page_content"), F.to_json(F.struct(*facts)).alias("metadata")))
     if force:
         sinks.clear_index(spark, s.index_dir)
     if parts:
         every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        sinks.write_index(ingest.indexed(every, embedder), s.index_dir)
+        placed = ingest.positioned(every, todo, files.read_index(spark, s.index_dir))
+        sinks.write_index(ingest.indexed(placed, embedder), s.index_dir, batch=s.add_batch_size)
     written = files.read_index(spark, s.index_dir)
     counted = written.groupBy("source").agg(F.count("*").alias("chunks")) if written is not None else spark.createDataFrame([], "source string, chunks long")
     failed = failed if failed is not None else spark.createDataFrame([], "source string, error string")
@@ -54,9 +67,9 @@ def answer(spark: SparkSession, s: Settings, questions: DataFrame, embedder: mod
     index = files.read_index(spark, s.index_dir)
     if index is None:
         raise evaluation.PreconditionError("there is no index; build it first")
-    docs = index.select(F.xxhash64("source", "page_content").alias("doc_id"), "source", F.col("page_content").alias("text"), "embedding").dropDuplicates(["doc_id"])
-    asked = [(r.q, list(r.v)) for r in questions.select("q", embedder.column(F.col("question"), fail=True).alias("v")).collect()]
-    retrieve = retrieval.build_retriever(docs, docs.select("doc_id", "embedding"), s.retriever_mode, s.top_k, s.hybrid_sparse_k, (s.hybrid_dense_weight, s.hybrid_sparse_weight), s.hybrid_rrf_k, s.mmr_fetch_k)
+    docs = index.select(F.col("position").alias("doc_id"), "source", F.col("page_content").alias("text"), "embedding")
+    asked = questions.select("q", embedder.column(F.col("question"), fail=True).alias("v")).persist()  # a question is embedded once
+    retrieve = retrieval.build_retriever(docs, docs.select("doc_id", "embedding"), s.retriever_mode, s.top_k, s.hybrid_sparse_k, (s.hybrid_dense_weight, s.hybrid_sparse_weight), s.hybrid_rrf_k, s.mmr_fetch_k, s.mmr_lambda)
     hits = retrieve(questions.select(F.col("q").alias("item_id"), F.col("question").alias("text")), asked).join(docs.select("doc_id", "text"), "doc_id")
     prompts = retrieval.stuffed_prompt(hits, questions, system)
     if past is not None:
@@ -79,7 +92,7 @@ def chat(spark: SparkSession, s: Settings, session: str, question: str, embedder
     return said
 
 
-def evaluate(spark: SparkSession, s: Settings, dataset: str, embedder: models.Model, model: models.Model, judge: Callable[[DataFrame], DataFrame], max_rows: int | None = None, max_contexts: int = 4, max_chars: int = 1200, prefix: str = "") -> dict[str, str]:
+def evaluate(spark: SparkSession, s: Settings, dataset: str, embedder: models.Model, model: models.Model, judge: Callable[[DataFrame], DataFrame], max_rows: int | None = None, max_contexts: int = 2, max_chars: int = 1400, prefix: str = "") -> dict[str, str]:
     """Answers a dataset, judges the cases by an injected function to (row_id, name, score, threshold, success, reason), and writes the results."""
     rows = evaluation.numbered(files.read_dataset(spark, dataset), "line", limit=max_rows).drop("answer", "contexts")
     said = answer(spark, s, rows.select(F.col("row_id").alias("q"), "question"), embedder, model)

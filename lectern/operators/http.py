@@ -6,18 +6,20 @@ made per call in the worker, and nothing here is imported by the operators.
 
 from __future__ import annotations
 
+import asyncio
 import base64
 import json
 import re
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Sequence
+from collections.abc import Awaitable, Callable, Sequence
 from dataclasses import dataclass
 
 from ..config import merged_options
+from ..functions.text import token_budget
 from .models import Model, Retry, structured
 
-RECOVERY = "You are a strict JSON formatter.\nReturn only valid JSON matching the provided schema.\nNo markdown, no explanation.\n\nSCHEMA:\n{schema}\n\nTEXT:\n{text}"
+RECOVERY = "The text below should have been JSON of this schema, but cannot be read as such. Write what it says as one JSON value of the schema; add nothing around it.\n\nSchema: {schema}\n\nText: {text}"
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ class Server:
 
     base_url: str
     model: str
-    timeout: float = 180
+    timeout: float | None = 180
     options: tuple[tuple[str, object], ...] = ()
 
     def post(self, path: str, payload: dict) -> dict:
@@ -47,6 +49,10 @@ class Server:
     def ask(self, prompt: str, think: bool | None = None, **options) -> str:
         return self.chat([{"role": "user", "content": prompt}], think, **options)[0]
 
+    async def ask_async(self, prompt: str, think: bool | None = None, **options) -> str:
+        """``ask`` without holding the event loop."""
+        return await asyncio.to_thread(self.ask, prompt, think, **options)
+
     def describe(self, prompt: str, image: bytes) -> str:
         return self.chat([{"role": "user", "content": prompt, "images": [base64.b64encode(image).decode()]}])[0]
 
@@ -71,10 +77,7 @@ def embedding_model(server: Server, batch: int = 64) -> Model:
 
 def judge(server: Server, schema: dict, attempts: int = 2, base: int = 256, factor: float = 2.0, most: int = 512, recover: bool = True, think: bool | None = None) -> Callable[[str], str | None]:
     """A function from a prompt to JSON text: first with the server's budget, then with growing ones, then by rewriting."""
-    budgets: list[int | None] = [None]
-    for i in range(1, max(0, attempts) + 1):
-        grown = round(base * max(1.0, factor) ** i)
-        budgets.append(min(most, max(base, grown if grown > base else base * (i + 1))))
+    budgets = [token_budget(base, i, max(1.0, factor), most) for i in range(max(0, attempts) + 1)]
     text = RECOVERY.replace("{schema}", json.dumps(schema, ensure_ascii=False)) if recover else None
 
     def ask(prompt: str, budget: int | None) -> str:
@@ -82,3 +85,9 @@ def judge(server: Server, schema: dict, attempts: int = 2, base: int = 256, fact
         return content if re.search(r"\S", content) else thought
 
     return lambda prompt: structured(ask, prompt, budgets, text)
+
+
+def judge_async(*args, **options) -> Callable[[str], Awaitable[str | None]]:
+    """``judge`` for an event loop."""
+    one = judge(*args, **options)
+    return lambda prompt: asyncio.to_thread(one, prompt)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import source_key, utc_now
@@ -39,6 +39,22 @@ def indexed(chunks: DataFrame, embedder: Model, text: str = "page_content") -> D
     return chunks.withColumn("embedding", embedder.column(F.col(text), fail=True))
 
 
+#: Bits of a chunk's number in its source, and of a source's number in its run.
+CHUNK_BITS, SOURCE_BITS = 20, 28
+
+
+def positioned(chunks: DataFrame, sources: DataFrame, index: DataFrame | None) -> DataFrame:
+    """Adds ``position``, which orders chunks by run, then by their source's kind and path, then by ``chunk_idx``.
+
+    The run follows the last one of the index. A row of ``sources`` is a file's name.
+    """
+    last = index.agg(F.max("position")).first()[0] if index is not None else None
+    run = 0 if last is None else (last >> (CHUNK_BITS + SOURCE_BITS)) + 1
+    numbers = sources.select(F.col("path").alias("source"), (F.row_number().over(Window.orderBy("type_order", "path")) - 1).cast("long").alias("_n"))
+    place = F.shiftleft("_n", CHUNK_BITS) + F.col("chunk_idx") + F.lit(run << (CHUNK_BITS + SOURCE_BITS))
+    return chunks.join(numbers, "source").withColumn("position", place).drop("_n", "chunk_idx")
+
+
 def has_data(spark: SparkSession, path: str) -> bool:
     """Whether there is any file below the path, by the file system that the path names."""
     jvm = spark.sparkContext._jvm

@@ -8,6 +8,7 @@ operators around a model can be run and tested without one.
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -41,11 +42,12 @@ def out_of_memory(e: Exception) -> bool:
 
 @dataclass(frozen=True)
 class Retry:
-    """Tries of a call: transient failures wait, an empty answer is asked once more without thinking."""
+    """Tries of a call: transient failures free what ``release`` can free and wait, an empty answer is asked once more without thinking."""
 
     attempts: int = 2
     wait: float = 0.8
     transient: tuple[str, ...] = ("503", "timed out", "timeout")
+    release: Callable[[], None] | None = None
 
     def __post_init__(self):
         if self.attempts < 1:
@@ -59,6 +61,8 @@ class Retry:
             except Exception as e:
                 if not left or not any(x in str(e).lower() for x in self.transient):
                     raise
+                if self.release:
+                    self.release()
                 time.sleep(self.wait)
         return answer if (answer or "").strip() or think is False else fn(prompt, False)
 
@@ -107,6 +111,17 @@ def stub(prefix: str = "answer") -> Model:
     return Model(lambda texts: [f"{prefix} {hashlib.sha1((t or '').encode()).hexdigest()[:12]}" for t in texts])
 
 
+def stub_judge() -> Model:
+    """Judges of a kind: an item is fine if it shares a word with what it is held against."""
+
+    def one(prompt: str) -> str:
+        asked = json.loads(prompt[prompt.index("{") :])
+        known = set((asked.get("against") or "").lower().split())
+        return json.dumps({"verdicts": [{"verdict": "yes" if known & set(x.lower().split()) else "no", "reason": ""} for x in asked["items"]]})
+
+    return Model(lambda prompts: [one(p) for p in prompts])
+
+
 def stub_embedding(size: int = 64) -> Model:
     def fn(texts: Sequence[str]) -> list:
         out = []

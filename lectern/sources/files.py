@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable, Iterator
 
@@ -53,8 +54,12 @@ def read_texts(spark: SparkSession, where: str) -> DataFrame:
     return rows.where(F.col("source").rlike(r"(?i)\.(md|txt)$"))
 
 
-def parse_files(spark: SparkSession, where: str, parser: Callable[[str, bytes], list[dict]], pages: tuple[int, int | None] = (0, None)) -> DataFrame:
-    """Layout blocks of every PDF by an injected parser, one file a task slice; failures are rows with ``error``."""
+def parse_files(spark: SparkSession, where: str, parser: Callable[..., list[dict]], pages: tuple[int, int | None] = (0, None)) -> DataFrame:
+    """Layout blocks of every PDF by an injected parser of (path, content), one file a task slice; failures are rows with ``error``.
+
+    A parser with a third parameter is given the pages and need not read others.
+    """
+    sliced = len(inspect.signature(parser).parameters) > 2
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(where).select("path", "content")
     first, last = pages
 
@@ -63,7 +68,7 @@ def parse_files(spark: SparkSession, where: str, parser: Callable[[str, bytes],
             out = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    found = [b for b in parser(path, content) if first <= (b.get("page_idx") or 0) and (last is None or (b.get("page_idx") or 0) <= last)]
+                    found = [b for b in (parser(path, content, pages) if sliced else parser(path, content)) if first <= (b.get("page_idx") or 0) and (last is None or (b.get("page_idx") or 0) <= last)]
                     out.append((path, json.dumps(found, ensure_ascii=False), None))
                 except Exception as e:  # one file must not end the others
                     out.append((path, "[]", f"{type(e).__name__}: {e}"))

@@ -9,9 +9,14 @@ from ..functions.text import session_id, utc_now
 from ..operators.ingest import has_data, marked, remove
 
 
-def write_index(chunks: DataFrame, path: str, force: bool = False) -> None:
-    """Appends rows; ``force`` replaces all. Rows have no key, so the same source twice is there twice."""
-    chunks.write.mode("overwrite" if force else "append").parquet(path)
+def write_index(chunks: DataFrame, path: str, force: bool = False, batch: int = 256) -> None:
+    """Appends rows; ``force`` replaces all. Rows have no key, so the same source twice is there twice. A file holds 4,000 batches at most."""
+    chunks.write.mode("overwrite" if force else "append").option("maxRecordsPerFile", 4000 * max(1, batch)).parquet(path)
+
+
+def write_parsed(parsed: DataFrame, path: str) -> None:
+    """The parser's blocks of each source as JSON lines, beside the index."""
+    parsed.where("error IS NULL").select("source", "blocks").write.mode("overwrite").json(path)
 
 
 def clear_index(spark: SparkSession, path: str) -> None:

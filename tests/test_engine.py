@@ -22,6 +22,26 @@ def setup(tmp_path):
     return Settings(markdown_dir=str(docs), pdf_dir=str(tmp_path / "pdf"), index_dir=str(tmp_path / "index"), checkpoint_dir=str(tmp_path / "state"), history_dir=str(tmp_path / "chat"), eval_dir=str(tmp_path / "eval"), chunk_size=200, chunk_overlap=40)
 
 
+@pytest.mark.parametrize("folder", ["one", "another/place", "z"])
+def test_ties_go_by_the_order_of_ingestion(spark, tmp_path, folder):
+    where = tmp_path / folder
+    docs = where / "md"
+    docs.mkdir(parents=True)
+    for name, text in (("a.md", "alpha beta"), ("b.md", "alpha gamma"), ("c.md", "alpha delta")):
+        (docs / name).write_text(text)
+    s = Settings(markdown_dir=str(docs), index_dir=str(where / "index"), chunk_size=50, chunk_overlap=0)
+    embed = models.stub_embedding(8)
+    engine.prepare_index(spark, s, embed)
+    (docs / "0.md").write_text("alpha late")
+    later = Settings(**{**vars(s), "checkpoint_dir": str(where / "state")})
+    engine.prepare_index(spark, later, embed)
+    rows = files.read_index(spark, s.index_dir).orderBy("position").collect()
+    assert [r.source.rsplit("/", 1)[1] for r in rows] == ["a.md", "b.md", "c.md", "0.md", "a.md", "b.md", "c.md"]
+    asked = spark.createDataFrame([(0, "nothing of it")], "q long, question string")
+    flat = Settings(**{**vars(s), "hybrid_dense_weight": 0.0, "hybrid_sparse_weight": 1.0, "top_k": 3})
+    assert engine.answer(spark, flat, asked, embed, models.stub()).first().contexts == ["alpha beta", "alpha gamma", "alpha delta"]
+
+
 def test_index_query_chat_and_evaluation(spark, setup, tmp_path):
     embed, model = models.stub_embedding(256), models.stub()
     assert engine.prepare_index(spark, setup, embed, checkpoint=True) == {"processed": 2, "skipped": 0, "failed": 0}
@@ -60,6 +80,20 @@ def test_parsed_files_keep_failures_apart(spark, setup, tmp_path):
         engine.prepare_index(spark, setup, models.stub_embedding(8), parser, models.stub("about"), force=True)
     rows = files.read_index(spark, setup.index_dir).where(F.col("source").endswith(".pdf")).collect()
     assert any("omega" in r.page_content for r in rows) and any('"special_type":"table"' in (r.metadata or "") for r in rows)
+    # whole blocks packed, pages handed to a parser that takes them, and its blocks kept beside the index
+    (pdf / "y.pdf").unlink()
+    seen = []
+
+    def sliced(path, content, pages):
+        seen.append(pages)
+        return parser(path, content)
+
+    packed = Settings(**{**vars(setup), "index_dir": str(tmp_path / "packed"), "markdown_dir": str(tmp_path / "none")})
+    engine.prepare_index(spark, packed, models.stub_embedding(8), sliced, pages=(0, 0), side_dir=str(tmp_path / "side"), packing=True)
+    rows = files.read_index(spark, packed.index_dir).collect()
+    assert len(rows) == 1 and "Title" in rows[0].page_content and '"page_start":0' in rows[0].metadata
+    assert spark.read.json(str(tmp_path / "side")).count() == 1
+    (pdf / "y.pdf").write_bytes(b"bad")
     assert [r.source_type for r in files.list_sources(spark, str(pdf), setup.markdown_dir).orderBy("type_order", "path").collect()] == ["pdf", "pdf", "markdown", "markdown"]
 
 

@@ -1,3 +1,4 @@
+import asyncio
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -51,6 +52,8 @@ def test_models_over_http(spark, server):
     embed = http.embedding_model(http.Server(url, "e", 5))
     assert rows.select(embed.column(F.col("t"), fail=True).alias("v")).first().v == [5.0, 1.0]
     assert http.judge(http.Server(url, "j", 5), {"type": "object"})("p") == '{"a":1}'
+    assert asyncio.run(http.judge_async(http.Server(url, "j", 5), {"type": "object"})("p")) == '{"a":1}'
+    assert asyncio.run(http.Server(url, "plain", 5).ask_async("you")) == "hi you"
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -63,6 +66,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["processed"] == 1
     assert cli.main(["ask", "alpha", "--session-id", "a b"], spark, s) == 0
     assert capsys.readouterr().out.startswith("answer")
+    data = tmp_path / "set.json"
+    data.write_text(json.dumps([{"question": "alpha?", "ground_truth": "beta"}]))
+    assert cli.main(["evaluate", "--dataset", str(data), "--output-prefix", "run"], spark, s) == 0
+    paths = json.loads(capsys.readouterr().out)
+    assert {r.name for r in spark.read.json(paths["summary"]).collect()} == {"Answer Relevancy", "Faithfulness", "Contextual Precision"}
+    assert all(m.reason != "no result" for m in spark.read.json(paths["detailed"]).first().metrics)
+
+
+def test_command_line_options():
+    args = cli.parser().parse_args(["evaluate", "--dataset", "x"])
+    assert (args.max_contexts, args.max_context_chars, args.eval_batch_size, args.judge_timeout_seconds, args.fail) == (2, 1400, 1, 300, False)
+    assert cli.parser().parse_args(["evaluate", "--dataset", "x", "--fail-on-eval-error"]).fail
+    args = cli.parser().parse_args(["index", "--pages", "2:5", "--parser", "json:loads", "--checkpoint-file", "f"])
+    assert args.pages == (2, 5) and cli.pages("3:") == (3, None) and cli.loaded(args.parser) is json.loads and args.checkpoint_file == "f"
 
 
 def test_source_text(spark):
