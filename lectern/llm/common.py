@@ -7,6 +7,7 @@ bytes and its memory is bounded by the slice (one text can never be split).
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
@@ -211,8 +212,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps whose results are written."""
+    """Lets Spark's cleaner drop the shuffle files of steps whose results are written, and gives back what this process has freed."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
     spark.sparkContext._jvm.System.gc()
 
 

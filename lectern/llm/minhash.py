@@ -36,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -324,6 +325,7 @@ def placed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
     sizes = shelf.put(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = shelf.put(buckets.join(sizes, "key").select("key", "id", "band", "n"))
     degree = shelf.put(shared.groupBy("id").agg(F.sum("n").alias("degree")))
+    common.released(spark)
     # texts that share no bucket are left out where they are read
     sieve = common.Sieve(degree.select(F.xxhash64("id.id").alias("k")))
     sets = shelf.put(multisets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("k")), sieve, s))
@@ -343,7 +345,8 @@ def placed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
 
     with_degree = shared.join(degree, "id")
     level = shelf.put(with_degree.where(F.col("n") <= s.few).select("key", "id", "n", "band", "degree", F.col("id").alias("hub"), F.col("id").alias("low")).unionByName(grouped(with_degree.where(F.col("n") > s.few).drop("n")).select("key", "id", "n", "band", "degree", "hub", "low")))
-    met = candidates(level)
+    # a table for each level, so that no plan is large
+    met = [shelf.put(candidates(level))]
     # the keys of the bands that follow split a large bucket, one after the other
     half, within = F.floor(F.col("band") / s.bands).cast("int") * s.bands, F.col("band") % s.bands
     ahead = F.transform(F.sequence(F.lit(1), F.lit(s.further)), lambda j: F.element_at("bands", (half + (within + j) % s.bands + 1).cast("int")))
@@ -352,11 +355,11 @@ def placed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
         split = level.repartition("id", "key").select("key", "id", "degree", "ahead", F.posexplode("ahead").alias("at", "next"))
         split = split.select(F.xxhash64("key", "next").alias("key"), "id", "degree", F.slice("ahead", F.col("at") + 2, F.lit(s.further)).alias("ahead")).distinct()
         level = shelf.put(grouped(split))
-        met = met.unionByName(candidates(level))
+        met.append(shelf.put(candidates(level)))
         level = level.where(F.col("n") > s.few).select("key", "id", "degree", "ahead")
         if level.isEmpty():
             break
-    pairs = shelf.put(met.where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
+    pairs = shelf.put(reduce(DataFrame.unionByName, met).where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
     common.released(spark)
     roots = common.components(shelf.put(verified(pairs, sets, s)))
     large = shared.where(F.col("n") > s.few).select("key", "id")

@@ -191,6 +191,20 @@ def train(rows: list[tuple], s: Settings) -> Scorer:
     return Scorer(w, bias, s)
 
 
+def _rows(got: pa.Table) -> list[tuple]:
+    """The drawn texts in an order of their own, their lists as views of arrays."""
+    if not got.num_rows:
+        return []
+    drawn, posterior = (got.column(c).to_numpy() for c in ("drawn", "posterior"))
+    lists = []
+    for c in ("buckets", "counts", "shape"):
+        column = got.column(c).chunk(0)
+        values, cuts = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+        lists.append([values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+    mark = np.array([float(b.astype(float) @ c) for b, c in zip(lists[0], lists[1], strict=True)])
+    return [(drawn[i], posterior[i], lists[0][i], lists[1][i], lists[2][i]) for i in np.lexsort((mark, posterior, drawn)).tolist()]
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> Scorer | None:
     """The trained scorer; None for an empty table."""
     common.bounded_batches(docs.sparkSession)
@@ -228,7 +242,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Sett
             yield pa.RecordBatch.from_arrays([pa.array(drawn[at]), pa.array(p[at]), *[pa.array([x[i] if k < 0 else x[i][k].tolist() for i in at], pa.list_(pa.int32())) for x, k in ((grams, 0), (grams, 1), (shape.tolist(), -1))]], ["drawn", "posterior", "buckets", "counts", "shape"])
 
     got = texts.mapInArrow(draw, "drawn double, posterior double, buckets array<int>, counts array<int>, shape array<int>").toArrow()
-    return train(sorted(zip(*(got.column(i).to_pylist() for i in range(5)), strict=True)), s)
+    return train(_rows(got.combine_chunks()), s)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
