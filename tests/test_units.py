@@ -216,6 +216,21 @@ def test_packs_hold_what_they_may(sizes, most, overlap):
         assert cost([*a, b[0]]) + 2 > most
 
 
+@given(st.lists(st.tuples(st.integers(0, 6), st.sampled_from([" ", " ", "\n", "\n\n"])), min_size=1, max_size=60), st.integers(8, 60), st.integers(0, 20))
+def test_recursive_splits(parts, size, overlap):
+    """Characters that come once each: pieces follow the text, leave out white space only, and share no more than the overlap."""
+    letters = iter(range(0x4E00, 0x9FFF))
+    text = "".join("".join(chr(next(letters)) for _ in range(n + 2)) + gap for n, gap in parts)
+    end = start = 0
+    pieces = C.recursive_split(text, size, overlap)
+    for p in pieces:
+        i = text.index(p)
+        assert len(p) <= size and p == p.strip() and i >= start and text[end:i].strip() == ""
+        assert end - i <= overlap
+        start, end = i, i + len(p)
+    assert text[end:].strip() == "" and (len(text.strip()) > size or len(pieces) == 1)
+
+
 @given(st.text(alphabet="ab \n", max_size=60), st.integers(1, 12))
 def test_hard_splits(text, most):
     pieces = C.hard_split(text, most)
