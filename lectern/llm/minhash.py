@@ -322,7 +322,7 @@ def placed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
     singles = classes.select("id", "bands")
     twin = F.get("bands", F.col("band") - s.bands)
     buckets = singles.select("id", "bands", F.posexplode("bands").alias("band", "key")).where((F.col("band") < s.bands) | (F.col("key") != twin)).select("id", "band", "key")
-    sizes = shelf.put(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = shelf.put(buckets.join(sizes, "key").select("key", "id", "band", "n"))
     degree = shelf.put(shared.groupBy("id").agg(F.sum("n").alias("degree")))
     common.released(spark)
@@ -333,7 +333,7 @@ def placed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
     def grouped(rows: DataFrame) -> DataFrame:
         """Rows (key, id, degree, …) of buckets of two or more, with the bucket's size n, hub and smallest id."""
         found = rows.groupBy("key").agg(F.count("*").alias("n"), F.max_by("id", F.struct("degree", "id")).alias("hub"), F.min("id").alias("low")).where("n > 1")
-        return rows.join(shelf.put(found), "key")
+        return rows.join(found, "key")
 
     def candidates(level: DataFrame) -> DataFrame:
         """Pairs (id, other): all in a small bucket; with the hub and the smallest id in a large one."""
@@ -360,8 +360,11 @@ def placed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
         if level.isEmpty():
             break
     pairs = shelf.put(reduce(DataFrame.unionByName, met).where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
+    shelf.clear(rows, classes, shared, sets, pairs)
     common.released(spark)
-    roots = common.components(shelf.put(verified(pairs, sets, s)))
+    links = shelf.put(verified(pairs, sets, s))
+    shelf.drop(pairs)
+    roots = common.components(links)
     large = shared.where(F.col("n") > s.few).select("key", "id")
     if not large.isEmpty():
         members = shelf.put(large.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
