@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,22 +58,87 @@ def byte_values(seed: int = 1) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * BASE + np.uint64(seed))
 
 
+#: Multipliers of the values of a gram; their number is its size.
+GRAM = tuple(np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def kept_powers(base: np.uint64, n: int) -> np.ndarray:
+    """``powers``, kept in this process up to a million."""
+    held = _POWERS.get(int(base))
+    if held is None or len(held) < n:
+        held = powers(base, max(n, 1 << 18))
+        if len(held) <= 1_000_000:
+            _POWERS[int(base)] = held
+    return held[:n]
+
+
 class Rolling:
-    """Polynomial hashes, modulo 2**64, of any segments of a sequence of 64-bit values."""
+    """64-bit hashes of any segments of a sequence of 64-bit values.
+
+    A polynomial modulo 2**64 over the values themselves gives some regular sequences one hash, whatever its
+    base (Thue-Morse sequences of two values do). So the polynomial goes over grams: each four neighbours,
+    weighted and then mixed, which is not linear. A segment has the grams that lie in it; one shorter than a gram is mixed whole.
+    """
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        self.back = powers(inverse(int(BASE)), n + 1)
+        self.values = values
+        self.back = kept_powers(inverse(int(BASE)), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(BASE, n), out=self.sums[1:])
+        whole = max(n - len(GRAM) + 1, 0)
+        grams = mix(sum(values[j : j + whole] * c for j, c in enumerate(GRAM)))
+        np.cumsum(grams * kept_powers(BASE, whole), out=self.sums[1 : whole + 1])
+        self.sums[whole + 1 :] = self.sums[whole]
 
     def segment(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.back[start]
+        size = end - start
+        out = (self.sums[np.maximum(end - (len(GRAM) - 1), start)] - self.sums[start]) * self.back[start]
+        few = np.flatnonzero(size < len(GRAM))
+        if len(few) and len(self.values):
+            at, n = start[few], size[few]
+            held = n.astype(np.uint64)
+            for j, c in enumerate(GRAM[:-1]):
+                held += np.where(j < n, self.values[np.minimum(at + j, len(self.values) - 1)] * c, np.uint64(0))
+            out[few] = mix(held)
+        return out
 
     def windows(self, k: int) -> np.ndarray:
         """Of the k values from each start on."""
-        n = len(self.sums) - 1
-        return (self.sums[k:] - self.sums[: n + 1 - k]) * self.back[: n + 1 - k] if n >= k else np.zeros(0, np.uint64)
+        n = len(self.values)
+        if n < k:
+            return np.zeros(0, np.uint64)
+        if k < len(GRAM):
+            return self.segment(np.arange(n - k + 1), np.arange(k, n + 1))
+        last = k - len(GRAM) + 1
+        return (self.sums[last : last + n - k + 1] - self.sums[: n - k + 1]) * self.back[: n - k + 1]
+
+
+def keys_of(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each text, from a cryptographic hash of its bytes: rows of equal keys may be taken as equal."""
+    held = memoryview(np.ascontiguousarray(data))
+    cuts = bounds.tolist()
+    return np.frombuffer(b"".join(hashlib.blake2b(held[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:], strict=False)), np.int64).reshape(-1, 2)
+
+
+def text_keys(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return keys_of(data, bounds)[:, 0].copy()
+
+
+def word_keys(data: np.ndarray, bounds: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """``keys_of`` each text's words, one line feed behind each."""
+    size = end - start
+    place = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum() + len(size)), 10, np.uint8)
+    out[np.repeat(place - (np.cumsum(size) - size), size) + np.arange(size.sum())] = data[~IS_SPACE[data]]
+    ends = np.append(place, len(out))[np.searchsorted(doc, np.arange(len(bounds)))]
+    return keys_of(out, ends)
+
+
+def numbered(data: np.ndarray, sizes: np.ndarray) -> pa.DictionaryArray:
+    """Pieces that lie one after another in the bytes, as an array with a dictionary: numbers that are equal if the pieces are."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

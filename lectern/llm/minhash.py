@@ -9,8 +9,8 @@ A text with repeated shingles has a second signature, in which each counts once,
 two texts meet if they are alike in either way.
 
 Texts of the same words are one class from the start, found by an aggregation, so
-copies are never paired. A class is known by its smallest id and a hash of its words, so
-rows that share an id but not the text stay apart. Signatures of the classes are banded. In
+copies are never paired. Words are told apart by a cryptographic hash of 128 bits. A class is known by
+its smallest id and half of that hash, so rows that share an id but not the text stay apart. Signatures of the classes are banded. In
 a bucket of at most ``few`` all members are compared. In a larger one every member
 is compared with the hub, the member that shares most buckets with others, and with
 the smallest id; and the bucket is split by the bands that follow, each in turn, into
@@ -67,14 +67,14 @@ class Settings:
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, hash and count of each distinct shingle, in order; number of words and a hash of all words of each document."""
+    """Document, hash and count of each distinct shingle, in order; number of words and the key of all words, two numbers, of each document."""
     start, end, doc = common.words_of(data, bounds)
     word = common.mix(common.Rolling(common.byte_values()[data]).segment(start, end))
     n = len(bounds) - 1
     n_words = np.bincount(doc, minlength=n)[:n]
     hashes = common.Rolling(word)
     first = np.concatenate([[0], np.cumsum(n_words)])
-    whole = common.mix(hashes.segment(first[:-1], first[1:]) + n_words.astype(np.uint64))
+    whole = common.word_keys(data, bounds, start, end, doc)
     at = np.arange(len(word))
     full = at + k <= first[doc + 1]
     short = (n_words[doc] < k) & (at == first[doc])
@@ -93,11 +93,6 @@ def weight(count: np.ndarray) -> np.ndarray:
     return 1 + np.log(count)
 
 
-def text_keys(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    hashes = common.Rolling(common.byte_values(2)[data])
-    return common.mix(hashes.segment(bounds[:-1], bounds[1:]) + np.diff(bounds).astype(np.uint64)).view(np.int64)
-
-
 def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, m: int) -> np.ndarray:
     """The element that arrives first in each slot, for each document; documents without elements have zeros."""
     first = np.full(n * m, np.inf)
@@ -153,7 +148,7 @@ def similarity(va: np.ndarray, ca: np.ndarray, vb: np.ndarray, cb: np.ndarray) -
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """(id, t, k1, k2, bands): hashes of the text, of the words in their order (null for texts without a word) and of the shingles; the bands' keys, and again for shingles counted once where they are not the same."""
+    """(id, t, k1, k2, bands): a key of the text, the two numbers of the key of its words in their order (null for texts without a word); the bands' keys, and again for shingles counted once where they are not the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
@@ -167,17 +162,14 @@ def signed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
             number = np.cumsum(more) - 1
             plain = band_keys(signatures(number[doc[often]], value[often], np.ones(int(often.sum()), np.int64), int(more.sum()), s.slots), s)
             none = n_words == 0
-            # of the multiset of shingles, beside that of the words in their order
-            other = np.zeros(n, np.uint64)
-            np.add.at(other, doc, common.mix(value + count.astype(np.uint64)))
-            k1, k2 = (pa.array(x.view(np.int64), mask=none) for x in (whole, common.mix(other + n_words.astype(np.uint64))))
+            k1, k2 = (pa.array(whole[:, i], mask=none) for i in (0, 1))
             ends = np.cumsum(s.bands * (1 + more))
             flat = np.empty(int(ends[-1]), np.int64)
             first = np.zeros(len(flat), bool)
             first[(ends - s.bands * (1 + more))[:, None] + np.arange(s.bands)] = True
             flat[first], flat[~first] = keys[0].ravel(), plain.ravel()
             bands = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(text_keys(data, bounds)), k1, k2, bands], ["id", "t", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(common.text_keys(data, bounds)), k1, k2, bands], ["id", "t", "k1", "k2", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, t long, k1 long, k2 long, bands array<long>")
@@ -194,7 +186,7 @@ def multisets(texts: DataFrame, sieve: common.Sieve, s: Settings) -> DataFrame:
             doc, value, count, _, whole = shingles(data, bounds, s.words)
             cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
             pairs = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            node = pa.StructArray.from_arrays([part.column("id"), pa.array(whole.view(np.int64))], ["id", "k1"])
+            node = pa.StructArray.from_arrays([part.column("id"), pa.array(whole[:, 0])], ["id", "k1"])
             yield pa.RecordBatch.from_arrays([node, pa.array([value[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([count[i:j].astype(np.uint32).tobytes() for i, j in pairs], pa.binary())], ["id", "elements", "counts"])
 
     found = texts.mapInArrow(run, f"id {kind}, elements binary, counts binary")
@@ -404,7 +396,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows = batch.column("row")
                 flat = pa.RecordBatch.from_arrays([rows.field(id_col), rows.field(text_col), rows], ["id", "text", "row"])
                 for part in common.slices(iter([flat]), "text"):
-                    key = text_keys(*common.text_bytes(part.column("text")))
+                    key = common.text_keys(*common.text_bytes(part.column("text")))
                     yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(key)], ["row", "id", "t"]).filter(pa.array(sieve.may_have(key) == some))
 
         return run

@@ -123,13 +123,6 @@ def runs(doc: np.ndarray, word: np.ndarray, s: Settings = Settings()) -> np.ndar
     return found[np.lexsort(found.T[[1, 2, 0]])]
 
 
-def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.DictionaryArray:
-    """The words as an array with a dictionary."""
-    letters = data[~common.IS_SPACE[data]]
-    bounds = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(letters)).dictionary_encode()
-
-
 def dropped(n: int, found: np.ndarray) -> np.ndarray:
     """Whether each word stands in a run behind its first period."""
     change = np.zeros(n + 1, np.int64)
@@ -145,7 +138,7 @@ def find(column: pa.Array, s: Settings = Settings()) -> tuple[pa.Array, pa.Array
     """Of each text the number of words, its runs by start and period, and its words without the repetitions, joined by blanks."""
     data, bounds = common.text_bytes(column)
     start, end, doc = common.words_of(data, bounds)
-    words = numbered(data, start, end)
+    words = common.numbered(data[~common.IS_SPACE[data]], end - start)
     n = len(bounds) - 1
     n_words = np.bincount(doc, minlength=n)[:n]
     first = np.concatenate([[0], np.cumsum(n_words)])
@@ -156,7 +149,7 @@ def find(column: pa.Array, s: Settings = Settings()) -> tuple[pa.Array, pa.Array
     listed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(RUN)))
     kept = np.flatnonzero(~dropped(len(doc), found))
     places = np.concatenate([[0], np.cumsum(np.bincount(doc[kept], minlength=n)[:n])])
-    texts = words.dictionary.take(words.indices.take(pa.array(kept)))
+    texts = words.dictionary.cast(pa.large_string()).take(words.indices.take(pa.array(kept)))
     return pa.array(n_words), listed, pc.binary_join(pa.LargeListArray.from_arrays(pa.array(places), texts), pa.scalar(" ", pa.large_string()))
 
 

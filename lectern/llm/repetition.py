@@ -5,7 +5,8 @@ at once. An interval of the array whose suffixes share a prefix of l words is a
 repeated substring with all its places; the longest such prefix at a place is the
 larger of the common prefixes with its two neighbours, so the union of the spans
 of all intervals of at least ``min_words`` words is the union over the places of
-``[place, place + that length)``. A text is rejected if the union covers too large
+``[place, place + that length)``. Words and lines are told apart exactly, and the common
+prefixes are read from the names of blocks of words (``periodic.Names``). A text is rejected if the union covers too large
 a share of its words, or if the longest repeat is too long.
 
 Nulls count as empty texts, which the base rule rejects (fewer than ``min_total``
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
+from .periodic import Names
 
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[list(b"#*$%&|<>")] = True
@@ -84,27 +86,14 @@ def longest_repeats(doc: np.ndarray, word: np.ndarray, least: int) -> np.ndarray
     if n < 2:
         return out
     order = suffix_array(doc, word)
-    hashes = common.Rolling(word)
-    end = np.searchsorted(doc, doc, "right")
+    names = Names(doc * (int(word.max()) + 1) + word)
     p, q = order[:-1], order[1:]
-    room = np.minimum(end[p] - p, end[q] - q)
-    near = np.flatnonzero((doc[p] == doc[q]) & (room >= least))
-    p, q, room = p[near], q[near], room[near]
-    same = hashes.segment(p, p + least) == hashes.segment(q, q + least)
-    p, q, room = p[same], q[same], room[same]
-    if not len(p):
-        return out
-    common_words = np.full(len(p), least, np.int64)
-    step = 1 << int(room.max()).bit_length()
-    while step:
-        more = common_words + step
-        fits = np.flatnonzero(more <= room)
-        a, b, m = p[fits] + common_words[fits], q[fits] + common_words[fits], step
-        equal = fits[hashes.segment(a, a + m) == hashes.segment(b, b + m)]
-        common_words[equal] += step
-        step //= 2
-    np.maximum.at(out, p, common_words)
-    np.maximum.at(out, q, common_words)
+    near = (doc[p] == doc[q]) & (names.levels[0][p] == names.levels[0][q])
+    p, q = p[near], q[near]
+    shared = names.after(np.minimum(p, q), np.maximum(p, q))
+    full = shared >= least
+    np.maximum.at(out, p[full], shared[full])
+    np.maximum.at(out, q[full], shared[full])
     return out
 
 
@@ -113,8 +102,7 @@ def measure(column: pa.Array, rules: Rules = Rules()) -> dict[str, np.ndarray]:
     data, bounds = common.text_bytes(column)
     n = len(bounds) - 1
     start, end, doc = common.words_of(data, bounds)
-    hashes = common.Rolling(common.byte_values()[data])
-    word = common.mix(hashes.segment(start, end))
+    word = common.numbered(data[~common.IS_SPACE[data]], end - start).indices.to_numpy().astype(np.int64)
     n_words = np.bincount(doc, minlength=n)[:n]
     inner = ~common.IS_SPACE[data]
     word_chars = common.per_doc(common.running(inner & common.STARTS_CHAR[data]), bounds)
@@ -128,12 +116,10 @@ def measure(column: pa.Array, rules: Rules = Rules()) -> dict[str, np.ndarray]:
     held = common.running(inner)
     stop = stop - (data[stop - 1] == 10) if len(begin) else stop
     full = held[stop] > held[begin]
-    begin, stop, line_doc = begin[full], stop[full], line_doc[full]
-    line = np.stack([line_doc.astype(np.uint64), hashes.segment(begin, stop), (stop - begin).astype(np.uint64)], 1) if len(begin) else np.zeros((0, 3), np.uint64)
-    by = np.lexsort(line.T)
-    again = np.zeros(len(line), bool)
-    again[by[1:]] = (line[by[1:]] == line[by[:-1]]).all(1)
-    n_dup_lines = np.bincount(line_doc[again], minlength=n)[:n]
+    line = common.numbered(data[data != 10], stop - begin).indices.to_numpy().astype(np.int64)[full]
+    line_doc = line_doc[full]
+    first = np.unique(line_doc * (int(line.max(initial=0)) + 1) + line, return_index=True)[1]
+    n_dup_lines = np.bincount(line_doc, minlength=n)[:n] - np.bincount(line_doc[first], minlength=n)[:n]
 
     longest = longest_repeats(doc, word, rules.min_words)
     at = np.flatnonzero(longest)

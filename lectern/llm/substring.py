@@ -105,11 +105,6 @@ def strings(values: np.ndarray, bounds: np.ndarray, s: Settings) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (*(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 3)
 
 
-def text_keys(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    hashes = common.Rolling(common.byte_values(2)[data])
-    return common.mix(hashes.segment(bounds[:-1], bounds[1:]) + np.diff(bounds).astype(np.uint64)).view(np.int64)
-
-
 def repeated_windows(found: list[np.ndarray], s: Settings) -> list[np.ndarray]:
     """For each string, in the order of first places, which of its windows go: those of classes of two or more, or all of a class but its first."""
     sizes = np.array([len(x) for x in found]) + 1
@@ -272,7 +267,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
         for part in common.slices(batches, "text", s.slice_bytes):
             data, bounds = common.text_bytes(part.column("text"))
             anchor, whole, doc, start, n = strings(*units(data, bounds, s), s)
-            key = text_keys(data, bounds)
+            key = common.text_keys(data, bounds)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), part.column("id").take(pa.array(doc)), pa.array(key[doc]), pa.array(start), pa.array(n.astype(np.int32))], ["a", "h", "id", "k", "start", "n"])
 
     every = shelf.put(texts.mapInArrow(cut, f"a long, h long, id {kind}, k long, start long, n int"))
@@ -300,7 +295,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text", s.slice_bytes):
             data, bounds = common.text_bytes(part.column("text"))
-            key = text_keys(data, bounds)
+            key = common.text_keys(data, bounds)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key)], ["id", "text", "k"]).filter(pa.array(sieve.may_have(key)))
 
     sieve = common.Sieve(wanted.select("k"))
@@ -347,7 +342,7 @@ def with_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, sl
                 rows = batch.column("row")
                 flat = pa.RecordBatch.from_arrays([rows.field(id_col), rows.field(text_col), rows], ["id", "text", "row"])
                 for part in common.slices(iter([flat]), "text", slice_bytes):
-                    key = text_keys(*common.text_bytes(part.column("text")))
+                    key = common.text_keys(*common.text_bytes(part.column("text")))
                     part = pa.RecordBatch.from_arrays([part.column("id"), pa.array(key), part.column("row")], ["id", "k", "row"])
                     yield part.filter(pa.array(sieve.may_have(key) == some))
 

@@ -165,3 +165,12 @@ def test_pairs_in_a_large_family(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, s=s).collect()}
     assert len(set(got.values())) >= 600 and [p for p in planted if got[p[0]] != got[p[1]]] == []
+
+
+def test_regular_words_are_told_apart():
+    from .test_repetition import morse
+
+    data, bounds = common.text_bytes(pa.array(list(morse(1024)) + [" ".join(t) for t in morse(1024)]))
+    doc, value, _, _, whole = minhash.shingles(data, bounds, 5)
+    assert len({tuple(k) for k in whole.tolist()}) == 4
+    assert not set(value[doc == 0].tolist()) & set(value[doc == 1].tolist())

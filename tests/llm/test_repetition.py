@@ -64,3 +64,29 @@ def test_frames(spark):
     assert repetition.quality_rules(df.limit(0)).count() == 0
     kept = repetition.keep_good(df)
     assert kept.columns == df.columns and kept.count() == 2
+
+
+def morse(n):
+    """Two different strings of two letters to which polynomials modulo 2**64 give one hash."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_regular_words_are_told_apart():
+    x, y = morse(1024)
+    assert x != y and len(x) == 1024
+    lines = f"{x}\n{y}"
+    five = f"x1 x2 x3 x4 {x} x1 x2 x3 x4 {y}"
+    of_words = [" ".join(t) for t in morse(1024)]
+    found = repetition.measure(pa.array([lines, five, f"{x}\n{x}", *of_words]))
+    assert found["n_dup_lines"].tolist() == [0, 0, 1, 0, 0]
+    assert found["n_repeat_words"].tolist()[:3] == [0, 0, 0]
+    assert not found["base_failed"][1]
+
+
+def test_very_long_text():
+    words = [f"w{i % 70_000}" for i in range(200_000)]
+    found = repetition.measure(pa.array([" ".join(words)]))
+    assert (found["n_words"][0], found["n_repeat_words"][0], found["longest_repeat"][0]) == (200_000, 200_000, 130_000)
