@@ -19,8 +19,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rest = F.crc32(F.col("doc_id").cast("string")) % 4
     held = docs.select("doc_id", "text", "lang")
-    found = langid.identify(held, rest != 2)
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    found = langid.identify(held, F.coalesce(rest != 2, F.lit(True)))
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

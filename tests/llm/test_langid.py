@@ -2,7 +2,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from lectern.llm import langid
+from lectern.llm import langid, queries
 
 from ..conftest import SF
 
@@ -35,3 +35,11 @@ def test_edges(spark):
     alone = langid.identify(docs.limit(5), F.lit(False)).collect()
     assert {r.lang_pred for r in alone} == {"und"}
     assert langid.identify(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_null_id_is_not_held_out(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.limit(60).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op2_language_id(spark, str(tmp_path)).collect()
+    assert len(rows) == 61 and all(isinstance(r.held_out, bool) for r in rows)
+    assert [r.held_out for r in rows if r.doc_id is None] == [False]

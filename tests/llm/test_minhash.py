@@ -2,10 +2,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import minhash
+from lectern.llm import common, minhash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
