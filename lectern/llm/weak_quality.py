@@ -35,7 +35,7 @@ HEURISTICS = {
     "shouting": (0.5, 2.0, 0.0, 0.2),
     "marks": (0.2, 1e9, -1.0, 0.05),
     "stutter": (0.2, 2.0, -1.0, 0.05),
-    "variety": (-1.0, 0.2, 0.35, 2.0),
+    "variety": (-1.0, 0.2, 0.35, 1e18),
     "word_length": (14.0, 1e9, 2.5, 8.0),
     "exclaims": (0.2, 1e9, -1.0, 0.06),
     "letters": (-1.0, 0.7, 0.85, 2.0),

@@ -50,3 +50,10 @@ def test_edges(spark):
     kept = W.keep_good(both)
     assert kept.columns == both.columns and kept.count() == sum(r.kept for r in rows)
     assert W.classify(docs.limit(0)).count() == 0
+
+
+def test_long_varied_texts_keep_their_vote():
+    place = list(W.HEURISTICS).index("variety")
+    for n in (60, 700, 900, 2500, 20_000):
+        codes = np.array([ord(c) for c in " ".join(f"w{i}" for i in range(n))])
+        assert W.votes(W.figures(codes, np.array([0, len(codes)])))[0, place] == 1
