@@ -47,7 +47,7 @@ PIECE = re.compile(
 )
 NAMED = re.compile(r"(?:\s|^)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT = re.compile(r"[\W_]+|(?<=[a-z])(?=[A-Z])")
-SPACES = re.compile(r"[\x20\x09-\x0d\xa0]+")
+SPACES = re.compile(r"\s+")  # of Unicode
 CUES = re.compile(r"©|\(c\)|copyright|all rights|cookie|subscri|newsletter|sign (?:in|up)|log ?in|advert|sponsor|privacy|share|repl(?:y|ies)|comment|posted by|related|read more|next|previous|home\b", re.I)
 
 

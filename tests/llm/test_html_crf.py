@@ -71,3 +71,8 @@ def test_pages(spark, model):
     assert H.main_text(odd.limit(0), model=model).count() == 0
     twice = pages.limit(3).unionByName(pages.limit(3))
     assert sorted(r["count"] for r in H.main_text(twice, model=model).groupBy("page_id", "text").count().collect()) == [2, 2, 2]
+
+
+def test_unicode_white_space_is_one_blank():
+    found = H.blocks("<p>\u2003a&emsp;\u3000\u2028\u00a0 \n b\u2029</p>")
+    assert [b.text for b in found] == ["a b"]
