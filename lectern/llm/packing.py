@@ -1,8 +1,8 @@
 """Conflict-constrained best-fit packing of documents into sequences.
 
 A document longer than the capacity is cut into full pieces and a rest. Pieces are
-dealt by a hash of id and piece into shards of about ``shard_items`` pieces, so no
-source or cluster gathers in one task, and each shard is packed on its own: pieces
+dealt by a hash of the row and the piece, and of a number among equal rows, into shards of about ``shard_items`` pieces, so no
+source, cluster or repeated id gathers in one task, and each shard is packed on its own: pieces
 in decreasing size, each into the open bin with the smallest residual that holds
 it and has no document of the same source or of the same duplicate cluster. Bins
 are kept by residual; a bin's sources and clusters are bitmaps; the search goes on
@@ -11,7 +11,7 @@ bin only when there is none.
 
 Null sources and clusters conflict with nothing; null and empty texts are one piece
 of no size; equal rows are pieces of their own (of one cluster, so in different
-bins). The result depends on the ids only through hash and order. Other columns are
+bins), and ids may be null. Without equal rows the result depends on the rows only, not on where they lie. Other columns are
 never read.
 """
 
@@ -92,6 +92,10 @@ def pack(docs: DataFrame, size: str, source: str, cluster: str, id_col: str = "d
     id_type = docs.schema[id_col].dataType.simpleString()
     need = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), need.alias("need"), F.xxhash64(source).alias("source_h"), F.col(source).isNull().alias("no_source"), F.xxhash64(cluster).alias("cluster_h"), F.col(cluster).isNull().alias("no_cluster"))
+    # equal rows are numbered where they lie, so that they go to different shards
+    alike = rows.groupBy(*rows.columns, F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    rows = alike.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = rows.withColumn("salt", F.when(F.col("k") > 0, F.col("part") * F.lit(1 << 32) + F.col("k")).otherwise(0)).drop("part", "n", "k")
     total = rows.agg(F.sum(F.greatest(F.ceil(F.col("need") / s.capacity), F.lit(1)))).first()[0] or 0
     shards = max(1, -(-int(total) // s.shard_items))
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("need") / s.capacity) - 1, F.lit(0).cast("long")))).alias("piece"))
@@ -101,12 +105,12 @@ def pack(docs: DataFrame, size: str, source: str, cluster: str, id_col: str = "d
         F.least(F.lit(s.capacity).cast("long"), F.col("need") - F.col("piece") * s.capacity).alias("size"),
         F.when(~F.col("no_source"), F.col("source_h")).alias("source"),
         F.when(~F.col("no_cluster"), F.col("cluster_h")).alias("cluster"),
-        F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("id", "piece", "need", "source_h", "cluster_h", "salt"), F.lit(shards)).alias("shard"),
     )
     capacity = s.capacity
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), ("id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("size", "descending"), ("id", "ascending"), ("piece", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
         bins, places = best_fit(*(table.column(c).to_pylist() for c in ("size", "source", "cluster")), capacity)
         shard = table.column("shard")[0].as_py()
         start = [p * capacity for p in table.column("piece").to_pylist()]

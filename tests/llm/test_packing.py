@@ -60,3 +60,18 @@ def test_frames(spark):
         same = [t for t in held if t]
         assert len(same) == len(set(same))
     assert packing.pack_texts(df.limit(0), s=s).count() == 0
+
+
+def test_equal_rows_and_rows_without_an_id_are_spread(spark):
+    same = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    none = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit(None).cast("string").alias("source"))
+    got = packing.pack_texts(same.unionByName(none).repartition(5), s=packing.Settings(capacity=64, shard_items=100)).collect()
+    assert len(got) == 7000
+    shards, bins = {}, {}
+    for r in got:
+        shards[r.bin // packing.SHARD_BINS] = shards.get(r.bin // packing.SHARD_BINS, 0) + 1
+        bins.setdefault(r.bin, []).append(r)
+    assert len(shards) > 60 and max(shards.values()) < 250
+    for held in bins.values():
+        assert sum(r.doc_id == 7 for r in held) <= 1  # copies and one source never share a bin
+        assert sum(r["size"] for r in held) <= 64
