@@ -75,6 +75,18 @@ def summary(results: DataFrame, key: str = "row_id") -> DataFrame:
     )
 
 
+def rollup(results: DataFrame, sets: list[list[str]], key: str = "row_id") -> DataFrame:
+    """The summary for each of several sets of columns at once; columns that a row's set has not are null, and ``grouping`` tells them from null values: a bit for each column, the first one the highest."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    by = [[F.col(c) for c in s] for s in sets]
+    return results.groupingSets(by, *[F.col(c) for c in columns]).agg(
+        F.grouping_id().alias("grouping"),
+        F.bround(F.avg(F.col("score").cast("double")), 4).alias("mean_score"),
+        F.bround(F.try_divide(F.sum(F.coalesce(F.col("success"), F.lit(False)).cast("double")), F.count("*")), 4).alias("pass_rate"),
+        F.count("*").alias("count"),
+    )
+
+
 def detailed(records: DataFrame, results: DataFrame, key: str = "row_id") -> DataFrame:
     """One row a record with its metrics and the number of its contexts."""
     metrics = results.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("name", "score", "threshold", "success", "reason"))).alias("metrics"))

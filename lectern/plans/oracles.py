@@ -199,6 +199,8 @@ SQL = {
     "document_frequency": f"WITH {SPARSE} SELECT token, df FROM dfs",
     "bm25_idf_epsilon": f"WITH {SPARSE} SELECT token, df, round(idf, 6) AS idf FROM idfs",
     "bm25_topk": f"WITH {SPARSE} SELECT item_id, doc_id, score, rank FROM sparse",
+    "bm25_postings": f"WITH {SPARSE} SELECT item_id, doc_id, score, rank FROM sparse",
+    "dense_lists": f"WITH {dense(TOP_K)} SELECT q, vec_id, score, rank FROM pool",
     "dense_topk": f"WITH {dense(TOP_K)} SELECT q, vec_id, score, rank FROM pool",
     "dense_mmr": f"WITH {MMR} SELECT q, vec_id, rank FROM taken{TOP_K}",
     "rrf_fusion": f"WITH {_rrf(*WEIGHTS)} SELECT q, doc_id, score, rank FROM fused",
@@ -230,6 +232,8 @@ SQL = {
     "json_recover": "SELECT item_id, '{\"text\":' || to_json(text)::VARCHAR || '}' AS json FROM benchmark",
     "chunk_segment_overlap": f"""{ATOMIC} SELECT c.doc_id, idx AS chunk_idx, page_idx, min(greatest(seg_start, c.s) - c.s)::BIGINT AS page_from, max(least(seg_end, e) - c.s)::BIGINT AS page_to
         FROM chunks c JOIN segs g ON g.doc_id = c.doc_id AND seg_end > c.s AND seg_start < e GROUP BY ALL""",
+    "chunk_segment_bins": f"""{ATOMIC} SELECT c.doc_id, idx AS chunk_idx, page_idx, min(greatest(seg_start, c.s) - c.s)::BIGINT AS page_from, max(least(seg_end, e) - c.s)::BIGINT AS page_to
+        FROM chunks c JOIN segs g ON g.doc_id = c.doc_id AND seg_end > c.s AND seg_start < e GROUP BY ALL""",
     "neighbor_context": f"""WITH {KEPT}, plain AS (SELECT doc_id, block_idx, nullif({norm('body')}, '') AS t FROM raw)
         SELECT doc_id, block_idx, right(coalesce(string_agg(t, ' ') OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 250) AS "left",
                left(coalesce(string_agg(t, ' ') OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), ''), 250) AS "right" FROM plain""",
@@ -241,6 +245,8 @@ SQL = {
     "chat_messages": f"WITH {TURNS}, sides AS ({SIDES.format('last2')}) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, side) AS seq, role, content FROM sides WHERE content <> ''",
     "chat_turn_count": f"WITH {TURNS}, sides AS ({SIDES.format('turns')}) SELECT conv_id, count(*) // 2 AS n_turns FROM sides WHERE content <> '' GROUP BY conv_id",
     "metric_summary": f"WITH {RESULTS} SELECT name, round_even(avg(score), 4) AS mean_score, round_even(sum(success::INTEGER) / count(*)::DOUBLE, 4) AS pass_rate, count(*) AS count, min_by(threshold, row_id) AS threshold FROM results GROUP BY name",
+    "metric_rollup": f"""WITH {RESULTS} SELECT name, source, lang, grouping_id(name, source, lang)::BIGINT AS grouping, round_even(avg(score), 4) AS mean_score, round_even(sum(success::INTEGER) / count(*)::DOUBLE, 4) AS pass_rate, count(*) AS count
+        FROM results JOIN documents ON doc_id = row_id GROUP BY GROUPING SETS ((name), (name, source), (name, lang))""",
     "row_id_then_filter": "SELECT item_id, question, row_id FROM (SELECT item_id, CASE WHEN item_id % 4 <> 0 THEN text ELSE '  ' END AS question, row_number() OVER (ORDER BY item_id) AS row_id FROM benchmark) WHERE trim(question) <> ''",
     "eval_dataset_validate": "SELECT item_id, text AS question, left(text, 60) AS ground_truth FROM benchmark",
     "contextual_precision": """SELECT case_id, round(coalesce(sum(p) FILTER (WHERE quality = 1) / nullif(sum(quality), 0), 0), 6) AS score FROM (
@@ -249,6 +255,9 @@ SQL = {
     "failed_result_padding": f"""WITH {RESULTS} SELECT row_id, name, score, threshold, success, 'judged' AS reason FROM results
         UNION ALL SELECT doc_id, unnest(['Answer Relevancy', 'Faithfulness', 'Contextual Precision']), NULL, 0.01, false, 'no result' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "checkpoint_latest": f"WITH {STATE} SELECT * FROM state",
+    "state_as_of": """WITH docs AS (SELECT doc_id, 'markdown:/' || source || '/' || doc_id || '.md' AS key, '2024-01-0' || (doc_id % 3) || 'T12:00:00' AS asked_at FROM documents),
+        log AS (SELECT key, 'failed' AS status, '2024-01-01T00:00:00' AS updated_at FROM docs JOIN labels USING (doc_id) UNION ALL SELECT key, 'done', '2024-01-02T00:00:00' FROM docs JOIN labels USING (doc_id) WHERE quality = 1)
+        SELECT doc_id, asked_at, status, updated_at FROM docs ASOF LEFT JOIN log ON docs.key = log.key AND docs.asked_at >= log.updated_at""",
     "ingest_pending": f"WITH {STATE} SELECT doc_id, key FROM made WHERE key NOT IN (SELECT key FROM state WHERE status = 'done')",
     "failure_isolation_counts": "SELECT CASE WHEN doc_id % 13 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'skipped' ELSE 'done' END AS status, count(*) AS n FROM documents GROUP BY ALL",
 }

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from ..functions import jsonfix
 from ..functions import text as T
 from ..operators import blocks as B
+from ..operators import cells
 from ..operators import chunking as C
 from ..operators import evaluation as E
 from ..operators import history as H
 from ..operators import ingest as I
+from ..operators import postings, ranges
 from ..operators import retrieval as R
+from ..operators import scratch
 
 #: Parameters that the SQL shares.
 TOP_K, SPARSE_K, FETCH, RRF_K, WEIGHTS, EVERY = 4, 8, 20, 60, (0.6, 0.4), 100
@@ -134,6 +137,13 @@ def bm25_topk(spark, sf_dir):
     return R.bm25_topk(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"), SPARSE_K)
 
 
+def bm25_postings(spark, sf_dir):
+    """The best documents from a stored inverted index, which is built first."""
+    path = scratch.new_folder(spark)
+    postings.add(documents(spark, sf_dir), path)
+    return postings.topk(postings.read(spark, path), read(spark, sf_dir, "benchmark"), SPARSE_K)
+
+
 # --- dense retrieval and fusion -----------------------------------------------------------------
 
 
@@ -141,6 +151,13 @@ def dense_topk(spark, sf_dir):
     return R.dense_topk(read(spark, sf_dir, "embeddings"), search_vectors(spark, sf_dir), TOP_K)
 
 
+def dense_lists(spark, sf_dir):
+    """The nearest vectors from the lists of a stored quantiser, which is built first; all lists that may hold one of them are read."""
+    path = scratch.new_folder(spark)
+    cells.build(read(spark, sf_dir, "embeddings"), path)
+    return cells.search(spark, path, search_vectors(spark, sf_dir), TOP_K, exact=True)
+
+
 def dense_mmr(spark, sf_dir):
     return R.mmr(read(spark, sf_dir, "embeddings"), search_vectors(spark, sf_dir), TOP_K, FETCH)
 
@@ -245,6 +262,15 @@ def chunk_segment_overlap(spark, sf_dir):
     return rows.groupBy("doc_id", "chunk_idx", "page_idx").agg(F.min("a").alias("page_from"), F.max("b").alias("page_to"))
 
 
+def chunk_segment_bins(spark, sf_dir):
+    """``chunk_segment_overlap`` with spans dealt into bins, so that one document is many tasks."""
+    segments = scratch.kept(layout_segments(spark, sf_dir))
+    chunks = C.sliding_chunks(B.full_text(segments), C.ChunkSettings(SIZE, OVERLAP), text_col="full_text", spans_col="spans").select("doc_id", "chunk_idx", "start", "end")
+    met = ranges.overlaps(chunks, segments.select("doc_id", "page_idx", "seg_start", "seg_end"), ["doc_id"], ("start", "end"), ("seg_start", "seg_end"))
+    rows = met.select("doc_id", "chunk_idx", "page_idx", (F.greatest("seg_start", "start") - F.col("start")).alias("a"), (F.least("seg_end", "end") - F.col("start")).alias("b"))
+    return rows.groupBy("doc_id", "chunk_idx", "page_idx").agg(F.min("a").alias("page_from"), F.max("b").alias("page_to"))
+
+
 def neighbor_context(spark, sf_dir):
     return B.neighbour_context(derived_blocks(spark, sf_dir), 250).select("doc_id", "block_idx", "left", "right")
 
@@ -304,6 +330,12 @@ def metric_summary(spark, sf_dir):
     return E.summary(results(spark, sf_dir))
 
 
+def metric_rollup(spark, sf_dir):
+    """The metrics by name, by name and source, and by name and language, in one aggregation."""
+    rows = results(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "source", "lang"), "row_id")
+    return E.rollup(rows, [["name"], ["name", "source"], ["name", "lang"]])
+
+
 def row_id_then_filter(spark, sf_dir):
     rows = read(spark, sf_dir, "benchmark").select("item_id", F.when(F.pmod("item_id", F.lit(4)) != 0, F.col("text")).otherwise("  ").alias("question"))
     return E.numbered(rows, "item_id")
@@ -350,6 +382,13 @@ def checkpoint_latest(spark, sf_dir):
     return I.latest_state(state_log(spark, sf_dir))
 
 
+def state_as_of(spark, sf_dir):
+    """Each labelled document's state at a time of its own, from the log."""
+    log = state_log(spark, sf_dir).select("key", "status", "updated_at")
+    asked = sources_of(spark, sf_dir).select("doc_id", T.source_key(F.col("source_type"), F.col("path")).alias("key"), F.concat(F.lit("2024-01-0"), F.pmod("doc_id", F.lit(3)).cast("string"), F.lit("T12:00:00")).alias("asked_at"))
+    return ranges.as_of(asked, log, ["key"], "asked_at", "updated_at", ["status", "updated_at"]).select("doc_id", "asked_at", "status", "updated_at")
+
+
 def ingest_pending(spark, sf_dir):
     return I.pending(sources_of(spark, sf_dir), checkpoint_latest(spark, sf_dir)).select("doc_id", "key")
 
