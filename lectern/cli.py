@@ -24,9 +24,11 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lectern")
     p.add_argument("--server", help="address of a chat server; stub models without it")
     p.add_argument("--embed-model", default="stub")
+    p.add_argument("--concurrency", type=int, default=1, help="calls of the server that a task has open at a time")
     sub = p.add_subparsers(dest="job", required=True)
     a = sub.add_parser("index", help="build the index from the source folders")
     a.add_argument("--force", action="store_true", help="replace the index and take all sources again")
+    a.add_argument("--keyed", action="store_true", help="replace what the index has of a source instead of adding to it")
     a.add_argument("--checkpoint", action="store_true", help="skip sources that the log has as done")
     a.add_argument("--checkpoint-file", help="where the log is, if not in the folder of the settings")
     a.add_argument("--parser", help="package.module:function that turns a PDF's path and bytes into layout blocks; without it only texts are taken")
@@ -81,16 +83,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, setti
         server = http.Server(args.server, s.model_name, request_timeout(s), (("temperature", s.temperature), ("num_predict", s.num_predict)))
         # a server that is short of memory answers 503: the embedding model makes room
         retry = models.Retry(release=http.Server(args.server, args.embed_model).release)
-        model = http.chat_model(server, retry, parse_think(s.think, s.model_name))
+        think = parse_think(s.think, s.model_name)
+        model = http.concurrent_chat_model(server, retry, think, args.concurrency) if args.concurrency > 1 else http.chat_model(server, retry, think)
         if args.job == "evaluate":
             seconds = max(30, args.judge_timeout_seconds) if args.judge_timeout_seconds > 0 else None
-            ask = http.judge(http.Server(args.server, s.judge_name, seconds), judging.SCHEMA, s.judge_retries, s.judge_num_predict, think=parse_think(s.think, s.judge_name))
-            judge = models.Model(lambda prompts: [ask(p) for p in prompts], max(1, args.eval_batch_size))
+            how = (http.Server(args.server, s.judge_name, seconds), judging.SCHEMA, s.judge_retries, s.judge_num_predict)
+            if args.concurrency > 1:
+                judge = http.concurrent_judge(*how, concurrency=args.concurrency, think=parse_think(s.think, s.judge_name))
+            else:
+                ask = http.judge(*how, think=parse_think(s.think, s.judge_name))
+                judge = models.Model(lambda prompts: [ask(p) for p in prompts], max(1, args.eval_batch_size))
     try:
         if args.job == "index":
             if args.checkpoint_file:
                 s = Settings(**{**vars(s), "checkpoint_dir": args.checkpoint_file})
-            print(json.dumps(engine.prepare_index(spark, s, embedder, loaded(args.parser), model if args.describe else None, args.force, args.checkpoint, args.pages, args.dump_blocks, args.packing)))
+            print(json.dumps(engine.prepare_index(spark, s, embedder, loaded(args.parser), model if args.describe else None, args.force, args.checkpoint, args.pages, args.dump_blocks, args.packing, args.keyed)))
         elif args.job == "ask":
             if args.max_history_turns is not None:
                 s = Settings(**{**vars(s), "chat_history_max_turns": args.max_history_turns})

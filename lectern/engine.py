@@ -14,9 +14,12 @@ from .sources import files, sinks
 SYSTEM = "Answer from the context only.\n\n{context}"
 
 
-def prepare_index(spark: SparkSession, s: Settings, embedder: models.Model, parser: Callable | None = None, describer: models.Model | None = None, force: bool = False, checkpoint: bool = False, pages: tuple[int, int | None] = (0, None), side_dir: str | None = None, packing: bool = False) -> dict[str, int]:
+def prepare_index(spark: SparkSession, s: Settings, embedder: models.Model, parser: Callable | None = None, describer: models.Model | None = None, force: bool = False, checkpoint: bool = False, pages: tuple[int, int | None] = (0, None), side_dir: str | None = None, packing: bool = False, keyed: bool = False) -> dict[str, int]:
     """Parses, chunks, embeds and appends all pending sources in one job; counts by status. Raises at the end if a source failed.
 
+    With ``keyed`` the rows of a source take the place of those that the index has of it, so that doing it again changes
+    nothing; a source that fails keeps what it has.
+
     Parsed files are chunked by layout, or with ``packing`` by packing whole blocks.
     Chunks are numbered by run, source and place, so that equal scores go by the order of ingestion.
     """
@@ -48,8 +51,13 @@ def prepare_index(spark: SparkSession, s: Settings, embedder: models.Model, pars
         sinks.clear_index(spark, s.index_dir)
     if parts:
         every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        placed = ingest.positioned(every, todo, files.read_index(spark, s.index_dir))
-        sinks.write_index(ingest.indexed(placed, embedder), s.index_dir, batch=s.add_batch_size)
+        placed = ingest.indexed(ingest.positioned(every, todo, files.read_index(spark, s.index_dir), keep=keyed), embedder)
+        done = todo.select(F.col("path").alias("source"))
+        done = done.join(failed.select("source"), "source", "left_anti") if failed is not None else done
+        if keyed:
+            sinks.upsert_index(placed, done, s.index_dir, batch=s.add_batch_size)
+        else:
+            sinks.write_index(placed, s.index_dir, batch=s.add_batch_size)
     written = files.read_index(spark, s.index_dir)
     counted = written.groupBy("source").agg(F.count("*").alias("chunks")) if written is not None else spark.createDataFrame([], "source string, chunks long")
     failed = failed if failed is not None else spark.createDataFrame([], "source string, error string")

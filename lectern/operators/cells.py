@@ -30,6 +30,8 @@ from .scratch import kept
 
 #: Vectors that the centroids are fitted on at most, centroids at most, rounds of k-means, folders, questions that meet a list in one group.
 SAMPLE, LISTS, ROUNDS, FOLDERS, BLOCK = 20_000, 4096, 12, 32, 512
+#: Vectors of a list that meet its questions in one group, about.
+PART = 50_000
 #: Cosines are rounded to 6 digits; a bound may be this much below the least one that counts.
 SLACK = 2e-6
 
@@ -109,12 +111,13 @@ def _probed(table: pa.Table, questions: DataFrame) -> DataFrame:
     return questions.mapInArrow(run, f"q {q_type}, list int, place int, bound double")
 
 
-def _compared(lists: DataFrame, pairs: DataFrame, asked: DataFrame, k: int, blocks: int) -> DataFrame:
-    """(q, d, score): the best k of each pair (q, list); all that tie with the last stay."""
+def _compared(lists: DataFrame, pairs: DataFrame, asked: DataFrame, parts: DataFrame, k: int, blocks: int) -> DataFrame:
+    """(q, d, score): the best k of each pair (q, list) in each part of a long list; all that tie with the last stay. parts: (list, parts), a row for each list."""
     block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
-    met = pairs.select("q", "list").join(asked, "q").select(F.col("list").alias("list"), block.alias("block"), F.col("q").alias("q"), "v")
-    wanted = pairs.select("list", block.alias("block")).distinct()
-    held = lists.join(wanted, "list").select(F.col("list").alias("list"), F.col("block").alias("block"), "d", "v")
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = pairs.select("q", "list").join(asked, "q").join(F.broadcast(parts), "list").select(F.col("list").alias("list"), block.alias("block"), F.col("q").alias("q"), "v", part.alias("part"))
+    wanted = pairs.select("list", block.alias("block")).distinct().join(F.broadcast(parts), "list")
+    held = lists.join(wanted, "list").select(F.col("list").alias("list"), F.col("block").alias("block"), "d", "v", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int").alias("part"))
     kind, q_kind = lists.schema["d"].dataType.simpleString(), pairs.schema["q"].dataType.simpleString()
 
     def run(vectors: pa.Table, questions: pa.Table) -> pa.Table:
@@ -132,7 +135,8 @@ def _compared(lists: DataFrame, pairs: DataFrame, asked: DataFrame, k: int, bloc
         i, j, score = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table([questions.column("q").take(pa.array(i)), vectors.column("d").take(pa.array(j)), pa.array(score)], names)
 
-    return held.groupBy("list", "block").cogroup(met.groupBy("list", "block")).applyInArrow(run, f"q {q_kind}, d {kind}, score double")
+    keys = ["list", "block", "part"]
+    return held.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(run, f"q {q_kind}, d {kind}, score double")
 
 
 def search(spark: SparkSession, path: str, questions: DataFrame, k: int, probes: int | None = None, exact: bool = False, id_col: str = "vec_id", id_type: str = "bigint", block: int = BLOCK) -> DataFrame:
@@ -144,13 +148,14 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int, probes:
     if not table.num_rows:
         return asked.limit(0).select("q", F.lit(None).cast(lists.schema["d"].dataType).alias(id_col), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
     probes = table.column("probes")[0].as_py() if probes is None else probes
+    parts = spark.createDataFrame([(i, max(1, -(-n // PART))) for i, n in zip(table.column("list").to_pylist(), table.column("n").to_pylist(), strict=True)], "list int, parts int")
     reach = _probed(table, asked)
     near = reach.where(F.col("place") <= probes)
-    hits = _compared(lists, near, asked, k, blocks)
+    hits = _compared(lists, near, asked, parts, k, blocks)
     best = Window.partitionBy("q").orderBy(F.desc("score"), "d")
     if exact:
         hits = kept(hits)
         least = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("q", F.col("score").alias("least"))
         more = reach.where(F.col("place") > probes).join(least, "q", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
-        hits = hits.unionByName(_compared(lists, more, asked, k, blocks))
+        hits = hits.unionByName(_compared(lists, more, asked, parts, k, blocks))
     return hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).withColumnRenamed("d", id_col)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from ..config import merged_options
 from ..functions.text import token_budget
-from .models import Model, Retry, structured
+from .models import Concurrent, Model, Retry, structured
 
 RECOVERY = "The text below should have been JSON of this schema, but cannot be read as such. Write what it says as one JSON value of the schema; add nothing around it.\n\nSchema: {schema}\n\nText: {text}"
 
@@ -71,6 +71,16 @@ def chat_model(server: Server, retry: Retry = Retry(), think: bool | None = None
     return Model(lambda prompts: [retry.call(server.ask, p or "", think) for p in prompts], batch)
 
 
+def concurrent_chat_model(server: Server, retry: Retry = Retry(), think: bool | None = None, concurrency: int = 16, timeout: float | None = None) -> Concurrent:
+    """``chat_model`` with so many calls open in each task; ``timeout`` bounds a prompt with all its tries."""
+    return Concurrent(lambda prompt: asyncio.to_thread(retry.call, server.ask, prompt or "", think), concurrency, timeout)
+
+
+def concurrent_judge(*args, concurrency: int = 16, timeout: float | None = None, **options) -> Concurrent:
+    """``judge`` as a model with so many calls open in each task."""
+    return Concurrent(judge_async(*args, **options), concurrency, timeout)
+
+
 def embedding_model(server: Server, batch: int = 64) -> Model:
     return Model(server.embed, batch, "array<float>")
 

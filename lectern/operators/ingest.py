@@ -43,16 +43,21 @@ def indexed(chunks: DataFrame, embedder: Model, text: str = "page_content") -> D
 CHUNK_BITS, SOURCE_BITS = 20, 28
 
 
-def positioned(chunks: DataFrame, sources: DataFrame, index: DataFrame | None) -> DataFrame:
+def positioned(chunks: DataFrame, sources: DataFrame, index: DataFrame | None, keep: bool = False) -> DataFrame:
     """Adds ``position``, which orders chunks by run, then by their source's kind and path, then by ``chunk_idx``.
 
-    The run follows the last one of the index. A row of ``sources`` is a file's name.
+    The run follows the last one of the index; with ``keep`` a source that the index has keeps its place, so that
+    ingesting it again gives the same positions. A row of ``sources`` is a file's name.
     """
     last = index.agg(F.max("position")).first()[0] if index is not None else None
     run = 0 if last is None else (last >> (CHUNK_BITS + SOURCE_BITS)) + 1
-    numbers = sources.select(F.col("path").alias("source"), (F.row_number().over(Window.orderBy("type_order", "path")) - 1).cast("long").alias("_n"))
-    place = F.shiftleft("_n", CHUNK_BITS) + F.col("chunk_idx") + F.lit(run << (CHUNK_BITS + SOURCE_BITS))
-    return chunks.join(numbers, "source").withColumn("position", place).drop("_n", "chunk_idx")
+    new = F.shiftleft((F.row_number().over(Window.orderBy("type_order", "path")) - 1).cast("long"), CHUNK_BITS) + F.lit(run << (CHUNK_BITS + SOURCE_BITS))
+    numbers = sources.select(F.col("path").alias("source"), new.alias("_n"))
+    if keep and index is not None:
+        held = index.groupBy("source").agg(F.min("position").alias("_p"))
+        numbers = numbers.join(held, "source", "left").select("source", F.coalesce(F.shiftleft(F.shiftright("_p", CHUNK_BITS), CHUNK_BITS), "_n").alias("_n"))
+    fits = F.when(F.col("chunk_idx") >= 1 << CHUNK_BITS, F.raise_error(F.concat(F.lit("too many chunks in "), "source")).cast("long")).otherwise(F.col("chunk_idx").cast("long"))
+    return chunks.join(numbers, "source").withColumn("position", F.col("_n") + fits).drop("_n", "chunk_idx")
 
 
 def has_data(spark: SparkSession, path: str) -> bool:

@@ -7,10 +7,12 @@ operators around a model can be run and tested without one.
 
 from __future__ import annotations
 
+import asyncio
 import hashlib
 import json
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Awaitable, Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,6 +109,56 @@ class Model:
         return run(c)
 
 
+async def in_flight(ask: Callable[[str], Awaitable], prompts: Sequence[str], most: int, timeout: float | None = None, on_error: object = None, fail: bool = False) -> list:
+    """Answers in the prompts' order, with at most so many calls open at a time; a call that fails or exceeds its time gives ``on_error``, or ends all with ``fail``."""
+    gate = asyncio.Semaphore(max(1, most))
+
+    async def one(prompt: str) -> object:
+        async with gate:
+            try:
+                return await asyncio.wait_for(ask(prompt), timeout)
+            except Exception:
+                if fail:
+                    raise
+                return on_error
+
+    tasks = [asyncio.ensure_future(one(p)) for p in prompts]
+    try:
+        return list(await asyncio.gather(*tasks))
+    finally:
+        for t in tasks:
+            t.cancel()
+
+
+@dataclass(frozen=True)
+class Concurrent:
+    """A model that is asked one prompt a call, with many calls open in a task: an event loop over each Arrow batch.
+
+    It stands wherever a ``Model`` does. Calls that block run in threads of the loop, as many as may be open.
+    """
+
+    ask: Callable[[str], Awaitable]
+    concurrency: int = 16
+    timeout: float | None = None
+    kind: str = "string"
+
+    def answers(self, prompts: Sequence[str], on_error: object = None, fail: bool = False) -> list:
+        async def run() -> list:
+            asyncio.get_running_loop().set_default_executor(ThreadPoolExecutor(max(1, self.concurrency)))
+            return await in_flight(self.ask, prompts, self.concurrency, self.timeout, on_error, fail)
+
+        return asyncio.run(run())
+
+    def column(self, c: Column, on_error: object = None, fail: bool = False) -> Column:
+        answers = self.answers
+
+        @F.pandas_udf(self.kind)
+        def run(texts: pd.Series) -> pd.Series:
+            return pd.Series(answers(texts.tolist(), on_error, fail), index=texts.index, dtype=object)
+
+        return run(c)
+
+
 def stub(prefix: str = "answer") -> Model:
     return Model(lambda texts: [f"{prefix} {hashlib.sha1((t or '').encode()).hexdigest()[:12]}" for t in texts])
 

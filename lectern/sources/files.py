@@ -122,7 +122,8 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if has_data(spark, path) else None
+    """The rows of an index, wherever they lie in its folders; none if there is no index."""
+    return spark.read.parquet(path).drop("bucket") if has_data(spark, path) else None
 
 
 def sparse_documents(index: DataFrame) -> DataFrame:

@@ -2,16 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import session_id, utc_now
 from ..operators.ingest import has_data, marked, remove
 
 
+#: Folders of an index that is written by source.
+BUCKETS = 256
+
+
+def bucket_of(source: str) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(BUCKETS)).cast("int")
+
+
 def write_index(chunks: DataFrame, path: str, force: bool = False, batch: int = 256) -> None:
-    """Appends rows; ``force`` replaces all. Rows have no key, so the same source twice is there twice. A file holds 4,000 batches at most."""
-    chunks.write.mode("overwrite" if force else "append").option("maxRecordsPerFile", 4000 * max(1, batch)).parquet(path)
+    """Appends rows; ``force`` replaces all. The same source twice is there twice; ``upsert_index`` writes by source. A file holds 4,000 batches at most."""
+    dealt = chunks.withColumn("bucket", bucket_of("source"))
+    dealt.write.mode("overwrite" if force else "append").option("maxRecordsPerFile", 4000 * max(1, batch)).partitionBy("bucket").parquet(path)
+
+
+def upsert_index(chunks: DataFrame, sources: DataFrame, path: str, batch: int = 256) -> None:
+    """Writes the rows of ``sources`` (source); rows that the index has of them are replaced, so writing twice leaves one copy.
+
+    The index lies in folders by a hash of the source. The folders of these sources are written anew, with the rows of their
+    other sources, and take the old ones' place when the whole write has succeeded; no other folder is read or written.
+    A source without rows leaves the index.
+    """
+    spark = chunks.sparkSession
+    touched = {r[0] for r in sources.select(bucket_of("source")).distinct().collect()}  # BUCKETS at most
+    if not touched:
+        return
+    rows = chunks.withColumn("bucket", bucket_of("source"))
+    if has_data(spark, path):
+        old = spark.read.parquet(path).where(F.col("bucket").isin(sorted(touched)))
+        rows = rows.unionByName(old.join(sources.select("source").distinct(), "source", "left_anti"), allowMissingColumns=True)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    seen = Observation()
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("source", "position"), F.lit(parts))).observe(seen, F.collect_set("bucket").alias("buckets"))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 4000 * max(1, batch)).partitionBy("bucket").parquet(path)
+    for bucket in touched - set(seen.get["buckets"]):
+        remove(spark, f"{path}/bucket={bucket}")
 
 
 def write_parsed(parsed: DataFrame, path: str) -> None:

@@ -88,7 +88,8 @@ def test_lists_find_the_nearest(spark, tmp_path):
     assert recall >= 0.9, recall
 
 
-def test_lists_of_clustered_vectors_read_little(spark, tmp_path):
+def test_lists_of_clustered_vectors_read_little(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cells, "PART", 30)  # long lists are several groups
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
     x = centres[np.arange(4000) % 40] + 0.15 * rng.normal(size=(4000, 16))
