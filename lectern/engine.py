@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .operators import blocks, chunking, evaluation, history, ingest, models, retrieval
-from .sources import files, sinks
+from .sources import files, paged, sinks
 
 SYSTEM = "Answer from the context only.\n\n{context}"
 
@@ -20,7 +20,8 @@ def prepare_index(spark: SparkSession, s: Settings, embedder: models.Model, pars
     With ``keyed`` the rows of a source take the place of those that the index has of it, so that doing it again changes
     nothing; a source that fails keeps what it has.
 
-    Parsed files are chunked by layout, or with ``packing`` by packing whole blocks.
+    A parser that has ``count`` and ``parse`` (``sources.paged``) reads large files by pages in many tasks; a function takes
+    a file whole. Only pending files are parsed, and they are chunked by layout, or with ``packing`` by packing whole blocks.
     Chunks are numbered by run, source and place, so that equal scores go by the order of ingestion.
     """
     sources = files.list_sources(spark, s.pdf_dir if parser else None, s.markdown_dir)
@@ -32,9 +33,13 @@ def prepare_index(spark: SparkSession, s: Settings, embedder: models.Model, pars
         texts = files.read_texts(spark, s.markdown_dir).join(todo.select(F.col("path").alias("source")), "source", "left_semi")
         parts.append(chunking.recursive_chunks(texts, s.chunk_size, s.chunk_overlap, id_col="source").select("source", "chunk_idx", F.col("text").alias("page_content"), F.lit(None).cast("string").alias("metadata")))
     if parser and ingest.has_data(spark, s.pdf_dir):
-        parsed = files.parse_files(spark, s.pdf_dir, parser, pages).join(todo.select(F.col("path").alias("source")), "source", "left_semi").persist()
-        failed = parsed.where("error IS NOT NULL").select("source", "error")
-        rows = files.blocks_of(parsed)
+        wanted = todo.where("source_type = 'pdf'").select("path")
+        if hasattr(parser, "parse"):
+            parsed = paged.read_pages(spark, s.pdf_dir, parser, pages, frozenset(r.path for r in wanted.toLocalIterator())).persist()
+            failed, rows = paged.failures(parsed), paged.blocks_of(parsed)
+        else:
+            parsed = files.parse_files(spark, s.pdf_dir, parser, pages, wanted).persist()
+            failed, rows = parsed.where("error IS NOT NULL").select("source", "error"), files.blocks_of(parsed)
         if side_dir:
             sinks.write_parsed(parsed, side_dir)
         rows = blocks.describe_special(rows.drop("source"), describer).join(rows.select("doc_id", "source").distinct(), "doc_id") if describer else rows

@@ -10,7 +10,7 @@ from . import oracles
 from . import queries as q
 
 #: Queries without SQL, which the tests hold against plain Python.
-PLAIN = ("chunk_recursive",)
+PLAIN = ("chunk_recursive", "corpus_sketches")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

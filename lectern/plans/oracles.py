@@ -196,6 +196,7 @@ SQL = {
     "failure_predicates": "SELECT event_id, contains(lower(coalesce(props, '')), 'err') OR contains(lower(coalesce(props, '')), 'timeout') OR contains(lower(coalesce(props, '')), '\"k\"') AS failed FROM events",
     "metadata_sanitize": "SELECT doc_id, '{\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || '}' AS meta, '[\"' || source || '\",\"' || lang || '\"]' AS tags FROM documents",
     "token_stats": f"WITH {SPARSE} SELECT n AS n_docs, round(avg_len, 6) AS avg_len FROM stats",
+    "token_stats_merged": f"WITH {SPARSE} SELECT n AS n_docs, round(avg_len, 6) AS avg_len FROM stats",
     "document_frequency": f"WITH {SPARSE} SELECT token, df FROM dfs",
     "bm25_idf_epsilon": f"WITH {SPARSE} SELECT token, df, round(idf, 6) AS idf FROM idfs",
     "bm25_topk": f"WITH {SPARSE} SELECT item_id, doc_id, score, rank FROM sparse",
@@ -215,6 +216,8 @@ SQL = {
         FROM (SELECT doc_id, text, unnest(range(1 + greatest(0, ceil((length(text) - {SIZE}) / {float(SIZE - OVERLAP)})::BIGINT)))::BIGINT AS chunk_idx FROM documents WHERE length(text) > 0)""",
     "chunk_soft_boundary": f"""WITH RECURSIVE {sliding("SELECT doc_id, text, NULL::STRUCT(s BIGINT, e BIGINT)[] AS special, length(text) AS n FROM documents", "")}
         SELECT doc_id, idx AS chunk_idx, s AS start, e AS "end", substring(text, s + 1, e - s) AS text FROM chunks""",
+    "chunk_lateral": f"""WITH RECURSIVE {sliding("SELECT doc_id, text, NULL::STRUCT(s BIGINT, e BIGINT)[] AS special, length(text) AS n FROM documents", "")}
+        SELECT doc_id, idx AS chunk_idx, s AS start, e AS "end", substring(text, s + 1, e - s) AS text FROM chunks""",
     "sticky_header": f"WITH {SEGS} SELECT doc_id, block_idx, header, prefix FROM segs",
     "segment_offsets": f"WITH {SEGS} SELECT doc_id, block_idx, seg_start, seg_end, is_special FROM segs",
     "block_texts": f"WITH {KEPT} SELECT doc_id, block_idx, type, {norm('body')} AS text, CASE type WHEN 'image' THEN {norm('left(line, 40)')} WHEN 'table' THEN {norm('left(line, 30)')} ELSE '' END AS caption FROM raw",

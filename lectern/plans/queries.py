@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import jsonfix
+from ..functions import jsonfix, tables
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import cells
@@ -22,7 +22,7 @@ from ..operators import history as H
 from ..operators import ingest as I
 from ..operators import postings, ranges
 from ..operators import retrieval as R
-from ..operators import scratch
+from ..operators import scratch, sketches
 
 #: Parameters that the SQL shares.
 TOP_K, SPARSE_K, FETCH, RRF_K, WEIGHTS, EVERY = 4, 8, 20, 60, (0.6, 0.4), 100
@@ -124,6 +124,23 @@ def token_stats(spark, sf_dir):
     return R.corpus_stats(documents(spark, sf_dir)).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
+def run_sketches(spark, sf_dir):
+    """Statistics of each source's texts, kept as if each had been an ingest run."""
+    path = scratch.new_folder(spark)
+    sketches.add(documents(spark, sf_dir), path, "source")
+    return sketches.read(spark, path)
+
+
+def token_stats_merged(spark, sf_dir):
+    """``token_stats`` from the runs' rows, without counting again."""
+    return sketches.estimates(sketches.merged(run_sketches(spark, sf_dir))).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
+def corpus_sketches(spark, sf_dir):
+    """Estimated distinct tokens and length quantiles of the whole corpus, from the runs' rows."""
+    return sketches.estimates(sketches.merged(run_sketches(spark, sf_dir)))
+
+
 def document_frequency(spark, sf_dir):
     return R.document_frequency(documents(spark, sf_dir))
 
@@ -211,6 +228,12 @@ def chunk_soft_boundary(spark, sf_dir):
     return C.sliding_chunks(documents(spark, sf_dir), C.ChunkSettings(SIZE, OVERLAP))
 
 
+def chunk_lateral(spark, sf_dir):
+    """``chunk_soft_boundary`` by a lateral join with the table function."""
+    tables.register(spark)
+    return spark.sql(f"SELECT d.doc_id, c.* FROM {{docs}} d, LATERAL chunk(d.text, {SIZE}, {OVERLAP}) c", docs=documents(spark, sf_dir))
+
+
 def chunk_recursive(spark, sf_dir):
     return C.recursive_chunks(documents(spark, sf_dir), SIZE, OVERLAP)
 

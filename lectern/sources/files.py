@@ -54,13 +54,14 @@ def read_texts(spark: SparkSession, where: str) -> DataFrame:
     return rows.where(F.col("source").rlike(r"(?i)\.(md|txt)$"))
 
 
-def parse_files(spark: SparkSession, where: str, parser: Callable[..., list[dict]], pages: tuple[int, int | None] = (0, None)) -> DataFrame:
-    """Layout blocks of every PDF by an injected parser of (path, content), one file a task slice; failures are rows with ``error``.
+def parse_files(spark: SparkSession, where: str, parser: Callable[..., list[dict]], pages: tuple[int, int | None] = (0, None), only: DataFrame | None = None) -> DataFrame:
+    """Layout blocks of every PDF, or of those in ``only`` (path), by an injected parser of (path, content), one file a task slice; failures are rows with ``error``.
 
     A parser with a third parameter is given the pages and need not read others.
     """
     sliced = len(inspect.signature(parser).parameters) > 2
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(where).select("path", "content")
+    files = files if only is None else files.join(only, "path", "left_semi")
     first, last = pages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

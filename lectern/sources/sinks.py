@@ -47,8 +47,9 @@ def upsert_index(chunks: DataFrame, sources: DataFrame, path: str, batch: int =
 
 
 def write_parsed(parsed: DataFrame, path: str) -> None:
-    """The parser's blocks of each source as JSON lines, beside the index."""
-    parsed.where("error IS NULL").select("source", "blocks").write.mode("overwrite").json(path)
+    """The parser's blocks as JSON lines, beside the index: a line for each source, or for each block where files were read by pages."""
+    rows = ("source", "blocks") if "blocks" in parsed.columns else ("source", "page_idx", "pos", "block")
+    parsed.where("error IS NULL").select(*rows).write.mode("overwrite").json(path)
 
 
 def clear_index(spark: SparkSession, path: str) -> None:
