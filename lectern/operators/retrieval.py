@@ -1,16 +1,15 @@
 """Sparse, dense and fused retrieval for whole sets of questions.
 
-The corpus is read in place and never moved: questions go to it in blocks of a fixed
-size, each task scores its documents by matrix products and keeps its own best k for
-each question, so what is shuffled grows with tasks and questions, not with texts.
-Blocks are taken one after the other, so any number of questions is answered.
+The corpus is read once. Slices of it meet blocks of questions, both of a bounded size, as
+rows of a join: small sets of questions are broadcast, larger ones shuffled. A task scores
+by matrix products and keeps the best k of each question. Neither documents nor
+questions gather on the driver, but for one bounded block of question vectors.
 Ties always end in the smaller document id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_weights, strip
+from .scratch import kept, new_folder
 
-#: Numbers of a block of questions that go to the tasks: 32 MB of weights, or of vectors.
+#: Numbers of the largest matrix in a task: 32 MB of weights, or of vectors.
 BLOCK_CELLS = 4_000_000
+#: Documents and bytes of text of a slice; questions of a block; bytes of all blocks that are broadcast.
+SLICE, SLICE_BYTES, BLOCK, BROADCAST_BYTES = 512, 4 << 20, 256, 16 << 20
+#: Vectors of a slice, and of a block of questions.
+VECTORS = 1024
 
 
 def tokens(c: str) -> Column:
@@ -52,80 +56,130 @@ def idf_table(df: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFra
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("mean_raw") * epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
-def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token, df, len) from one scan: each token's document frequency, and in the row of the null token the number of documents and of tokens."""
-    all_tokens = tokens(text_col)
-    rows = docs.select(F.size(all_tokens).cast("long").alias("len"), F.explode(F.array_append(F.array_distinct(all_tokens), F.lit(None).cast("string"))).alias("token"))
-    return rows.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("len"))).alias("len"))
+def sliced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(tokens, df, docs, lengths, doc, count): sparse count matrices of up to ``SLICE`` documents.
 
+    ``df`` says how many of the slice's documents have each token; ``doc`` and ``count`` hold
+    their places and how often they have it, token after token. A null text is an empty one.
+    """
+    rows = docs.select(F.col(id_col).alias("d"), F.coalesce(text_col, F.lit("")).alias("text"))
+
+    def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        lists = pc.ascii_split_whitespace(part.column("text"))
+        words, doc, n = lists.flatten(), pc.list_parent_indices(lists).to_numpy(), part.num_rows
+        filled = pc.not_equal(pc.binary_length(words), 0)
+        words, doc = words.filter(filled).dictionary_encode(), doc[filled.to_numpy(zero_copy_only=False)]
+        place, count = np.unique(words.indices.to_numpy().astype(np.int64) * n + doc, return_counts=True)
+        token, at = np.divmod(place, n)
+        kinds = len(words.dictionary)
+        columns = [words.dictionary.cast(pa.string()), np.bincount(token, minlength=kinds), part.column("d"), np.bincount(doc, minlength=n), at, count]
+        columns = [c if isinstance(c, pa.Array) else pa.array(c, pa.int32()) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["tokens", "df", "docs", "lengths", "doc", "count"])
 
-def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", q_col: str = "item_id", q_text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            end = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(), dtype=np.int64)
+            begin = 0
+            while begin < batch.num_rows:
+                most = (end[begin - 1] if begin else 0) + SLICE_BYTES
+                size = max(1, min(SLICE, int(np.searchsorted(end, most, "right")) - begin))
+                yield one(batch.slice(begin, size))
+                begin += size
+
+    kind = rows.schema["d"].dataType.simpleString()
+    return rows.mapInArrow(run, f"tokens array<string>, df array<int>, docs array<{kind}>, lengths array<int>, doc array<int>, count array<int>")
+
+
+def token_weights(slices: DataFrame, asked: DataFrame, epsilon: float) -> tuple[DataFrame, float]:
+    """(q, token, weight) of the tokens asked (q, token, times) that some document has, and the mean length of the documents."""
+    total = slices.agg(F.sum(F.size("docs")).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("t")).first()
+    n_docs, average = total.n or 0, (total.t or 0) / (total.n or 1) or 1.0
+    # one shuffle of the counts, with the tokens that are asked among them: the sum of all raw idf, and the asked tokens' own
+    counts = slices.select(F.explode(F.arrays_zip("tokens", "df")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.df").alias("df"), F.lit(False).alias("asked"))
+    wanted = asked.select("token", F.lit(0).alias("df"), F.lit(True).alias("asked")).distinct()
+    df = counts.unionByName(wanted).groupBy("token").agg(F.sum("df").alias("df"), F.max("asked").alias("asked")).where("df > 0")
+    raw = df.select(F.when(F.col("asked"), F.col("token")).alias("token"), raw_idf(F.lit(n_docs), F.col("df")).alias("raw"))
+    held = kept(raw.groupBy("token").agg(F.sum("raw").alias("raw"), F.count("*").alias("n")))
+    mean = held.agg(F.try_divide(F.sum("raw"), F.sum("n"))).first()[0] or 0.0
+    idf = F.when(F.col("raw") < 0, F.lit(mean * epsilon)).otherwise(F.col("raw"))
+    return asked.join(held, "token").select("q", "token", (F.col("times") * idf).alias("weight")), average
+
+
+def dealt(slices: DataFrame, blocks: DataFrame, n_blocks: int, n_bytes: int, key: str) -> DataFrame:
+    """Every slice with every block of questions, each pair one row; ``blocks`` has (block, …), of ``n_bytes`` in all.
+
+    Blocks of up to ``BROADCAST_BYTES`` are broadcast and slices stay where they are. Beyond
+    that both cross a shuffle, by block and a hash of the slice, so that no task holds more
+    than its share of the slices of one block.
+    """
+    every = slices.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1)))))
+    if n_bytes <= BROADCAST_BYTES:
+        return every.join(F.broadcast(blocks), "block")
+    salts = -(-int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_blocks)
+    every = every.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    return every.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["block", "salt"])
+
+
+def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", q_col: str = "item_id", q_text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, block: int = BLOCK) -> DataFrame:
     """(question, id, score, rank): k documents for each question, those without a hit with score 0.
 
-    Two scans of the texts: one counts all tokens (the mean idf stands in for negative
-    ones), one scores. A token asked twice counts twice. Ids must not be null.
+    One scan of the texts, for any number of questions: slices of counts are written to the
+    shared folder, and all else reads those. No token and no question comes to the driver. A
+    token asked twice counts twice. Ids must not be null.
     """
-    k = max(1, k)
-    asked = questions.select(F.col(q_col).alias("q"), F.explode(tokens(q_text)).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times"))
-    counts = corpus_counts(docs, text_col)
-    stats = counts.where("token IS NULL").select(F.col("df").alias("n_docs"), F.try_divide("len", "df").alias("avg_len"))
-    # one pass over the counts: the sum of raw idf, and the tokens that are asked
-    raw = counts.where("token IS NOT NULL").crossJoin(F.broadcast(stats)).select("token", "avg_len", raw_idf(F.col("n_docs"), F.col("df")).alias("raw"))  # stats is one row
-    wanted = asked.select("token").distinct().withColumn("asked", F.lit(True))
-    held = raw.join(wanted, "token", "left").groupBy(F.when(F.col("asked"), F.col("token")).alias("token")).agg(F.sum("raw").alias("raw"), F.count("*").alias("n"), F.max("avg_len").alias("avg_len"))
-    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text"))
-    held = held.toArrow().to_pydict()  # a row for each token of the questions
-    kinds = max(1, sum(t is not None for t in held["token"]))
-    mean = sum(held["raw"]) / max(1, sum(held["n"])) if held["n"] else 0.0
-    idf = {t: r if r >= 0 else mean * epsilon for t, r in zip(held["token"], held["raw"], strict=True) if t is not None}
-    average = max(held["avg_len"], default=None) or 1.0
+    k, spark = max(1, k), docs.sparkSession
+    path, rows = new_folder(spark), sliced(docs, id_col, text_col)
+    rows.write.parquet(path)
+    slices = spark.read.schema(rows.schema).parquet(path)
     names = questions.select(F.col(q_col).alias("q")).distinct()
-    blocks = max(1, -(-kinds * names.count() // BLOCK_CELLS))
-    block = F.pmod(F.xxhash64("q"), F.lit(blocks))
-    parts = [_scored(rows, names.where(block == i), asked.where(block == i), idf, average, k, k1, b) for i in range(blocks)]
-    return _ranked(reduce(DataFrame.unionByName, parts), k).select(F.col("q").alias(q_col), F.col("d").alias(id_col), "score", "rank")
-
-
-def _scored(rows: DataFrame, questions: DataFrame, asked: DataFrame, idf: dict[str, float], average: float, k: int, k1: float, b: float) -> DataFrame:
-    """(q, d, score): of each task's documents, in slices, the best k for each question of a block."""
-    q_type = questions.schema["q"].dataType.simpleString()
-    names = sorted(r.q for r in questions.collect())
-    place = {q: i for i, q in enumerate(names)}
-    found = [r for r in asked.collect() if r.token in idf]
-    vocabulary = sorted({r.token for r in found})
-    at = {t: i for i, t in enumerate(vocabulary)}
-    matrix = np.zeros((len(vocabulary), len(names)))
-    for r in found:
-        matrix[at[r.token], place[r.q]] += r.times * idf[r.token]
-    spread = rows.sparkSession.sparkContext.broadcast((vocabulary, matrix))
+    asked = questions.select(F.col(q_col).alias("q"), F.explode(tokens(q_text)).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times"))
+    weights, average = token_weights(slices, asked, epsilon)
+    # a question none of whose tokens is known is there, too
+    entries = kept(weights.unionByName(names.select("q", F.lit(None).cast("string").alias("token"), F.lit(0.0).alias("weight"))))
+    size = entries.agg(F.count_if(F.col("token").isNull()).alias("questions"), F.coalesce(F.sum(F.coalesce(F.octet_length("token"), F.lit(0)) + 64), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(1, -(-size.questions // block))
+    blocks = entries.groupBy(F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("q", "token", "weight"))).alias("asked"))
+    met = dealt(slices, blocks, n_blocks, size.bytes, "docs").select("tokens", "df", "docs", "lengths", "doc", "count", "asked.q", F.col("asked.token").alias("token"), "asked.weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, matrix = spread.value
-        known = pa.array(vocabulary, pa.string())
-        size = max(1, min(512, BLOCK_CELLS // max(1, len(vocabulary))))
         for batch in batches:
-            for begin in range(0, batch.num_rows, size):
-                part = batch.slice(begin, size)
-                n = part.num_rows
-                lists = pc.ascii_split_whitespace(pc.fill_null(part.column("text"), ""))
-                doc = pc.list_parent_indices(lists).to_numpy()
-                words = lists.flatten()
-                filled = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-                length = np.bincount(doc[filled], minlength=n)
-                token = pc.index_in(words, known).to_numpy(zero_copy_only=False)
-                hit = ~np.isnan(token)
-                cell, tf = np.unique(doc[hit] * max(1, len(vocabulary)) + token[hit].astype(np.int64), return_counts=True)
-                weight = np.zeros((n, len(vocabulary)))
-                if len(cell):
-                    i, j = np.divmod(cell, len(vocabulary))
-                    weight[i, j] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[i] / average))
-                scores = np.round(weight @ matrix, 6).T + 0.0  # no negative zero
-                by_id = np.argsort(part.column("d").to_numpy(zero_copy_only=False), kind="stable")
-                order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(scores)), order.shape[1])).cast(pa.int64()), part.column("d").take(pa.array(order.ravel())), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["i", "d", "score"])
-
-    best = rows.mapInArrow(run, f"i long, d {rows.schema['d'].dataType.simpleString()}, score double")
-    return best.select(F.get(F.lit(names) if names else F.array().cast(f"array<{q_type}>"), F.col("i").cast("int")).cast(q_type).alias("q"), "d", "score")
+            for row in range(batch.num_rows):
+                yield from _scored({c: batch.column(c)[row].values for c in batch.schema.names}, average, k, k1, b)
+
+    types = (names.schema["q"].dataType.simpleString(), slices.schema["docs"].dataType.elementType.simpleString())
+    scored = met.mapInArrow(run, "q {}, d {}, score double".format(*types))
+    return _ranked(scored, k).select(F.col("q").alias(q_col), F.col("d").alias(id_col), "score", "rank")
+
+
+def _scored(x: dict[str, pa.Array], average: float, k: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """Of a slice's documents the best k for each question of a block."""
+    names = x["q"].dictionary_encode(null_encoding="encode")
+    vocabulary = x["token"].drop_null().unique()
+    token = pc.index_in(x["token"], vocabulary, skip_nulls=True).to_numpy(zero_copy_only=False)
+    said = ~np.isnan(token)
+    width = len(vocabulary)
+    matrix = np.zeros((width, len(names.dictionary)))
+    np.add.at(matrix, (token[said].astype(np.int64), names.indices.to_numpy()[said]), x["weight"].to_numpy()[said])
+    # the slice's counts of asked tokens, document after document
+    df = x["df"].to_numpy()
+    known = pc.index_in(x["tokens"], vocabulary).to_numpy(zero_copy_only=False)
+    column = np.repeat(known, df)
+    hit = ~np.isnan(column)
+    doc, column, tf = x["doc"].to_numpy()[hit], column[hit].astype(np.int64), x["count"].to_numpy()[hit].astype(float)
+    value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * x["lengths"].to_numpy()[doc] / average))
+    order = np.argsort(doc, kind="stable")
+    doc, column, value = doc[order], column[order], value[order]
+    step = max(1, BLOCK_CELLS // max(1, width, len(names.dictionary)))
+    for begin in range(0, len(x["docs"]), step):
+        ids = x["docs"].slice(begin, step)
+        i, j = np.searchsorted(doc, (begin, begin + len(ids)))
+        weight = np.zeros((len(ids), width))
+        weight[doc[i:j] - begin, column[i:j]] = value[i:j]
+        scores = np.round(weight @ matrix, 6).T + 0.0  # no negative zero
+        by_id = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+        best = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
+        q = names.dictionary.take(pa.array(np.repeat(np.arange(len(scores)), best.shape[1])))
+        yield pa.RecordBatch.from_arrays([q, ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["q", "d", "score"])
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -142,45 +196,76 @@ def _usable(v: str) -> Column:
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+    return _unit(column.flatten(), rows)
+
+
+def _unit(values: pa.Array, rows: int) -> np.ndarray:
+    x = values.to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
     x /= np.abs(x).max(1, keepdims=True)  # squares of tiny or huge components stay doubles
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def dense_topk(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _nearest(names: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray, k: int) -> pa.RecordBatch:
+    """(q, d, score): of some vectors the best k for each question."""
+    scores = np.round(q @ x.T, 6)
+    # all that tie with the k-th stay, so that ids decide later
+    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None] if k < len(ids) else -2.0
+    i, j = np.nonzero(scores >= least)
+    return pa.RecordBatch.from_arrays([names.take(pa.array(i)), ids.take(pa.array(j)), pa.array(scores[i, j])], ["q", "d", "score"])
+
+
+def dense_topk(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = VECTORS) -> DataFrame:
     """(q, id, score, rank) by cosine in double precision, rounded to 6 digits; ``questions`` has (q, v).
 
     Vectors that are null, zero or hold null or non-finite components are in no
-    result, and such questions have none. All vectors are of one length.
+    result, and such questions have none. All vectors are of one length. Up to ``block``
+    questions go to the tasks by the driver; more of them meet slices of vectors by a join.
     """
     asked = questions.where(_usable("v")).select("q", F.col("v").cast("array<double>").alias("v"))
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
-    blocks = max(1, -(-size.n * max(size.width or 0, 512) // BLOCK_CELLS))
     rows = vectors.where(_usable(vector_col)).select(F.col(id_col).alias("d"), F.col(vector_col).alias("v"))
-    kind, q_type = vectors.schema[id_col].dataType.simpleString(), questions.schema["q"].dataType.simpleString()
-
-    def nearest(block: pa.Table) -> DataFrame:
-        spread = vectors.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = spread.value
-            if not block.num_rows:
-                return
-            names, q = block.column("q").combine_chunks(), _matrix(block.column("v").combine_chunks(), block.num_rows)
-            for batch in batches:
-                for begin in range(0, batch.num_rows, 2048):
-                    part = batch.slice(begin, 2048)
-                    scores = np.round(q @ _matrix(part.column("v"), part.num_rows).T, 6)
-                    # all that tie with the k-th stay, so that ids decide later
-                    least = np.partition(scores, part.num_rows - k, axis=1)[:, part.num_rows - k, None] if k < part.num_rows else -2.0
-                    i, j = np.nonzero(scores >= least)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), part.column("d").take(pa.array(j)), pa.array(scores[i, j])], ["q", "d", "score"])
-
-        return rows.mapInArrow(run, f"q {q_type}, d {kind}, score double")
-
-    block = F.pmod(F.xxhash64("q"), F.lit(blocks))
-    parts = [nearest(asked.where(block == i).toArrow()) for i in range(blocks)]
-    return _ranked(reduce(DataFrame.unionByName, parts), k).withColumnRenamed("d", id_col)
+    shape = f"q {questions.schema['q'].dataType.simpleString()}, d {vectors.schema[id_col].dataType.simpleString()}, score double"
+    few = asked.limit(block + 1).toArrow()
+    scored = _near_few(rows, few, k, shape) if few.num_rows <= block else _near_many(rows, asked, k, shape, block)
+    return _ranked(scored, k).withColumnRenamed("d", id_col)
+
+
+def _near_few(rows: DataFrame, few: pa.Table, k: int, shape: str) -> DataFrame:
+    spread = rows.sparkSession.sparkContext.broadcast(few.combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = spread.value
+        if not few.num_rows:
+            return
+        names, q = few.column("q").combine_chunks(), _matrix(few.column("v").combine_chunks(), few.num_rows)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, VECTORS):
+                part = batch.slice(begin, VECTORS)
+                yield _nearest(names, q, part.column("d"), _matrix(part.column("v"), part.num_rows), k)
+
+    return rows.mapInArrow(run, shape)
+
+
+def _near_many(rows: DataFrame, asked: DataFrame, k: int, shape: str, block: int) -> DataFrame:
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.size("v") * 8 + 64).alias("bytes")).first()
+    n_blocks = -(-size.n // block)
+    blocks = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("q", "v")).alias("asked"))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, VECTORS):
+                part = batch.slice(begin, VECTORS)
+                columns = [part.column("d"), part.column("v").flatten().cast(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["docs", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                names, v, ids, x = (batch.column(c)[row].values for c in ("q", "v", "docs", "x"))
+                yield _nearest(names, _unit(v.flatten(), len(names)), ids, _unit(x, len(ids)), k)
+
+    sliced = rows.mapInArrow(slices, f"docs array<{rows.schema['d'].dataType.simpleString()}>, x array<double>")
+    met = dealt(sliced, blocks, n_blocks, size.bytes, "docs").select("docs", "x", "asked.q", "asked.v")
+    return met.mapInArrow(run, shape)
 
 
 def mmr(vectors: DataFrame, questions: DataFrame, k: int, fetch: int = 20, weight: float = 0.5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

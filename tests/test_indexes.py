@@ -1,5 +1,8 @@
 """Stored indexes against the searches that read everything."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +19,13 @@ def rows(df, *cols):
 HIT = ("item_id", "doc_id", "score", "rank")
 
 
+@pytest.fixture
+def no_auto_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
@@ -72,6 +82,63 @@ def test_postings_where_most_documents_have_the_token(spark, tmp_path):
     assert postings.topk(postings.read(spark, f"{tmp_path}/none"), asked, 3).count() == 0
 
 
+def test_one_scan_for_any_number_of_questions(spark, tables, monkeypatch, no_auto_broadcast):
+    docs, asked = tables
+    want = set(rows(retrieval.bm25_topk(docs, asked, 3), *HIT))
+    many = asked.select(F.explode(F.sequence(F.lit(0), F.lit(49))).alias("copy"), (F.col("item_id") * 50 + F.col("copy")).alias("item_id"), "text").drop("copy")
+    for size in (16 << 20, 0):  # blocks are broadcast, and shuffled
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", size)
+        found = retrieval.bm25_topk(docs, many, 3, block=20)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan and plan.count("FileScan") == 1
+        assert ("BroadcastHashJoin" in plan) == (size > 0) and "Cartesian" not in plan and "NestedLoop" not in plan
+        got = rows(found, *HIT)
+        assert len(got) == 3 * many.count()
+        assert {(q // 50, *r) for q, *r in got} == want
+
+
+def test_slices_hold_every_count(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SLICE_BYTES", 40)  # long texts are slices of their own
+    texts = ["a b a", "", None, "b " * 100, "c\u00a0d e", " \t\n", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    made = retrieval.sliced(docs).collect()
+    assert len(made) > 1
+    got = {}
+    for r in made:
+        at = 0
+        for token, df in zip(r.tokens, r.df, strict=True):
+            for doc, count in zip(r.doc[at : at + df], r["count"][at : at + df], strict=True):
+                got[r.docs[doc], token] = count
+            at += df
+        for doc, length in zip(r.docs, r.lengths, strict=True):
+            assert length == len([t for t in re.split(r"[ \t\n]+", texts[doc] or "") if t])
+    assert got == {(i, t): n for i, x in enumerate(texts) for t, n in Counter(t for t in re.split(r"[ \t\n]+", x or "") if t).items()}
+
+
+def test_bm25_of_odd_questions(spark):
+    docs = spark.createDataFrame([(1, "x y"), (2, "y z z"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(None, "z"), (1, None), (2, "nowhere"), (3, "z z"), (3, "z")], "item_id long, text string")
+    found = retrieval.bm25_topk(docs, asked, 2)
+    got = {(r.item_id, r["rank"]): (r.doc_id, r.score) for r in found.collect()}
+    assert len(got) == 8  # two for each of four questions; the rows of question 3 are one
+    assert got[None, 1][0] == 2 and abs(3 * got[None, 1][1] - got[3, 1][1]) < 3e-6
+    assert got[1, 1] == got[2, 1] == (1, 0.0)
+    assert retrieval.bm25_topk(docs.limit(0), asked, 2).count() == 0
+    assert retrieval.bm25_topk(docs, asked.limit(0), 2).count() == 0
+
+
+def test_many_questions_of_vectors(spark, monkeypatch, no_auto_broadcast):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    asked = vectors.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    want = rows(retrieval.dense_topk(vectors, asked, 5), *NEAR)
+    for size in (16 << 20, 0):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", size)
+        found = retrieval.dense_topk(vectors, asked, 5, block=4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 2  # the vectors, and the questions, which here are vectors
+        assert rows(found, *NEAR) == want
+
+
 NEAR = ("q", "vec_id", "score", "rank")
 
 
