@@ -27,12 +27,12 @@ def kinds() -> np.ndarray:
 
 
 def code_points(column: pa.Array, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each with a line feed after it, and n + 1 offsets; null: empty."""
+    """Code points of all texts, each between two line feeds, so that no n-gram of a text depends on its neighbours, and n + 1 offsets; null: empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     texts = (pc.utf8_lower(column) if fold else column).to_pylist()
-    codes = np.frombuffer("".join(f"{x}\n" for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer("".join(f"\n{x}\n" for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     bounds = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(x) + 1 for x in texts], out=bounds[1:])
+    np.cumsum([len(x) + 2 for x in texts], out=bounds[1:])
     return codes, bounds
 
 

@@ -1,8 +1,16 @@
+import math
+import re
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lectern.llm import subwords
 from lectern.llm import weak_quality as W
 
+from ..conftest import SF
+from . import plain
+
 
 def test_em_finds_accuracies():
     rng = np.random.default_rng(1)
@@ -57,3 +65,59 @@ def test_long_varied_texts_keep_their_vote():
     for n in (60, 700, 900, 2500, 20_000):
         codes = np.array([ord(c) for c in " ".join(f"w{i}" for i in range(n))])
         assert W.votes(W.figures(codes, np.array([0, len(codes)])))[0, place] == 1
+
+
+def figures_of(text):
+    words = [w for w in re.split("[ \t\n\v\f\r]+", text) if w]
+    n, some = len(words), max(len(words), 1)
+    letters, filled = sum(map(str.isalpha, text)), sum(map(len, words))
+    marks = set("#*$%&|<>{}[]=~^_\\")
+    count = lambda w: sum(map(str.isalpha, w))
+    runs = lambda k: len({tuple(words[i : i + k]) for i in range(n - k + 1)})
+    return [
+        sum(c.isalpha() and c.isupper() for c in text) / max(letters, 1),
+        sum(c in marks for c in text) / some,
+        sum(a == b for a, b in zip(words, words[1:])) / some,
+        len(set(words)) / min(some, 400) if n >= 50 else 0.3,
+        filled / some,
+        text.count("!") / some,
+        letters / max(filled, 1),
+        float(n),
+        sum(not count(w) or not marks.isdisjoint(w) for w in words) / some,
+        sum(count(w) >= len(w) - (w[-1] in ".,;:!?") for w in words) / some,
+        sum(count(w) > 0 and len(w) <= 4 and count(w) <= 3 for w in words) / some if n >= 20 else 0.1,
+        runs(2) / some if n >= 20 else 0.6,
+        runs(3) / some if n >= 20 else 0.6,
+    ]
+
+
+def expected(scorer, text):
+    s, found = scorer.settings, figures_of(text)
+    grams = plain.buckets(text, s.orders, s.bits, lambda c: not plain.is_space(c))
+    scale = [20, 20, 20, 20, 1, 20, 20, 0.2, 20, 20, 20, 20, 20]
+    level = [math.floor(math.log1p(max(f, 0) * x) * 3) for f, x in zip(found, scale, strict=True)]
+    shape = [scorer.weights[(plain.mix(v * 64 + j) >> (64 - s.bits)) + (1 << s.bits)] for j, v in enumerate(level)]
+    x = sum(scorer.weights[b] for b in grams) / max(len(grams), 1) + sum(shape) / len(shape) + scorer.bias
+    return 1 / (1 + math.exp(-x))
+
+
+def test_every_row_against_a_plain_scorer(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    scorer = W.fit(docs)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = W.classify(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        score = expected(scorer, texts[r.doc_id])
+        assert abs(r.score - score) < 1e-7, r
+        assert r.kept == (r.score >= scorer.settings.least)
+
+
+def test_figures_and_scores_do_not_depend_on_neighbours(spark):
+    scorer = W.fit(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    texts = ["", "a", "AA bb! AA bb!", "#tag {x} 12", "the of and to " * 30, "é ü\u00a0ß", " x"]
+    found = W.figures(*subwords.code_points(pa.array(texts), False))
+    assert np.allclose(found, [figures_of(t) for t in texts])
+    together = scorer.score(pa.array(texts))
+    assert np.allclose(together, [scorer.score(pa.array([t]))[0] for t in texts], atol=1e-12)
+    assert np.allclose(together, [expected(scorer, t) for t in texts], atol=1e-9)
