@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.batches import bounded_batches  # noqa: F401
+
 #: Odd multipliers and seeds of the rolling hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -196,18 +198,6 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, end, np.searchsorted(bounds, start, "right") - 1
 
 
-#: Rows and bytes of an Arrow batch at most; texts are long, and a worker holds a batch and its copies.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to these bounds, where they are larger."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.match(r"(\d+)[bB]?$", spark.conf.get(name))
-        if not now or not 0 < int(now[1]) <= most:
-            spark.conf.set(name, str(most))
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

@@ -18,12 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_weights, strip
+from .batches import bounded_batches
 from .scratch import kept, new_folder
 
 #: Numbers of the largest matrix in a task: 32 MB of weights, or of vectors.
 BLOCK_CELLS = 4_000_000
 #: Documents and bytes of text of a slice; questions of a block; bytes of all blocks that are broadcast.
-SLICE, SLICE_BYTES, BLOCK, BROADCAST_BYTES = 512, 4 << 20, 256, 16 << 20
+SLICE, SLICE_BYTES, BLOCK, BROADCAST_BYTES = 512, 1 << 20, 256, 16 << 20
+#: Slices of a row group of their file: Spark's reader holds a row group of such wide rows at once.
+GROUP = 8
 #: Vectors of a slice, and of a block of questions.
 VECTORS = 1024
 
@@ -62,6 +65,7 @@ def sliced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     ``df`` says how many of the slice's documents have each token; ``doc`` and ``count`` hold
     their places and how often they have it, token after token. A null text is an empty one.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("d"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,7 +133,7 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_
     """
     k, spark = max(1, k), docs.sparkSession
     path, rows = new_folder(spark), sliced(docs, id_col, text_col)
-    rows.write.parquet(path)
+    rows.write.option("parquet.block.row.count.limit", GROUP).parquet(path)
     slices = spark.read.schema(rows.schema).parquet(path)
     names = questions.select(F.col(q_col).alias("q")).distinct()
     asked = questions.select(F.col(q_col).alias("q"), F.explode(tokens(q_text)).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times"))
@@ -221,6 +225,7 @@ def dense_topk(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "
     result, and such questions have none. All vectors are of one length. Up to ``block``
     questions go to the tasks by the driver; more of them meet slices of vectors by a join.
     """
+    bounded_batches(vectors.sparkSession)
     asked = questions.where(_usable("v")).select("q", F.col("v").cast("array<double>").alias("v"))
     rows = vectors.where(_usable(vector_col)).select(F.col(id_col).alias("d"), F.col(vector_col).alias("v"))
     shape = f"q {questions.schema['q'].dataType.simpleString()}, d {vectors.schema[id_col].dataType.simpleString()}, score double"

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,19 @@ def test_slices_hold_every_count(spark, monkeypatch):
     assert got == {(i, t): n for i, x in enumerate(texts) for t, n in Counter(t for t in re.split(r"[ \t\n]+", x or "") if t).items()}
 
 
+def test_slices_are_held_a_few_at_a_time(spark, tables, monkeypatch, tmp_path):
+    docs, asked = tables
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(1 << 30))
+    monkeypatch.setattr(retrieval, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(retrieval, "new_folder", lambda _: f"{tmp_path}/slices")
+    assert retrieval.bm25_topk(docs.coalesce(1), asked, 3).count() == 3 * asked.count()
+    made = [pq.ParquetFile(p).metadata for p in tmp_path.glob("slices/*.parquet")]
+    assert sum(m.num_rows for m in made) > 100
+    assert max(m.row_group(i).num_rows for m in made for i in range(m.num_row_groups)) <= retrieval.GROUP
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= 8 << 20
+
+
 def test_bm25_of_odd_questions(spark):
     docs = spark.createDataFrame([(1, "x y"), (2, "y z z"), (3, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(None, "z"), (1, None), (2, "nowhere"), (3, "z z"), (3, "z")], "item_id long, text string")
