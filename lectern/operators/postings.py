@@ -11,7 +11,8 @@ what a cell can give a question, for any k1, b and mean length. The cells with t
 scored first; the k-th best score so far is the least that counts, and only cells whose bound
 reaches it are scored too. A cell's postings meet its questions in one group, in blocks of
 questions; each group keeps its best k, so what is shuffled grows with postings and results, never with
-documents times questions. Tokens of every cell join the questions by token; adaptive execution splits them.
+documents times questions. The tokens asked and the cells that are open go to the index where their measured size
+allows it, so that only the rows that are asked for are shuffled; larger sets join by token and by cell.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import bounded_batches
 from .ingest import has_data
-from .retrieval import raw_idf, tokens
+from .retrieval import idf_weights, small, tokens
 from .scratch import kept
 
 #: Documents of a cell; folders by token; questions that meet a cell in one group; cells of a question that are scored first.
@@ -46,6 +48,7 @@ class Weights:
 def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(token, cell, n, most, least, docs, counts, lengths): the rows of an index. Ids are not null; a null text is an empty one."""
     kind = docs.schema[id_col].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("d"), F.coalesce(text_col, F.lit("")).alias("text"), F.spark_partition_id().cast("long").alias("part"))
 
     def cell_rows(docs: pa.Array, texts: pa.Array, cell: int) -> pa.RecordBatch:
@@ -111,28 +114,32 @@ def saturated(count: Column, length: Column, average: float, w: Weights) -> Colu
 def weighted(index: DataFrame, questions: DataFrame, w: Weights, q_col: str, q_text: str) -> tuple[DataFrame, float]:
     """(q, token, weight) of the tokens asked, and the mean length of the documents."""
     stats = corpus_stats(index).first()
-    counts = document_frequency(index).select("token", raw_idf(F.lit(stats.n_docs), F.col("df")).alias("raw"))
-    mean = counts.agg(F.avg("raw")).first()[0] or 0.0
     asked = questions.select(F.col(q_col).alias("q"), F.explode(tokens(q_text)).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times"))
-    idf = F.when(F.col("raw") < 0, F.lit(mean * w.epsilon)).otherwise(F.col("raw"))
-    return asked.join(counts, "token").select("q", "token", (F.col("times") * idf).alias("weight")), stats.avg_len or 1.0
+    counts = index.where("token IS NOT NULL").select("token", F.col("n").alias("df"))
+    return idf_weights(counts, asked, stats.n_docs, w.epsilon), stats.avg_len or 1.0
 
 
-def bounds(index: DataFrame, weights: DataFrame, average: float, w: Weights) -> DataFrame:
+def measured(weights: DataFrame) -> int:
+    """Bytes of the tokens asked, roughly."""
+    return weights.agg(F.coalesce(F.sum(F.octet_length("token") + 64), F.lit(0))).first()[0]
+
+
+def bounds(index: DataFrame, weights: DataFrame, average: float, w: Weights, n_bytes: int | None = None) -> DataFrame:
     """(q, run, cell, bound): what a document of the cell scores at most, where it has a token of the question."""
     heads = index.select("token", "run", "cell", saturated(F.col("most"), F.col("least"), average, w).alias("at_most"))
     # a weight below 0 takes nothing from the bound
-    return weights.join(heads, "token").groupBy("q", "run", "cell").agg(F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * F.col("at_most")).alias("bound"))
+    n_bytes = measured(weights) if n_bytes is None else n_bytes
+    return heads.join(small(weights, n_bytes), "token").groupBy("q", "run", "cell").agg(F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * F.col("at_most")).alias("bound"))
 
 
-def scored(index: DataFrame, pairs: DataFrame, weights: DataFrame, average: float, k: int, w: Weights, blocks: int) -> DataFrame:
+def scored(index: DataFrame, pairs: DataFrame, weights: DataFrame, average: float, k: int, w: Weights, blocks: int, n_bytes: int, n_cells: int) -> DataFrame:
     """(q, d, score): of each pair (q, run, cell) the best k documents above 0, and those below 0, which only tokens of most documents can give."""
     block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
     lists = weights.groupBy("q").agg(F.collect_list(F.struct("token", "weight")).alias("asked"))
-    met = pairs.select("q", "run", "cell").join(lists, "q").select(F.col("run").alias("run"), F.col("cell").alias("cell"), block.alias("block"), F.col("q").alias("q"), F.col("asked.token").alias("tokens"), F.col("asked.weight").alias("weights"))
+    met = pairs.select("q", "run", "cell").join(small(lists, n_bytes), "q").select(F.col("run").alias("run"), F.col("cell").alias("cell"), block.alias("block"), F.col("q").alias("q"), F.col("asked.token").alias("tokens"), F.col("asked.weight").alias("weights"))
     cells = pairs.select("run", "cell", block.alias("block")).distinct()
-    rows = index.join(weights.select("token").distinct(), "token", "left_semi").select("token", "run", "cell", "docs", "counts", "lengths")
-    rows = rows.join(cells, ["run", "cell"]).select(F.col("run").alias("run"), F.col("cell").alias("cell"), F.col("block").alias("block"), "token", "docs", "counts", "lengths")
+    rows = index.join(small(weights.select("token").distinct(), n_bytes), "token", "left_semi").select("token", "run", "cell", "docs", "counts", "lengths")
+    rows = rows.join(small(cells, 64 * n_cells * blocks), ["run", "cell"]).select(F.col("run").alias("run"), F.col("cell").alias("cell"), F.col("block").alias("block"), "token", "docs", "counts", "lengths")
     kind, q_kind = index.schema["docs"].dataType.elementType.simpleString(), pairs.schema["q"].dataType.simpleString()
 
     def run(posted: pa.Table, asked: pa.Table) -> pa.Table:
@@ -170,17 +177,19 @@ def scored(index: DataFrame, pairs: DataFrame, weights: DataFrame, average: floa
 def topk(index: DataFrame, questions: DataFrame, k: int, q_col: str = "item_id", q_text: str = "text", id_col: str = "doc_id", w: Weights = Weights(), lead: int = LEAD, block: int = BLOCK) -> DataFrame:
     """(question, id, score, rank): the results of ``retrieval.bm25_topk`` over the documents of an index."""
     k = max(1, k)
+    bounded_batches(index.sparkSession)
     names = questions.select(F.col(q_col).alias("q")).distinct()
     weights, average = weighted(index, questions, w, q_col, q_text)
     weights = kept(weights)
     blocks = max(1, -(-names.count() // block))
-    found = kept(bounds(index, weights, average, w).withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "run", "cell"))))
-    first = kept(scored(index, found.where(F.col("place") <= lead), weights, average, k, w, blocks))
+    n_bytes, n_cells = measured(weights), index.where("token IS NULL").count()
+    found = kept(bounds(index, weights, average, w, n_bytes).withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "run", "cell"))))
+    first = kept(scored(index, found.where(F.col("place") <= lead), weights, average, k, w, blocks, n_bytes, n_cells))
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "d")
     least = first.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k).select("q", F.col("score").alias("least"))
     # without k documents so far, or with fewer than k above 0, all cells count
     open_ = found.where(F.col("place") > lead).join(least, "q", "left").where(F.col("least").isNull() | (F.col("least") <= 0) | (F.col("bound") >= F.col("least") - SLACK))
-    hits = kept(first.unionByName(scored(index, open_, weights, average, k, w, blocks)))
+    hits = kept(first.unionByName(scored(index, open_, weights, average, k, w, blocks, n_bytes, n_cells)))
     ranked = hits.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k)
     return _filled(index, names, ranked.select("q", "d", "score"), hits, k).select(F.col("q").alias(q_col), F.col("d").alias(id_col), "score", "rank")
 

@@ -98,15 +98,25 @@ def token_weights(slices: DataFrame, asked: DataFrame, epsilon: float) -> tuple[
     """(q, token, weight) of the tokens asked (q, token, times) that some document has, and the mean length of the documents."""
     total = slices.agg(F.sum(F.size("docs")).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("t")).first()
     n_docs, average = total.n or 0, (total.t or 0) / (total.n or 1) or 1.0
+    counts = slices.select(F.explode(F.arrays_zip("tokens", "df")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.df").alias("df"))
+    return idf_weights(counts, asked, n_docs, epsilon), average
+
+
+def idf_weights(counts: DataFrame, asked: DataFrame, n_docs: int, epsilon: float) -> DataFrame:
+    """(q, token, weight) of the tokens asked (q, token, times) that are among the counts (token, df), which add up."""
     # one shuffle of the counts, with the tokens that are asked among them: the sum of all raw idf, and the asked tokens' own
-    counts = slices.select(F.explode(F.arrays_zip("tokens", "df")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.df").alias("df"), F.lit(False).alias("asked"))
     wanted = asked.select("token", F.lit(0).alias("df"), F.lit(True).alias("asked")).distinct()
-    df = counts.unionByName(wanted).groupBy("token").agg(F.sum("df").alias("df"), F.max("asked").alias("asked")).where("df > 0")
+    df = counts.withColumn("asked", F.lit(False)).unionByName(wanted).groupBy("token").agg(F.sum("df").alias("df"), F.max("asked").alias("asked")).where("df > 0")
     raw = df.select(F.when(F.col("asked"), F.col("token")).alias("token"), raw_idf(F.lit(n_docs), F.col("df")).alias("raw"))
     held = kept(raw.groupBy("token").agg(F.sum("raw").alias("raw"), F.count("*").alias("n")))
     mean = held.agg(F.try_divide(F.sum("raw"), F.sum("n"))).first()[0] or 0.0
     idf = F.when(F.col("raw") < 0, F.lit(mean * epsilon)).otherwise(F.col("raw"))
-    return asked.join(held, "token").select("q", "token", (F.col("times") * idf).alias("weight")), average
+    return asked.join(held, "token").select("q", "token", (F.col("times") * idf).alias("weight"))
+
+
+def small(rows: DataFrame, n_bytes: int) -> DataFrame:
+    """Rows of ``n_bytes`` in all, broadcast where that is at most ``BROADCAST_BYTES``."""
+    return F.broadcast(rows) if n_bytes <= BROADCAST_BYTES else rows
 
 
 def dealt(slices: DataFrame, blocks: DataFrame, n_blocks: int, n_bytes: int, key: str) -> DataFrame:

@@ -62,6 +62,24 @@ def test_cells_that_cannot_count_are_skipped(spark, tmp_path):
         assert bounds.where((F.col("q") == q) & (F.col("bound") >= least[q])).count() <= cells_of / 5
 
 
+def test_the_index_is_not_shuffled_to_few_tokens(spark, tables, tmp_path, monkeypatch, no_auto_broadcast):
+    docs, asked = tables
+    postings.add(docs, f"{tmp_path}/ix")
+    index, w = postings.read(spark, f"{tmp_path}/ix"), postings.Weights()
+    weights, average = postings.weighted(index, asked, w, "item_id", "text")
+    want = rows(retrieval.bm25_topk(docs, asked, 3), *HIT)
+    for size in (16 << 20, 0):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", size)
+        found = postings.bounds(index, weights, average, w)
+        hits = postings.scored(index, found, weights, average, 3, w, 1, postings.measured(weights), 9)
+        for df in (found, hits):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            # the index meets the tokens asked where it is read
+            assert ("BroadcastHashJoin" in plan) == (size > 0)
+        assert hits.select("q").distinct().count() > 0
+        assert rows(postings.topk(index, asked, 3), *HIT) == want
+
+
 def test_no_question_reads_a_text(spark, tables, tmp_path):
     docs, asked = tables
     postings.add(docs, f"{tmp_path}/ix")
