@@ -4,6 +4,7 @@ import json
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -192,6 +193,29 @@ def test_rows_are_numbered_in_order(spark):
     assert E.numbered(rows.limit(0), "n").count() == 0
 
 
+def test_chunks_go_back_in_bounded_batches(spark):
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(1 << 30))
+    docs = spark.createDataFrame([(1, "word " * 1000), (2, ""), (3, None)], "doc_id long, text string")
+    assert {r.doc_id for r in C.sliding_chunks(docs, C.ChunkSettings(100, 10)).collect()} == {1}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= 8 << 20
+    for text, most in (("x", C.OUT_ROWS), ("x" * 100_000, 11)):
+        made = list(C._batches(((i, text) for i in range(2500)), ["i", "t"], [pa.int64(), pa.string()]))
+        assert max(b.num_rows for b in made) == most and [i for b in made for i in b.column("i").to_pylist()] == list(range(2500))
+
+
+def test_layout_chunks_are_made_once(spark):
+    texts = ["Head", "one two. " * 30, "img", "", "three. " * 200, "tail"]
+    rows = [(d, i, "table" if i == 2 else "text", None if i == 2 else t, 1 if i == 0 else None, [1, 2, 3, 4], None if d else i // 2, None, None, None, [t] if i == 2 else None, None, None, None) for d in (0, 1) for i, t in enumerate(texts)]
+    made = C.layout_chunks(spark.createDataFrame(rows, B.BLOCK_SCHEMA), C.ChunkSettings(200, 50))
+    assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.chunk_idx): r for r in made.collect()}
+    assert [k for d, k in sorted(got) if d == 0] == list(range(len(got) // 2))
+    assert got[0, 0].is_special and got[0, 0].special_focus.special_type == "table" and not got[0, 1].is_special
+    assert got[0, 0].page_spans and set(got[0, 0].page_spans) >= {"page_1"} and got[1, 0].page_spans is None
+    assert all(r.headers == ["Head"] and r.bbox for r in got.values())
+
+
 def test_packs():
     assert C.pack_sizes([6, 4, 3], 10, 0) == [[0], [1], [2]]  # the text that closes a pack keeps the cost it had in it
     assert C.pack_sizes([0, 20, 0, 3, 3, 3], 10, 5) == [[0], [1, 2], [3, 4], [4, 5]]
