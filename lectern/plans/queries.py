@@ -277,8 +277,9 @@ def layout_chunks(spark, sf_dir):
 
 
 def chunk_segment_overlap(spark, sf_dir):
-    chunks = chunk_atomic(spark, sf_dir)
-    c, s = chunks.alias("c"), layout_segments(spark, sf_dir).alias("s")
+    segments = scratch.stored(layout_segments(spark, sf_dir))
+    chunks = C.sliding_chunks(B.full_text(segments), C.ChunkSettings(SIZE, OVERLAP), text_col="full_text", spans_col="spans")
+    c, s = chunks.alias("c"), segments.alias("s")
     met = c.join(s, (F.col("c.doc_id") == F.col("s.doc_id")) & (F.col("s.seg_end") > F.col("c.start")) & (F.col("s.seg_start") < F.col("c.end")))
     start = F.col("c.start")
     rows = met.select(F.col("c.doc_id").alias("doc_id"), "chunk_idx", "page_idx", (F.greatest("seg_start", start) - start).alias("a"), (F.least("seg_end", F.col("c.end")) - start).alias("b"))
