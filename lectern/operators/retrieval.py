@@ -25,8 +25,8 @@ from .scratch import kept, new_folder
 BLOCK_CELLS = 4_000_000
 #: Documents and bytes of text of a slice; questions of a block; bytes of all blocks that are broadcast.
 SLICE, SLICE_BYTES, BLOCK, BROADCAST_BYTES = 512, 1 << 20, 256, 16 << 20
-#: Slices of a row group of their file: Spark's reader holds a row group of such wide rows at once.
-GROUP = 8
+#: Slices of a row group of their file: Spark's reader holds a row group of such wide rows at once, with a level for each number.
+GROUP = 1
 #: Vectors of a slice, and of a block of questions.
 VECTORS = 1024
 
@@ -119,6 +119,11 @@ def small(rows: DataFrame, n_bytes: int) -> DataFrame:
     return F.broadcast(rows) if n_bytes <= BROADCAST_BYTES else rows
 
 
+def with_texts(hits: DataFrame, n_hits: int, texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Hits, ``n_hits`` at most, with their documents' columns: few are broadcast, so that no text is shuffled or sorted for them."""
+    return texts.join(small(hits, 64 * n_hits), id_col)
+
+
 def dealt(slices: DataFrame, blocks: DataFrame, n_blocks: int, n_bytes: int, key: str) -> DataFrame:
     """Every slice with every block of questions, each pair one row; ``blocks`` has (block, …), of ``n_bytes`` in all.
 

@@ -184,8 +184,10 @@ def fused(spark, sf_dir, weights):
     near = R.mmr(read(spark, sf_dir, "embeddings"), question_vectors(spark, sf_dir), TOP_K, FETCH).withColumnRenamed("vec_id", "doc_id")
     found = bm25_topk(spark, sf_dir).withColumnRenamed("item_id", "q")
     # one join of the few hits with the texts
-    hits = near.select("q", "doc_id", "rank", F.lit(0).alias("src")).unionByName(found.select("q", "doc_id", "rank", F.lit(1).alias("src"))).join(texts, "doc_id").withColumnRenamed("doc_id", "d")
-    return R.rrf_of(hits, TOP_K, *weights, RRF_K).select("q", F.col("d").alias("doc_id"), "score", "rank")
+    hits = near.select("q", "doc_id", "rank", F.lit(0).alias("src")).unionByName(found.select("q", "doc_id", "rank", F.lit(1).alias("src")))
+    n_hits = read(spark, sf_dir, "benchmark").count() * (TOP_K + SPARSE_K)
+    keyed = R.with_texts(hits, n_hits, texts).withColumnRenamed("doc_id", "d")
+    return R.rrf_of(keyed, TOP_K, *weights, RRF_K).select("q", F.col("d").alias("doc_id"), "score", "rank")
 
 
 def rrf_fusion(spark, sf_dir):
@@ -206,15 +208,15 @@ def dedup_doc_key(spark, sf_dir):
 
 
 def prepare_contexts(spark, sf_dir):
-    hits = bm25_topk(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    hits = R.with_texts(bm25_topk(spark, sf_dir), read(spark, sf_dir, "benchmark").count() * SPARSE_K, documents(spark, sf_dir).select("doc_id", "text"))
     rows = hits.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
     return rows.select("item_id", F.posexplode(R.prepare_contexts(F.col("texts"), 3, 120)).alias("pos", "context")).select("item_id", F.col("pos").cast("long").alias("pos"), "context")
 
 
 def prompt_assembly(spark, sf_dir):
-    hits = rrf_fusion(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question"))
-    return R.stuffed_prompt(hits, asked, "Context:\n{context}")
+    rows = read(spark, sf_dir, "benchmark")
+    hits = R.with_texts(rrf_fusion(spark, sf_dir), rows.count() * TOP_K, documents(spark, sf_dir).select("doc_id", "text"))
+    return R.stuffed_prompt(hits, rows.select(F.col("item_id").alias("q"), F.col("text").alias("question")), "Context:\n{context}")
 
 
 # --- chunking -----------------------------------------------------------------------------------

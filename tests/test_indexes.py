@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import cells, postings, ranges, retrieval
+from lectern.plans import queries
 
 from .conftest import SF
 
@@ -147,6 +148,33 @@ def test_slices_are_held_a_few_at_a_time(spark, tables, monkeypatch, tmp_path):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= 8 << 20
 
 
+def test_a_row_group_holds_one_slice_of_long_texts(spark, monkeypatch, tmp_path):
+    """Spark's reader holds a whole row group, whose size is a slice's whatever the table's."""
+    texts = [" ".join(f"w{d}x{i}" for i in range(5000)) for d in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "w7x3 w9x1")], "item_id long, text string")
+    monkeypatch.setattr(retrieval, "new_folder", lambda _: f"{tmp_path}/slices")
+    assert sorted(r.doc_id for r in retrieval.bm25_topk(docs, asked, 2).collect()) == [7, 9]
+    made = [pq.ParquetFile(p).metadata for p in tmp_path.glob("slices/*.parquet")]
+    groups = [m.row_group(i) for m in made for i in range(m.num_row_groups)]
+    assert len(groups) > 2 and max(g.total_byte_size for g in groups) < 3 * retrieval.SLICE_BYTES
+
+
+def joins(df):
+    """How hits meet their documents: the joins by doc_id in a plan."""
+    return re.findall(r"(\w+Join) \[doc_id#", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("name, at", [("prompt_assembly", 2), ("prepare_contexts", 1)])
+def test_whole_texts_of_few_hits_are_not_shuffled(spark, monkeypatch, no_auto_broadcast, name, at):
+    few = getattr(queries, name)(spark, SF)
+    assert joins(few) == ["BroadcastHashJoin"] * at
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
+    many = getattr(queries, name)(spark, SF)
+    assert joins(many) == ["SortMergeJoin"] * at
+    assert rows(few, *few.columns) == rows(many, *few.columns)
+
+
 def test_bm25_of_odd_questions(spark):
     docs = spark.createDataFrame([(1, "x y"), (2, "y z z"), (3, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(None, "z"), (1, None), (2, "nowhere"), (3, "z z"), (3, "z")], "item_id long, text string")
