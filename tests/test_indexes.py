@@ -165,7 +165,7 @@ def joins(df):
     return re.findall(r"(\w+Join) \[doc_id#", df._jdf.queryExecution().executedPlan().toString())
 
 
-@pytest.mark.parametrize("name, at", [("prompt_assembly", 2), ("prepare_contexts", 1), ("rrf_fusion", 1), ("rrf_zero_weights", 1)])
+@pytest.mark.parametrize("name, at", [("prompt_assembly", 2), ("prepare_contexts", 1), ("rrf_dense_only", 1), ("rrf_fusion", 1), ("rrf_zero_weights", 1)])
 def test_whole_texts_of_few_hits_are_not_shuffled(spark, monkeypatch, no_auto_broadcast, name, at):
     few = getattr(queries, name)(spark, SF)
     assert joins(few) == ["BroadcastHashJoin"] * at
