@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_weights, strip
-from .batches import bounded_batches
+from .batches import bounded_batches, bounded_reads
 from .scratch import kept, new_folder
 
 #: Numbers of the largest matrix in a task: 32 MB of weights, or of vectors.
 BLOCK_CELLS = 4_000_000
 #: Documents and bytes of text of a slice; questions of a block; bytes of all blocks that are broadcast.
-SLICE, SLICE_BYTES, BLOCK, BROADCAST_BYTES = 512, 1 << 20, 256, 16 << 20
+#: A slice of 256 kB is arrays of half a megabyte, which the JVM moves like other objects; larger ones it collects late.
+SLICE, SLICE_BYTES, BLOCK, BROADCAST_BYTES = 512, 1 << 18, 256, 16 << 20
 #: Slices of a row group of their file: Spark's reader holds a row group of such wide rows at once, with a level for each number.
 GROUP = 1
 #: Vectors of a slice, and of a block of questions.
@@ -98,7 +99,7 @@ def token_weights(slices: DataFrame, asked: DataFrame, epsilon: float) -> tuple[
     """(q, token, weight) of the tokens asked (q, token, times) that some document has, and the mean length of the documents."""
     total = slices.agg(F.sum(F.size("docs")).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("t")).first()
     n_docs, average = total.n or 0, (total.t or 0) / (total.n or 1) or 1.0
-    counts = slices.select(F.explode(F.arrays_zip("tokens", "df")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.df").alias("df"))
+    counts = slices.select("df", F.posexplode("tokens").alias("at", "token")).select("token", F.get("df", F.col("at")).alias("df"))
     return idf_weights(counts, asked, n_docs, epsilon), average
 
 
@@ -147,8 +148,10 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_
     token asked twice counts twice. Ids must not be null.
     """
     k, spark = max(1, k), docs.sparkSession
+    bounded_reads(spark)
     path, rows = new_folder(spark), sliced(docs, id_col, text_col)
-    rows.write.option("parquet.block.row.count.limit", GROUP).parquet(path)
+    # a slice has each token once, so a dictionary of them would only be held
+    rows.write.option("parquet.block.row.count.limit", GROUP).option("parquet.enable.dictionary#tokens.list.element", "false").parquet(path)
     slices = spark.read.schema(rows.schema).parquet(path)
     names = questions.select(F.col(q_col).alias("q")).distinct()
     asked = questions.select(F.col(q_col).alias("q"), F.explode(tokens(q_text)).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times"))
@@ -158,27 +161,45 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_
     size = entries.agg(F.count_if(F.col("token").isNull()).alias("questions"), F.coalesce(F.sum(F.coalesce(F.octet_length("token"), F.lit(0)) + 64), F.lit(0)).alias("bytes")).first()
     n_blocks = max(1, -(-size.questions // block))
     blocks = entries.groupBy(F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("q", "token", "weight"))).alias("asked"))
-    met = dealt(slices, blocks, n_blocks, size.bytes, "docs").select("tokens", "df", "docs", "lengths", "doc", "count", "asked.q", F.col("asked.token").alias("token"), "asked.weight")
+    met = dealt(slices, blocks, n_blocks, size.bytes, "docs").select("block", "tokens", "df", "docs", "lengths", "doc", "count", "asked.q", F.col("asked.token").alias("token"), "asked.weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, best, cells = None, {}, 0
         for batch in batches:
             for row in range(batch.num_rows):
-                yield from _scored({c: batch.column(c)[row].values for c in batch.schema.names}, average, k, k1, b)
+                block = batch.column("block")[row].as_py()
+                x = {c: batch.column(c)[row].values for c in batch.schema.names if c != "block"}
+                if block != last:  # one block's matrix at a time
+                    last, asked = block, _asked(x)
+                for ids, scores in _scored(x, *asked[1:], average, k, k1, b):
+                    if block in best:
+                        ids, scores = _better(*best[block][1:], ids, scores, k)
+                        cells -= best[block][2].size
+                    best[block], cells = (asked[0], ids, scores), cells + scores.size
+                if cells > BLOCK_CELLS:
+                    yield from map(_hits, best.values())
+                    best, cells = {}, 0
+        yield from map(_hits, best.values())
 
     types = (names.schema["q"].dataType.simpleString(), slices.schema["docs"].dataType.elementType.simpleString())
     scored = met.mapInArrow(run, "q {}, d {}, score double".format(*types))
     return _ranked(scored, k).select(F.col("q").alias(q_col), F.col("d").alias(id_col), "score", "rank")
 
 
-def _scored(x: dict[str, pa.Array], average: float, k: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
-    """Of a slice's documents the best k for each question of a block."""
+def _asked(x: dict[str, pa.Array]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """A block's questions, the tokens they ask and the weight of each token in each question."""
     names = x["q"].dictionary_encode(null_encoding="encode")
     vocabulary = x["token"].drop_null().unique()
     token = pc.index_in(x["token"], vocabulary, skip_nulls=True).to_numpy(zero_copy_only=False)
     said = ~np.isnan(token)
-    width = len(vocabulary)
-    matrix = np.zeros((width, len(names.dictionary)))
+    matrix = np.zeros((len(vocabulary), len(names.dictionary)))
     np.add.at(matrix, (token[said].astype(np.int64), names.indices.to_numpy()[said]), x["weight"].to_numpy()[said])
+    return names.dictionary, vocabulary, matrix
+
+
+def _scored(x: dict[str, pa.Array], vocabulary: pa.Array, matrix: np.ndarray, average: float, k: int, k1: float, b: float) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Of a slice's documents the best k for each question of a block: ids, question after question, and scores."""
+    width, questions = matrix.shape
     # the slice's counts of asked tokens, document after document
     df = x["df"].to_numpy()
     known = pc.index_in(x["tokens"], vocabulary).to_numpy(zero_copy_only=False)
@@ -188,7 +209,7 @@ def _scored(x: dict[str, pa.Array], average: float, k: int, k1: float, b: float)
     value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * x["lengths"].to_numpy()[doc] / average))
     order = np.argsort(doc, kind="stable")
     doc, column, value = doc[order], column[order], value[order]
-    step = max(1, BLOCK_CELLS // max(1, width, len(names.dictionary)))
+    step = max(1, BLOCK_CELLS // max(1, width, questions))
     for begin in range(0, len(x["docs"]), step):
         ids = x["docs"].slice(begin, step)
         i, j = np.searchsorted(doc, (begin, begin + len(ids)))
@@ -197,8 +218,22 @@ def _scored(x: dict[str, pa.Array], average: float, k: int, k1: float, b: float)
         scores = np.round(weight @ matrix, 6).T + 0.0  # no negative zero
         by_id = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
         best = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-        q = names.dictionary.take(pa.array(np.repeat(np.arange(len(scores)), best.shape[1])))
-        yield pa.RecordBatch.from_arrays([q, ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["q", "d", "score"])
+        yield ids.take(pa.array(best.ravel())), np.take_along_axis(scores, best, 1)
+
+
+def _better(ids: pa.Array, scores: np.ndarray, more: pa.Array, more_scores: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
+    """The best k for each question out of two lists of hits."""
+    every, both = pa.concat_arrays([ids, more]), np.hstack([scores, more_scores])
+    at = np.hstack([np.arange(scores.size).reshape(scores.shape), scores.size + np.arange(more_scores.size).reshape(more_scores.shape)])
+    place = np.argsort(np.argsort(every.to_numpy(zero_copy_only=False), kind="stable"))
+    best = np.lexsort((place[at], -both), axis=1)[:, :k]
+    return every.take(pa.array(np.take_along_axis(at, best, 1).ravel())), np.take_along_axis(both, best, 1)
+
+
+def _hits(found: tuple[pa.Array, pa.Array, np.ndarray]) -> pa.RecordBatch:
+    names, ids, scores = found
+    q = names.take(pa.array(np.repeat(np.arange(len(scores)), scores.shape[1])))
+    return pa.RecordBatch.from_arrays([q, ids, pa.array(scores.ravel())], ["q", "d", "score"])
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:

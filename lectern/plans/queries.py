@@ -180,13 +180,13 @@ def dense_mmr(spark, sf_dir):
 
 
 def fused(spark, sf_dir, weights):
-    texts = documents(spark, sf_dir).select("doc_id", R.doc_key(F.col("source"), F.col("text")).alias("key"))
     near = R.mmr(read(spark, sf_dir, "embeddings"), question_vectors(spark, sf_dir), TOP_K, FETCH).withColumnRenamed("vec_id", "doc_id")
     found = bm25_topk(spark, sf_dir).withColumnRenamed("item_id", "q")
     # one join of the few hits with the texts
     hits = near.select("q", "doc_id", "rank", F.lit(0).alias("src")).unionByName(found.select("q", "doc_id", "rank", F.lit(1).alias("src")))
     n_hits = read(spark, sf_dir, "benchmark").count() * (TOP_K + SPARSE_K)
-    keyed = R.with_texts(hits, n_hits, texts).withColumnRenamed("doc_id", "d")
+    texts = R.with_texts(hits, n_hits, documents(spark, sf_dir).select("doc_id", "source", "text"))
+    keyed = texts.select("q", F.col("doc_id").alias("d"), "rank", "src", R.doc_key(F.col("source"), F.col("text")).alias("key"))
     return R.rrf_of(keyed, TOP_K, *weights, RRF_K).select("q", F.col("d").alias("doc_id"), "score", "rank")
 
 

@@ -160,6 +160,28 @@ def test_a_row_group_holds_one_slice_of_long_texts(spark, monkeypatch, tmp_path)
     assert len(groups) > 2 and max(g.total_byte_size for g in groups) < 3 * retrieval.SLICE_BYTES
 
 
+def test_a_slice_of_long_texts_is_less_than_a_megabyte(spark):
+    docs = spark.createDataFrame([(d, " ".join(f"w{d}x{i}" for i in range(5000))) for d in range(60)], "doc_id long, text string").coalesce(1)
+    size = F.aggregate("tokens", F.lit(0), lambda n, t: n + F.octet_length(t) + 8) + 4 * (F.size("df") + F.size("doc") + F.size("count"))
+    found = retrieval.sliced(docs).select(size.alias("bytes"), F.size("docs").alias("n")).collect()
+    assert sum(r.n for r in found) == 60 and max(r.bytes for r in found) < 1 << 20
+
+
+def test_a_task_hands_up_the_best_of_its_slices_only(spark, monkeypatch):
+    """Equal texts in many slices, larger ids first: the smaller ids win, whatever goes up when."""
+    docs = spark.createDataFrame([(i, ["a b", "b", "c a a", ""][i % 4]) for i in range(200, 0, -1)], "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "a"), (2, "b c"), (3, "nowhere")], "item_id long, text string")
+    ranked, scored = retrieval._ranked, []
+    monkeypatch.setattr(retrieval, "_ranked", lambda rows, k: scored.append(rows) or ranked(rows, k))
+    want = rows(retrieval.bm25_topk(docs, asked, 5), *HIT)
+    monkeypatch.setattr(retrieval, "SLICE_BYTES", 8)
+    assert rows(retrieval.bm25_topk(docs, asked, 5), *HIT) == want
+    assert scored[-1].count() == 5 * 3 * scored[-1].rdd.getNumPartitions()
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+    monkeypatch.setattr(retrieval, "BLOCK_CELLS", 1)  # nothing is held beyond a batch's row
+    assert rows(retrieval.bm25_topk(docs, asked, 5), *HIT) == want
+
+
 def joins(df):
     """How hits meet their documents: the joins by doc_id in a plan."""
     return re.findall(r"(\w+Join) \[doc_id#", df._jdf.queryExecution().executedPlan().toString())
