@@ -161,7 +161,9 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_
     size = entries.agg(F.count_if(F.col("token").isNull()).alias("questions"), F.coalesce(F.sum(F.coalesce(F.octet_length("token"), F.lit(0)) + 64), F.lit(0)).alias("bytes")).first()
     n_blocks = max(1, -(-size.questions // block))
     blocks = entries.groupBy(F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("q", "token", "weight"))).alias("asked"))
-    met = dealt(slices, blocks, n_blocks, size.bytes, "docs").select("block", "tokens", "df", "docs", "lengths", "doc", "count", "asked.q", F.col("asked.token").alias("token"), "asked.weight")
+    # three plain arrays, which every slice's row copies as they are
+    blocks = blocks.select("block", "asked.q", F.col("asked.token").alias("token"), "asked.weight")
+    met = dealt(slices, blocks, n_blocks, size.bytes, "docs").select("block", "tokens", "df", "docs", "lengths", "doc", "count", "q", "token", "weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, best, cells = None, {}, 0
